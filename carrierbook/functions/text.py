@@ -40,7 +40,7 @@ def contains_ci(c, text: str, escape: bool = False) -> Column:
     ``_`` act as wildcards); ``escape=True`` makes them literal.
     """
     t = like_escape(text) if escape else text
-    return col_(c).ilike(F.lit(f"%{t}%"))
+    return col_(c).ilike(f"%{t}%")
 
 
 def is_blank_or_null(c) -> Column:
