@@ -60,6 +60,8 @@ VIEW_SQL: dict[str, str] = {
     "login_attempts": "select event_id attempt_id, concat('10.0.0.',cast(user_id%20 as string)) ip, event_type='purchase' ok, ts from events",
     "partner_updates": "select cast(o_orderkey as int) seq, concat('Supplier#',lpad(cast(o_custkey%15 as string),9,'0')) name, case when o_orderkey%3=0 then concat('New street ',cast(o_orderkey as string)) else null end street, cast(null as string) postal_code, case when o_orderkey%4=0 then 'Newtown' else null end city from orders where o_orderkey%20=0",
     "case_requests": "select cast(o_orderkey as int) request_id, cast(o_custkey%26 as int) location_id, cast(o_orderkey%6 as int) department_id, case o_orderkey%8 when 0 then ' hh12 ' when 1 then 'HH-12' when 2 then 'HH 12' when 3 then 'H!' when 4 then 'ab' when 5 then '' else concat('kö',cast(o_custkey as string)) end license_plate, cast(o_orderkey%5-1 as int) qty_in, cast(o_orderkey%3 as int) qty_out, case o_orderkey%7 when 0 then 'H1 ' when 1 then 'wood' when 2 then null else 'euro' end product_type, case o_orderkey%9 when 0 then 'a7' when 1 then 'abc' else null end employee_code from orders",
+    # Read marks (M5): every fifth notice, a quarter of them marked by a user other than its owner.
+    "read_marks": "select cast(event_id as int) notification_id, cast(user_id+1+(case when event_id%4=0 then 1 else 0 end) as int) user_id, ts + interval 1 hour read_at from events where event_type in ('view','click') and event_id%5=0",
     "transfer_requests": "select cast(event_id as int) request_id, case when event_id%3=0 then null else cast(user_id%25+1 as int) end from_location_id, cast(event_id%25+1 as int) to_location_id, cast(floor(value) as int) qty, case when event_id%11=0 then '  ' else 'move' end note from events where event_type='signup'",
 }
 
@@ -101,6 +103,7 @@ class Ledger:
     partner_updates: DataFrame
     case_requests: DataFrame
     transfer_requests: DataFrame
+    read_marks: DataFrame
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)

@@ -135,9 +135,11 @@ CASE_REQUESTS = _s([("request_id", I), ("location_id", I), ("department_id", I),
                     ("qty_in", I), ("qty_out", I), ("product_type", S), ("employee_code", S)])
 TRANSFER_REQUESTS = _s([("request_id", I), ("from_location_id", I), ("to_location_id", I), ("qty", I), ("note", S)])
 
+READ_MARKS = _s([("notification_id", I), ("user_id", I), ("read_at", TS)])
+
 SCHEMAS = {
     "locations": LOCATIONS, "departments": DEPARTMENTS, "entrepreneurs": ENTREPRENEURS, "users": USERS,
     "booking_cases": BOOKING_CASES, "bookings": BOOKINGS, "user_notifications": USER_NOTIFICATIONS,
     "roles": ROLES, "case_actions": CASE_ACTIONS, "login_attempts": LOGIN_ATTEMPTS,
-    "partner_updates": PARTNER_UPDATES, "case_requests": CASE_REQUESTS, "transfer_requests": TRANSFER_REQUESTS,
+    "partner_updates": PARTNER_UPDATES, "case_requests": CASE_REQUESTS, "transfer_requests": TRANSFER_REQUESTS, "read_marks": READ_MARKS,
 }
