@@ -10,8 +10,7 @@ from carrierbook.sources.fixtures import with_prefix
 _LEAVES = ", ".join(f"('{g}','{leaf}','{g}.{leaf}',{str(v).lower()})"
                     for g, leaves in S.DEFAULT_PERMISSIONS.items() for leaf, v in leaves.items())
 
-PERM_SQL = with_prefix("users", "roles") + f""",
-leaves(grp, leaf, path, dflt) AS (VALUES {_LEAVES}),
+PERM_CTES = f"""leaves(grp, leaf, path, dflt) AS (VALUES {_LEAVES}),
 rk AS (SELECT u.*, CASE WHEN u.role='admin' THEN -2 WHEN u.role_id IS NULL OR u.role_id=0 OR r.id IS NULL THEN -1 ELSE u.role_id END AS role_key,
   COALESCE(r.permissions,'{{}}') AS p FROM users u LEFT JOIN roles r ON r.id=u.role_id),
 lv AS (SELECT rk.id AS user_id, rk.role_key, l.path, l.dflt, json_extract(rk.p, '$.' || l.grp) AS g,
@@ -20,6 +19,7 @@ m AS (SELECT user_id, path, CASE WHEN role_key=-2 THEN true WHEN role_key=-1 THE
   WHEN json_type(g)<>'OBJECT' THEN false WHEN v IS NULL THEN dflt ELSE (json_type(v)='BOOLEAN' AND CAST(v AS BOOLEAN)) END AS ok FROM lv),
 perm AS (SELECT user_id, path, (ok OR bool_or(path='admin.full_access' AND ok) OVER (PARTITION BY user_id)) AS granted FROM m)
 """
+PERM_SQL = with_prefix("users", "roles") + ",\n" + PERM_CTES
 
 
 @register("permissions_effective", PERM_SQL + "SELECT user_id, path, granted FROM perm")
