@@ -76,5 +76,6 @@ def product_or_default(c) -> Column:
 
 
 def first_reason(*reasons: Column) -> Column:
-    """The first non-NULL reason of an ordered rule list."""
-    return F.coalesce(*reasons)
+    """The first non-NULL reason of an ordered rule list (``None`` entries are skipped)."""
+    given = [r for r in reasons if r is not None]
+    return F.coalesce(*given) if len(given) > 1 else (given[0] if given else F.lit(None).cast("string"))

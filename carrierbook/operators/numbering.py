@@ -39,18 +39,18 @@ def number_rows(df: DataFrame, order: list[Column | str], group: list[str] | Non
     keys = [F.col(g) for g in group] + order_cols
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("__nr_mid", F.monotonically_increasing_id()))
     ranged = reliable_checkpoint(ranged)
-    ranged = ranged.withColumns({"_pid": F.shiftright(F.col("_mid"), 33),
-                                 "_idx": F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))})
-    counts = ranged.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_idx").alias("_first"))
-    w = Window.partitionBy(*group).orderBy("_pid") if group else Window.orderBy("_pid")
+    ranged = ranged.withColumns({"__nr_pid": F.shiftright(F.col("__nr_mid"), 33),
+                                 "__nr_idx": F.col("__nr_mid").bitwiseAND(F.lit(_LOW_BITS))})
+    counts = ranged.groupBy(*group, "__nr_pid").agg(F.count(F.lit(1)).alias("__nr_cnt"), F.min("__nr_idx").alias("__nr_first"))
+    w = Window.partitionBy(*group).orderBy("__nr_pid") if group else Window.orderBy("__nr_pid")
     # counts has at most one row per (group, partition): bounded by the partition
     # count per group, so the per-group window here never sees a large group.
-    offsets = counts.withColumn("_before", F.coalesce(
-        F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_cnt")
+    offsets = counts.withColumn("__nr_before", F.coalesce(
+        F.sum("__nr_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__nr_cnt")
     start_c = start if isinstance(start, Column) else F.lit(start)
-    numbered = ranged.join(offsets, [*group, "_pid"], "inner")
+    numbered = ranged.join(offsets, [*group, "__nr_pid"], "inner")
     return numbered.withColumn(
-        out, (start_c.cast("bigint") + F.col("_before") + F.col("_idx") - F.col("_first")).cast("bigint")
-    ).drop("_mid", "_pid", "_idx", "_first", "_before")
+        out, (start_c.cast("bigint") + F.col("__nr_before") + F.col("__nr_idx") - F.col("__nr_first")).cast("bigint")
+    ).drop("__nr_mid", "__nr_pid", "__nr_idx", "__nr_first", "__nr_before")

@@ -62,6 +62,12 @@ VIEW_SQL: dict[str, str] = {
     "case_requests": "select cast(o_orderkey as int) request_id, cast(o_custkey%26 as int) location_id, cast(o_orderkey%6 as int) department_id, case o_orderkey%8 when 0 then ' hh12 ' when 1 then 'HH-12' when 2 then 'HH 12' when 3 then 'H!' when 4 then 'ab' when 5 then '' else concat('kö',cast(o_custkey as string)) end license_plate, cast(o_orderkey%5-1 as int) qty_in, cast(o_orderkey%3 as int) qty_out, case o_orderkey%7 when 0 then 'H1 ' when 1 then 'wood' when 2 then null else 'euro' end product_type, case o_orderkey%9 when 0 then 'a7' when 1 then 'abc' else null end employee_code from orders",
     # Read marks (M5): every fifth notice, a quarter of them marked by a user other than its owner.
     "read_marks": "select cast(event_id as int) notification_id, cast(user_id+1+(case when event_id%4=0 then 1 else 0 end) as int) user_id, ts + interval 1 hour read_at from events where event_type in ('view','click') and event_id%5=0",
+    # Maintenance batches (W2-W9), each derived from the driver tables.
+    "theme_updates": "select concat('10.0.0.',cast(user_id%20 as string)) ip_address, case event_id%5 when 0 then 'Dark ' when 1 then 'blue' when 2 then 'light' else 'dark' end theme, ts from events where event_type='view'",
+    "booking_patches": "select distinct cast(l_orderkey*8+l_linenumber as bigint) id, cast(case when l_linenumber=1 then l_linenumber*3 when l_linenumber=2 then 0 end as int) quantity, case when l_linenumber=3 then ' checked ' end note, case when l_linenumber=6 then ' Supplier#000000001 ' end entrepreneur, case when l_linenumber=4 then 'hh 9' when l_linenumber=5 then 'hb77' end license_plate from lineitem where l_orderkey%7=0",
+    "user_patches": "select cast(c_custkey+1 as int) id, case c_custkey%4 when 0 then 'location_id' when 1 then 'is_active,fixed_department_id' when 2 then 'role_id' else '' end present, case when c_custkey%2=0 then cast(null as int) else cast(c_nationkey+1 as int) end location_id, case when c_custkey%5=0 then null else c_custkey%3<>0 end is_active, cast(c_custkey%5 as int) role_id, cast(case when c_custkey%6=0 then 9 else c_custkey%5+1 end as int) fixed_department_id from customer where c_custkey%11=0",
+    "user_requests": "select cast(c_custkey as int) request_id, case when c_custkey%7=0 then concat('x', cast(c_custkey%3 as string)) when c_custkey%7=1 then c_name else concat('new_', cast(c_custkey%500 as string)) end username, cast(c_nationkey+1 as int) location_id, cast(c_custkey%5 as int) role_id, cast(c_custkey%8 as int) fixed_department_id, case c_custkey%6 when 0 then 'bad@mail' when 1 then ' A@B.DE ' else null end email from customer",
+    "partner_replacements": "select cast(s_suppkey+1 as int) id, case when s_suppkey%4=0 then ' ' when s_suppkey%4=1 then concat('Supplier#', lpad(cast((s_suppkey+7)%40 as string),9,'0')) else concat(s_name,' GmbH') end name, 'Main street 1' street, cast(null as string) postal_code, n_name city from supplier join nation on n_nationkey=s_nationkey where s_suppkey%3=0",
     "transfer_requests": "select cast(event_id as int) request_id, case when event_id%3=0 then null else cast(user_id%25+1 as int) end from_location_id, cast(event_id%25+1 as int) to_location_id, cast(floor(value) as int) qty, case when event_id%11=0 then '  ' else 'move' end note from events where event_type='signup'",
 }
 
@@ -104,6 +110,11 @@ class Ledger:
     case_requests: DataFrame
     transfer_requests: DataFrame
     read_marks: DataFrame
+    theme_updates: DataFrame
+    booking_patches: DataFrame
+    user_patches: DataFrame
+    user_requests: DataFrame
+    partner_replacements: DataFrame
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)

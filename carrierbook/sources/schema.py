@@ -137,9 +137,20 @@ TRANSFER_REQUESTS = _s([("request_id", I), ("from_location_id", I), ("to_locatio
 
 READ_MARKS = _s([("notification_id", I), ("user_id", I), ("read_at", TS)])
 
+THEME_UPDATES = _s([("ip_address", S), ("theme", S), ("ts", TS)])
+IP_PREFERENCES = _s([("ip_address", S), ("theme", S), ("updated_at", TS)])
+BOOKING_PATCHES = _s([("id", L), ("quantity", I), ("note", S), ("entrepreneur", S), ("license_plate", S)])
+USER_PATCHES = _s([("id", I), ("present", S), ("location_id", I), ("is_active", B), ("role_id", I),
+                   ("fixed_department_id", I)])
+USER_REQUESTS = _s([("request_id", I), ("username", S), ("location_id", I), ("role_id", I),
+                    ("fixed_department_id", I), ("email", S)])
+PARTNER_REPLACEMENTS = ENTREPRENEURS
+
 SCHEMAS = {
     "locations": LOCATIONS, "departments": DEPARTMENTS, "entrepreneurs": ENTREPRENEURS, "users": USERS,
     "booking_cases": BOOKING_CASES, "bookings": BOOKINGS, "user_notifications": USER_NOTIFICATIONS,
     "roles": ROLES, "case_actions": CASE_ACTIONS, "login_attempts": LOGIN_ATTEMPTS,
     "partner_updates": PARTNER_UPDATES, "case_requests": CASE_REQUESTS, "transfer_requests": TRANSFER_REQUESTS, "read_marks": READ_MARKS,
+    "theme_updates": THEME_UPDATES, "booking_patches": BOOKING_PATCHES, "user_patches": USER_PATCHES,
+    "user_requests": USER_REQUESTS, "partner_replacements": PARTNER_REPLACEMENTS,
 }
