@@ -157,3 +157,10 @@ def visible_users(users: DataFrame, roles: DataFrame, viewer_id: int) -> DataFra
                     F.col("sees_all") | (F.col("department_id").isNotNull()
                                          & (cand["fixed_department_id"] == F.col("department_id"))), "inner")
     return out.select(*cols).orderBy("username")
+
+
+def me(users: DataFrame, roles: DataFrame) -> DataFrame:
+    """Every user with the name of their business role (left join: no role → NULL)."""
+    r = roles.select(F.col("id").alias("_rid"), F.col("name").alias("business_role_name"))
+    cols = [c for c in ("id", "username", "role", "location_id", "role_id", "is_active") if c in users.columns]
+    return users.join(r, users["role_id"] == r["_rid"], "left").select(*cols, "business_role_name")
