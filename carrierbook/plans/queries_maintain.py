@@ -156,7 +156,7 @@ SELECT tg.id, CASE WHEN EXISTS (SELECT 1 FROM bookings b WHERE b.location_id=tg.
 FROM tg WHERE reason IS NOT NULL""")
 def location_delete_restrict(t):
     """W7 restrict + J10: location delete requests refused because ledger lines or cases use them."""
-    targets = t.case_actions.sparkSession.table("events").where(F.col("event_type") == "error") \
+    targets = t.driver("events").where(F.col("event_type") == "error") \
         .select((F.col("user_id") % 30 + 1).cast("int").alias("id"))
     _, refused = maintain.delete_restrict(t.locations, targets, [
         (t.bookings, "location_id", "Standort hat bereits Buchungen und kann nicht gelöscht werden"),

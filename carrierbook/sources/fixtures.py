@@ -11,7 +11,7 @@ engines see identical inputs.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,32 +92,60 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
-@dataclass
+_TABLE_REF = re.compile(r"\b(from|join)\s+([a-z_]+)\b", re.IGNORECASE)
+
+
+def _referenced(sql: str) -> list[str]:
+    return sorted({m.group(2) for m in _TABLE_REF.finditer(sql)})
+
+
+def _templated(sql: str) -> str:
+    """View text with its table references as ``{name}`` placeholders for ``spark.sql(text, **dfs)``."""
+    escaped = sql.replace("{", "{{").replace("}", "}}")
+    return _TABLE_REF.sub(lambda m: f"{m.group(1)} {{{m.group(2)}}}", escaped)
+
+
 class Ledger:
-    """The application's tables as DataFrames."""
-
-    locations: DataFrame
-    departments: DataFrame
-    entrepreneurs: DataFrame
-    users: DataFrame
-    booking_cases: DataFrame
-    bookings: DataFrame
-    user_notifications: DataFrame
-    roles: DataFrame
-    case_actions: DataFrame
-    login_attempts: DataFrame
-    partner_updates: DataFrame
-    case_requests: DataFrame
-    transfer_requests: DataFrame
-    read_marks: DataFrame
-    theme_updates: DataFrame
-    booking_patches: DataFrame
-    user_patches: DataFrame
-    user_requests: DataFrame
-    partner_replacements: DataFrame
+    """The application's tables as DataFrames, derived from one driver folder.
+
+    Views are built on first use (only what a query touches is analysed) and
+    bound to this folder's DataFrames through ``spark.sql(text, **dataframes)``,
+    so no global view names are shared between ledgers.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark = spark
+        self._dir = sf_dir
+        self._cache: dict[str, DataFrame] = {}
+
+    def driver(self, name: str) -> DataFrame:
+        """A driver table of this folder (explicit schema, only the needed columns)."""
+        key = "driver:" + name
+        if key not in self._cache:
+            self._cache[key] = read_driver_table(self._spark, self._dir, name)
+        return self._cache[key]
+
+    def _build(self, name: str) -> DataFrame:
+        sql = VIEW_SQL[name]
+        refs = _referenced(sql)
+        if not refs:
+            df = self._spark.sql(sql)
+        else:
+            dfs = {r: (self.driver(r) if r in DRIVER_SCHEMAS else self[r]) for r in refs}
+            df = self._spark.sql(_templated(sql), **dfs)
+        return conform(df, S.SCHEMAS[name])
 
     def __getitem__(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        if name not in VIEW_SQL:
+            raise KeyError(name)
+        if name not in self._cache:
+            self._cache[name] = self._build(name)
+        return self._cache[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in VIEW_SQL:
+            raise AttributeError(name)
+        return self[name]
 
 
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,25 +153,23 @@ def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_fixture_views(spark: SparkSession, sf_dir: str) -> Ledger:
-    """Derive every ledger table from the driver tables in ``sf_dir``.
+    """The ledger tables derived from the driver tables in ``sf_dir`` (built lazily)."""
+    return Ledger(spark, sf_dir)
 
-    The driver tables are registered as temporary views (the texts refer to
-    them by name); each derived DataFrame is analysed at creation, so a later
-    call for another folder does not change DataFrames already returned.
-    """
-    for name in DRIVER_SCHEMAS:
-        read_driver_table(spark, sf_dir, name).createOrReplaceTempView(name)
-    out = {}
-    for name in VIEW_NAMES:
-        df = conform(spark.sql(VIEW_SQL[name]), S.SCHEMAS[name])
-        df.createOrReplaceTempView(name)
-        out[name] = df
-    return Ledger(**out)
+
+class StoredLedger(Ledger):
+    """Ledger tables already stored as Parquet, one folder per table."""
+
+    def _build(self, name: str) -> DataFrame:
+        return self._spark.read.schema(S.SCHEMAS[name]).parquet(os.path.join(self._dir, name))
 
 
 def load_tables(spark: SparkSession, table_dir: str) -> Ledger:
     """Read ledger tables already stored as Parquet (one folder per table)."""
-    return Ledger(**{
-        name: spark.read.schema(S.SCHEMAS[name]).parquet(os.path.join(table_dir, name))
-        for name in VIEW_NAMES
-    })
+    return StoredLedger(spark, table_dir)
+
+
+def store_tables(ledger: Ledger, table_dir: str, names: list[str] | None = None) -> None:
+    """Write ledger tables as Parquet (one folder per table) for ``load_tables``."""
+    for name in names or VIEW_NAMES:
+        ledger[name].write.mode("overwrite").parquet(os.path.join(table_dir, name))
