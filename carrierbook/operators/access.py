@@ -30,7 +30,13 @@ def _leaf_table(spark) -> DataFrame:
 
 
 def role_permissions(roles: DataFrame) -> DataFrame:
-    """P1 per role: (role_key, path, value, granted) including the no-role and admin keys."""
+    """P1 per role: (role_key, path, value, granted, effective) incl. the no-role and admin keys.
+
+    ``granted`` is the path check (full access grants every path);
+    ``effective`` is the value the routes read: the full-access tree when the
+    user has full access (where ``cases.require_employee_code`` is false),
+    else the merged leaf being JSON true.
+    """
     spark = roles.sparkSession
     leaves = _leaf_table(spark)
     parsed = roles.select(F.col("id").alias("role_key"),
@@ -50,11 +56,15 @@ def role_permissions(roles: DataFrame) -> DataFrame:
     granted = F.coalesce(F.col("value") == F.lit("true"), F.lit(False))
     full = F.max(F.when((F.col("path") == "admin.full_access") & granted, True).otherwise(False)).over(
         Window.partitionBy("role_key"))
-    rl = rl.withColumn("granted", granted | full).select("role_key", "path", "value", "granted")
+    rl = rl.withColumns({"granted": granted | full,
+                         "effective": F.when(full, F.col("full_value")).otherwise(granted)}) \
+        .select("role_key", "path", "value", "granted", "effective")
     defaults = leaves.select(F.lit(NO_ROLE).alias("role_key"), "path",
-                             F.col("default_value").cast("string").alias("value"), F.col("default_value").alias("granted"))
+                             F.col("default_value").cast("string").alias("value"), F.col("default_value").alias("granted"),
+                             F.col("default_value").alias("effective"))
     admin = leaves.select(F.lit(ADMIN_ROLE).alias("role_key"), "path",
-                          F.col("full_value").cast("string").alias("value"), F.lit(True).alias("granted"))
+                          F.col("full_value").cast("string").alias("value"), F.lit(True).alias("granted"),
+                          F.col("full_value").alias("effective"))
     return rl.unionByName(defaults).unionByName(admin)
 
 
@@ -80,9 +90,12 @@ def effective_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def permission_columns(users: DataFrame, roles: DataFrame, paths: list[str]) -> DataFrame:
-    """Wide form for joins: (user_id, role, location_id, fixed_department_id, <path with '_'>...)."""
+    """Wide form for joins: (user_id, role, location_id, fixed_department_id, <path with '_'>...).
+
+    The values are the effective permissions the routes read.
+    """
     per_role = role_permissions(roles).where(F.col("path").isin(*paths))
-    wide = per_role.groupBy("role_key").pivot("path", paths).agg(F.first("granted"))
+    wide = per_role.groupBy("role_key").pivot("path", paths).agg(F.first("effective"))
     for p in paths:
         wide = wide.withColumnRenamed(p, p.replace(".", "_"))
     u = role_key(users, roles).select(F.col("id").alias("user_id"), "role", "location_id",

@@ -7,17 +7,18 @@ from carrierbook.plans.catalog import register
 from carrierbook.sources import schema as S
 from carrierbook.sources.fixtures import with_prefix
 
-_LEAVES = ", ".join(f"('{g}','{leaf}','{g}.{leaf}',{str(v).lower()})"
+_LEAVES = ", ".join(f"('{g}','{leaf}','{g}.{leaf}',{str(v).lower()},{str(S.FULL_ACCESS_PERMISSIONS[g][leaf]).lower()})"
                     for g, leaves in S.DEFAULT_PERMISSIONS.items() for leaf, v in leaves.items())
 
-PERM_CTES = f"""leaves(grp, leaf, path, dflt) AS (VALUES {_LEAVES}),
+PERM_CTES = f"""leaves(grp, leaf, path, dflt, fv) AS (VALUES {_LEAVES}),
 rk AS (SELECT u.*, CASE WHEN u.role='admin' THEN -2 WHEN u.role_id IS NULL OR u.role_id=0 OR r.id IS NULL THEN -1 ELSE u.role_id END AS role_key,
   COALESCE(r.permissions,'{{}}') AS p FROM users u LEFT JOIN roles r ON r.id=u.role_id),
-lv AS (SELECT rk.id AS user_id, rk.role_key, l.path, l.dflt, json_extract(rk.p, '$.' || l.grp) AS g,
+lv AS (SELECT rk.id AS user_id, rk.role_key, l.path, l.dflt, l.fv, json_extract(rk.p, '$.' || l.grp) AS g,
   json_extract(rk.p, '$.' || l.grp || '.' || l.leaf) AS v FROM rk, leaves l),
-m AS (SELECT user_id, path, CASE WHEN role_key=-2 THEN true WHEN role_key=-1 THEN dflt WHEN g IS NULL THEN dflt
+m AS (SELECT user_id, path, fv, CASE WHEN role_key=-2 THEN true WHEN role_key=-1 THEN dflt WHEN g IS NULL THEN dflt
   WHEN json_type(g)<>'OBJECT' THEN false WHEN v IS NULL THEN dflt ELSE (json_type(v)='BOOLEAN' AND CAST(v AS BOOLEAN)) END AS ok FROM lv),
-perm AS (SELECT user_id, path, (ok OR bool_or(path='admin.full_access' AND ok) OVER (PARTITION BY user_id)) AS granted FROM m)
+f AS (SELECT *, bool_or(path='admin.full_access' AND ok) OVER (PARTITION BY user_id) AS is_full FROM m),
+perm AS (SELECT user_id, path, (ok OR is_full) AS granted, CASE WHEN is_full THEN fv ELSE ok END AS effective FROM f)
 """
 PERM_SQL = with_prefix("users", "roles") + ",\n" + PERM_CTES
 
@@ -42,14 +43,14 @@ def full_access_users(t):
 
 @register("user_scope", PERM_SQL + """SELECT u.id AS user_id,
  CASE WHEN u.role<>'admin' AND u.location_id IS NOT NULL AND u.location_id<>0 THEN u.location_id END AS location_lock,
- COALESCE(p.granted,false) AS all_locations FROM users u LEFT JOIN perm p ON p.user_id=u.id AND p.path='filters.all_locations'""")
+ COALESCE(p.effective,false) AS all_locations FROM users u LEFT JOIN perm p ON p.user_id=u.id AND p.path='filters.all_locations'""")
 def user_scope(t):
     """per user the location lock and the all-locations permission."""
     return access.user_scope(t.users, t.roles)
 
 
 @register("user_list_scope", PERM_SQL + """SELECT u.id AS viewer_id, u.role='admin' AS sees_all,
- CASE WHEN u.role<>'admin' AND COALESCE(p.granted,false) THEN u.fixed_department_id END AS department_id
+ CASE WHEN u.role<>'admin' AND COALESCE(p.effective,false) THEN u.fixed_department_id END AS department_id
  FROM users u LEFT JOIN perm p ON p.user_id=u.id AND p.path='users.view_department'""")
 def user_list_scope(t):
     """P4 per viewer: all users (admin), own fixed department (users.view_department), or none."""
@@ -57,7 +58,7 @@ def user_list_scope(t):
 
 
 @register("visible_users", PERM_SQL + """, v AS (SELECT u.role='admin' AS sees_all,
- CASE WHEN u.role<>'admin' AND COALESCE(p.granted,false) THEN u.fixed_department_id END AS dep
+ CASE WHEN u.role<>'admin' AND COALESCE(p.effective,false) THEN u.fixed_department_id END AS dep
  FROM users u LEFT JOIN perm p ON p.user_id=u.id AND p.path='users.view_department' WHERE u.id=4)
 SELECT x.id, x.username, x.role, x.location_id, x.role_id, x.is_active, x.fixed_department_id FROM users x, v
 WHERE v.sees_all OR (v.dep IS NOT NULL AND x.fixed_department_id=v.dep) ORDER BY x.username""")

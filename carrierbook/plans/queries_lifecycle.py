@@ -42,8 +42,8 @@ REPLAY_SQL = "WITH RECURSIVE " + with_prefix("users", "roles", "booking_cases",
 act AS (SELECT a.*, row_number() OVER (PARTITION BY a.case_id ORDER BY a.ts, a.action_id) AS rn,
   c.id IS NOT NULL AS found, c.status AS s0, c.location_id AS loc,
   coalesce(lk.lock IS NOT NULL AND lk.lock <> c.location_id, false) AS forbidden,
-  coalesce(p.granted, false) AS perm,
-  coalesce(rq.granted, false) AND nullif(c.employee_code,'') IS NULL AS need_code
+  coalesce(p.effective, false) AS perm,
+  coalesce(rq.effective, false) AND nullif(c.employee_code,'') IS NULL AS need_code
  FROM case_actions a LEFT JOIN booking_cases c ON c.id=a.case_id
  LEFT JOIN (SELECT id, CASE WHEN role<>'admin' AND location_id IS NOT NULL AND location_id<>0 THEN location_id END AS lock FROM users) lk ON lk.id=a.actor_id
  LEFT JOIN perm p ON p.user_id=a.actor_id AND p.path={_PERM_PATH}

@@ -56,7 +56,7 @@ def posting_lines(t):
     return posting.post_cases(_approvals(t))
 
 
-_TRANSFER_REASON = """CASE WHEN NOT coalesce(p.granted,false) THEN 'Keine Berechtigung'
+_TRANSFER_REASON = """CASE WHEN NOT coalesce(p.effective,false) THEN 'Keine Berechtigung'
  WHEN coalesce(r.to_location_id,0)=0 THEN 'to_location_id required'
  WHEN r.qty IS NULL OR r.qty < 1 THEN 'qty invalid'
  WHEN nullif(trim(r.note),'') IS NULL THEN 'Notiz ist Pflicht'
@@ -93,7 +93,7 @@ def transfer_rejects(t):
     return posting.internal_transfers(t.transfer_requests, t.users, t.roles, actor_id=4)[1]
 
 
-_INTAKE_REASON = """CASE WHEN NOT coalesce(p.granted,false) THEN 'Keine Berechtigung'
+_INTAKE_REASON = """CASE WHEN NOT coalesce(p.effective,false) THEN 'Keine Berechtigung'
  WHEN coalesce(r.location_id,0)=0 OR coalesce(r.department_id,0)=0 THEN 'location_id + department_id required'
  WHEN upper(trim(coalesce(r.license_plate,'')))='' THEN 'Kennzeichen ist Pflicht'
  WHEN contains(upper(trim(coalesce(r.license_plate,''))),'-') THEN 'Kennzeichen bitte ohne ''-'' eingeben'

@@ -24,7 +24,11 @@ def live_stock(feed: DataFrame, *, dedup_key: str | None = "id", watermark: str
     """
     f = feed.withColumn("_event_time", F.col("created_at").cast("timestamp"))
     if dedup_key:
-        f = f.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark([dedup_key])
+        keys = [dedup_key] if isinstance(dedup_key, str) else list(dedup_key)
+        if f.isStreaming:
+            f = f.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(keys)
+        else:
+            f = f.dropDuplicates(keys)
     g = f.groupBy("location_id", "department_id", product_or_default("product_type").alias("product_type")) \
         .agg(*signed_sums())
     ins = F.coalesce(F.col("_ins"), F.lit(0).cast("bigint"))
