@@ -89,15 +89,50 @@ def effective_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
     return u.join(per_role, "role_key", "inner").select("user_id", "path", "granted")
 
 
+def _merged_is_true(v: Column, path: str) -> Column:
+    """Whether a leaf of a role's permission VARIANT, merged over the defaults, is JSON true."""
+    grp, leaf = path.split(".")
+    grp_v = F.try_variant_get(v, f"$.{grp}", "variant")
+    leaf_v = F.try_variant_get(v, f"$.{grp}.{leaf}", "variant")
+    default = F.lit(bool(S.DEFAULT_PERMISSIONS[grp][leaf]))
+    is_true = (F.schema_of_variant(leaf_v) == "BOOLEAN") & F.try_variant_get(leaf_v, "$", "boolean")
+    return (F.when(grp_v.isNull(), default)
+            .when(~F.startswith(F.schema_of_variant(grp_v), F.lit("OBJECT")), F.lit(False))
+            .when(leaf_v.isNull(), default)
+            .otherwise(F.coalesce(is_true, F.lit(False))))
+
+
+def role_columns(roles: DataFrame, paths: list[str]) -> DataFrame:
+    """Per role key the effective value of the given paths (one projection over the role rows).
+
+    Same merge rules as :func:`role_permissions`; the two fixed keys (no
+    role, admin) are added as literal rows.
+    """
+    v = F.try_parse_json(F.coalesce(F.col("permissions"), F.lit("{}")))
+    full = _merged_is_true(v, "admin.full_access")
+    cols = [F.when(full, F.lit(_full_value(p))).otherwise(_merged_is_true(v, p)).alias(p.replace(".", "_"))
+            for p in paths]
+    per_role = roles.select(F.col("id").alias("role_key"), *cols)
+    fixed = [(NO_ROLE, *[_default_value(p) for p in paths]), (ADMIN_ROLE, *[_full_value(p) for p in paths])]
+    return per_role.unionByName(roles.sparkSession.createDataFrame(fixed, per_role.schema))
+
+
+def _default_value(path: str) -> bool:
+    g, leaf = path.split(".")
+    return bool(S.DEFAULT_PERMISSIONS[g][leaf])
+
+
+def _full_value(path: str) -> bool:
+    g, leaf = path.split(".")
+    return bool(S.FULL_ACCESS_PERMISSIONS[g][leaf])
+
+
 def permission_columns(users: DataFrame, roles: DataFrame, paths: list[str]) -> DataFrame:
-    """Wide form for joins: (user_id, role, location_id, fixed_department_id, <path with '_'>...).
+    """Wide form for joins: (user_id, role, location_id, fixed_department_id, is_active, <path with '_'>...).
 
     The values are the effective permissions the routes read.
     """
-    per_role = role_permissions(roles).where(F.col("path").isin(*paths))
-    wide = per_role.groupBy("role_key").pivot("path", paths).agg(F.first("effective"))
-    for p in paths:
-        wide = wide.withColumnRenamed(p, p.replace(".", "_"))
+    wide = role_columns(roles, paths)
     u = role_key(users, roles).select(F.col("id").alias("user_id"), "role", "location_id",
                                       "fixed_department_id", "is_active", "role_key")
     return u.join(wide, "role_key", "left").drop("role_key")

@@ -21,12 +21,12 @@ function of the status it meets alone.  The status only moves 1→2→3→4 or t
 (both terminal), so a case's path has at most three transitions, and each
 is *the earliest eligible action after the previous transition*.
 
-The replay therefore needs no per-case sequential fold: three rounds of
-(join actions with the per-case state, partial ``min`` per case) find the
-transitions, and one more join gives every action the status it met.  Each
-round is a shuffle with map-side partial aggregation, so a case that holds a
-third of all actions is still split across tasks; no action list is ever
-collected.
+The replay therefore needs no per-case sequential fold: one partial
+aggregate finds each case's first mover of every kind, two small rounds find
+the first submit after the claim and the first approve after the submit,
+and one more join gives every action the status it met.  Each step is a
+shuffle with map-side partial aggregation, so a case that holds a third of
+all actions is still split across tasks; no action list is ever collected.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carrierbook.operators import access
+from carrierbook.session import reliable_checkpoint
 from carrierbook.sources import schema as S
 
 ACTION_PERMISSION = {
@@ -112,27 +113,59 @@ def transitions(facts: DataFrame) -> DataFrame:
 
     (case_id, s0, k1, a1, s1, k2, a2, s2, k3, a3, s3): k = order key of the
     action that moved the case, a = its actor, s = status after it.
+
+    The forward chain is claim (1→2), submit (2→3), approve (3→4), each the
+    earliest eligible mover after the previous step; a cancel mover moves
+    1, 2 or 3 to 0, so only the first one matters.  One partial aggregate
+    finds every first-of-kind; two follow-up rounds look only at submit and
+    approve movers after a per-case threshold.
     """
     movers = facts.where(F.col("_found")).withColumn("_kind", _mover_kind()).where(F.col("_kind").isNotNull()) \
-        .select("case_id", "_key", "_kind", "actor_id")
-    state = facts.where(F.col("_found")).groupBy("case_id").agg(F.first("_s0").alias("s0"))
-    cur, after = F.col("s0"), None
-    out = state
+        .select("case_id", "_s0", "_key", "_kind", "actor_id")
+
+    def first_of(kind):
+        return F.min(F.when(F.col("_kind") == kind, F.struct("_key", "actor_id"))).alias(kind)
+
+    first = movers.groupBy("case_id").agg(F.max("_s0").alias("s0"), first_of("claim"), first_of("submit"),
+                                          first_of("approve"), first_of("cancel"))
+
+    def first_after(kind, thresholds):
+        m = movers.where(F.col("_kind") == kind).select("case_id", "_key", "actor_id")
+        j = m.join(thresholds, "case_id", "inner").where(F.col("_key") > F.col("_thr"))
+        return j.groupBy("case_id").agg(F.min(F.struct("_key", "actor_id")).alias(kind + "_after"))
+
+    # round 2: the first submit after the claim (cases that start announced)
+    thr2 = first.where((F.col("s0") == 1) & F.col("claim").isNotNull()) \
+        .select("case_id", F.col("claim._key").alias("_thr"))
+    r2 = first_after("submit", thr2)
+    chain = first.join(r2, "case_id", "left")
+    sub = F.when(F.col("s0") == 1, F.col("submit_after")).when(F.col("s0") == 2, F.col("submit"))
+    # round 3: the first approve after the submit (cases that start announced or in progress)
+    thr3 = chain.where(sub.isNotNull()).select("case_id", sub["_key"].alias("_thr"))
+    r3 = first_after("approve", thr3)
+    chain = chain.join(r3, "case_id", "left")
+
+    def step(m: Column, to: int) -> Column:
+        return F.when(m.isNotNull(), F.struct(m["_key"].alias("k"), F.lit(to).alias("s"), m["actor_id"].alias("a")))
+
+    s0 = F.col("s0")
+    app = F.when(s0 == 3, F.col("approve")).otherwise(F.col("approve_after"))
+    steps = F.array(
+        F.when(s0 == 1, step(F.col("claim"), 2)).when(s0 == 2, step(F.col("submit"), 3)).when(s0 == 3, step(app, 4)),
+        F.when(s0 == 1, step(F.col("submit_after"), 3)).when(s0 == 2, step(app, 4)),
+        F.when(s0 == 1, step(app, 4)))
+    x = F.col("cancel")
+    kept = F.filter(steps, lambda e: e.isNotNull() & (x.isNull() | (e["k"] < x["_key"])))
+    status_at_cancel = F.coalesce(F.try_element_at(kept, F.lit(-1))["s"], s0)
+    cancel_step = F.struct(x["_key"].alias("k"), F.lit(S.STATUS_CANCELLED).alias("s"), x["actor_id"].alias("a"))
+    all_steps = F.when(x.isNotNull() & status_at_cancel.isin(1, 2, 3),
+                       F.concat(kept, F.array(cancel_step))).otherwise(kept)
+    out = chain.select("case_id", "s0", all_steps.alias("_steps"))
+    cols = []
     for r in range(1, _ROUNDS + 1):
-        st = out.select("case_id", cur.alias("_cur"), (after if after is not None else F.lit(None)).alias("_after"))
-        cand = movers.join(st.where(F.col("_cur").isin(1, 2, 3)), "case_id", "inner")
-        if after is not None:
-            cand = cand.where(F.col("_key") > F.col("_after"))
-        cand = cand.withColumn("_to", _transition_target(F.col("_cur"), F.col("_kind"))).where(F.col("_to").isNotNull())
-        # min over a struct led by the order key: a partial aggregate per case.
-        first = cand.groupBy("case_id").agg(F.min(F.struct("_key", "_to", "actor_id")).alias("_m"))
-        out = out.join(first.select("case_id", F.col("_m._key").alias(f"k{r}"), F.col("_m._to").alias(f"s{r}"),
-                                    F.col("_m.actor_id").alias(f"a{r}")), "case_id", "left")
-        prev_s = F.col("s0") if r == 1 else F.col(f"_st{r - 1}")
-        out = out.withColumn(f"_st{r}", F.coalesce(F.col(f"s{r}"), prev_s))
-        cur = F.when(F.col(f"k{r}").isNotNull(), F.col(f"s{r}"))
-        after = F.col(f"k{r}")
-    return out.drop(*[f"_st{r}" for r in range(1, _ROUNDS + 1)])
+        e = F.try_element_at(F.col("_steps"), F.lit(r))
+        cols += [e["k"].alias(f"k{r}"), e["a"].alias(f"a{r}"), e["s"].alias(f"s{r}")]
+    return out.select("case_id", "s0", *cols)
 
 
 def _reason(start: Column) -> Column:
@@ -159,7 +192,10 @@ def replay(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFr
 
     (action_id, case_id, actor_id, action, ts, start_status, end_status, accepted, reason).
     """
-    facts = action_facts(actions, cases, users, roles)
+    # The facts feed the aggregate, both rounds and the final join: pin them
+    # once (reliable checkpoint in the shared folder) instead of re-reading
+    # and re-joining the action log for every use.
+    facts = reliable_checkpoint(action_facts(actions, cases, users, roles))
     tr = transitions(facts)
     j = facts.join(tr.select("case_id", "k1", "s1", "k2", "s2", "k3", "s3"), "case_id", "left")
     k = F.col("_key")

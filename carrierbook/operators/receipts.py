@@ -133,56 +133,49 @@ def receipt_documents(headers: DataFrame, lines: DataFrame) -> DataFrame:
 
 def ledger_receipts(bookings: DataFrame, booking_cases: DataFrame, users: DataFrame, locations: DataFrame,
                     departments: DataFrame, entrepreneurs: DataFrame) -> DataFrame:
-    """Every receipt document at once (one row per non-NULL receipt number).
+    """Every receipt document header at once (one row per non-NULL receipt number).
 
     Header fields come from the receipt's first line in the order
-    ``COALESCE(line_no, 999999), id`` (picked by ``min`` over a struct, a
-    plain partial aggregate); totals are sums over the lines.  Joins (J3, J5)
-    run on the per-line projection; the case side is pre-aggregated per
-    receipt.  The ordered line list is ``receipt_lines`` (nest it with
-    ``receipt_documents``); as in A2, n > 1 cases on one receipt multiply
-    the reference's line rows, which ``mult`` reproduces.
+    ``COALESCE(line_no, 999999), id`` (exact ties broken by the line's other
+    columns), picked by ``min`` over a struct — a partial aggregate.  Lines
+    are aggregated per receipt *before* the dimension joins (J3, J5), so the
+    joins see one row per receipt; lines at unknown locations are dropped
+    first, as the reference's inner join does.  The ordered line list is
+    ``receipt_lines`` (nest it with ``receipt_documents``).  As in A2, n > 1
+    cases on one receipt multiply the reference's line rows (``mult``).
     """
-    b = bookings.where(F.col("receipt_no").isNotNull()).select(
-        "id", "receipt_no", "license_plate", "entrepreneur", "type", "quantity", "note", "created_at",
-        "product_type", "line_no", "user_id", "location_id", "department_id")
-    b = (b.join(user_name(users, "user_id", "_u"), "user_id", "left")
-          .join(locations.select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id", "inner")
-          .join(departments.select(F.col("id").alias("department_id"), F.col("name").alias("_dname")), "department_id", "left")
-          .join(entrepreneurs.select(F.col("name").alias("entrepreneur"), F.col("street").alias("entrepreneur_street"),
-                                     F.col("postal_code").alias("entrepreneur_postal_code"),
-                                     F.col("city").alias("entrepreneur_city")), "entrepreneur", "left"))
+    known_loc = locations.select(F.col("id").alias("location_id"))
+    b = bookings.where(F.col("receipt_no").isNotNull()).join(known_loc, "location_id", "left_semi")
     ord_ = F.coalesce(F.col("line_no"), F.lit(S.RECEIPT_LINE_NO_DEFAULT))
-    first = F.struct(ord_.alias("o"), F.col("id").alias("i"),
-                     F.col("created_at"), F.col("location"), F.col("location_id"),
-                     F.coalesce(F.col("_dname"), F.lit(S.DELETED_DEPARTMENT)).alias("department"),
-                     placeholder("_u").alias("username"), F.col("license_plate"), F.col("entrepreneur"),
-                     F.col("entrepreneur_street"), F.col("entrepreneur_postal_code"), F.col("entrepreneur_city"),
-                     F.col("note"), product_or_default("product_type").alias("product_type"))
+    first = F.struct(ord_.alias("o"), F.col("id").alias("i"), "created_at", "location_id", "department_id",
+                     "user_id", "license_plate", "entrepreneur", "note",
+                     product_or_default("product_type").alias("product_type"))
     per = b.groupBy("receipt_no").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("_n_lines"), *signed_sums())
-    cases = booking_cases.where(F.col("receipt_no").isNotNull()).select(
-        "receipt_no", "created_by", "employee_code", "non_exchangeable_qty")
-    cases = cases.join(user_name(users, "created_by", "_uc"), "created_by", "left")
-    case_side = cases.groupBy("receipt_no").agg(
-        F.min(F.struct(F.lit(0).alias("k"), placeholder("_uc").alias("aviso_created_by"),
-                       F.col("employee_code"), F.col("non_exchangeable_qty"))).alias("c"),
+    per = per.select("receipt_no", "f.*", "_n_lines", "_ins", "_outs")
+    per = (per.join(user_name(users, "user_id", "_u"), "user_id", "left")
+              .join(locations.select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id", "left")
+              .join(departments.select(F.col("id").alias("department_id"), F.col("name").alias("_dname")), "department_id", "left")
+              .join(entrepreneurs.select(F.col("name").alias("entrepreneur"), F.col("street").alias("entrepreneur_street"),
+                                         F.col("postal_code").alias("entrepreneur_postal_code"),
+                                         F.col("city").alias("entrepreneur_city")), "entrepreneur", "left"))
+    cases = booking_cases.where(F.col("receipt_no").isNotNull()).groupBy("receipt_no").agg(
+        F.min(F.struct("created_by", "employee_code", "non_exchangeable_qty")).alias("c"),
         F.count(F.lit(1)).alias("_n_cases"))
-    out = per.join(case_side, "receipt_no", "left")
+    cases = cases.join(user_name(users, "_cb", "_uc"), F.col("c.created_by") == F.col("_cb"), "left")
+    out = per.join(cases, "receipt_no", "left")
     mult = F.greatest(F.coalesce(F.col("_n_cases"), F.lit(1)), F.lit(1)).cast("bigint")
+    has_case = F.col("_n_cases").isNotNull()
     return out.select(
-        "receipt_no", F.col("f.created_at").alias("created_at"), F.col("f.location").alias("location"),
-        F.col("f.location_id").alias("location_id"), F.col("f.department").alias("department"),
-        F.col("f.username").alias("username"), F.col("f.license_plate").alias("license_plate"),
-        F.col("f.entrepreneur").alias("entrepreneur"), F.col("f.entrepreneur_street").alias("entrepreneur_street"),
-        F.col("f.entrepreneur_postal_code").alias("entrepreneur_postal_code"),
-        F.col("f.entrepreneur_city").alias("entrepreneur_city"),
-        F.coalesce(F.col("c.aviso_created_by"), F.lit(S.DELETED_USER)).alias("aviso_created_by"),
-        F.col("c.employee_code").alias("employee_code"), F.col("f.note").alias("note"),
+        "receipt_no", "created_at", "location", "location_id",
+        F.coalesce(F.col("_dname"), F.lit(S.DELETED_DEPARTMENT)).alias("department"),
+        placeholder("_u").alias("username"), "license_plate", "entrepreneur", "entrepreneur_street",
+        "entrepreneur_postal_code", "entrepreneur_city",
+        placeholder("_uc").alias("aviso_created_by"),
+        F.when(has_case, F.col("c.employee_code")).alias("employee_code"), "note",
         (F.coalesce(F.col("_ins"), F.lit(0)) * mult).cast("bigint").alias("qty_in"),
         (F.coalesce(F.col("_outs"), F.lit(0)) * mult).cast("bigint").alias("qty_out"),
         F.coalesce(F.col("c.non_exchangeable_qty"), F.lit(0)).alias("non_exchangeable_qty"),
-        F.col("f.product_type").alias("product_type"),
-        (F.col("_n_lines") * mult).alias("line_count"))
+        "product_type", (F.col("_n_lines") * mult).alias("line_count"))
 
 
 def case_receipts(booking_cases: DataFrame, users: DataFrame, locations: DataFrame, departments: DataFrame,

@@ -31,9 +31,24 @@ def names() -> list[str]:
     return list(_REGISTRY)
 
 
+_LEDGERS: dict[tuple[int, str], Ledger] = {}
+
+
+def ledger_for(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The ledger views of a folder, defined once per session (like tables in a catalog).
+
+    Views are plans, not data: sharing them between queries only saves
+    deriving and analysing the same definitions again.
+    """
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _LEDGERS:
+        _LEDGERS[key] = load_fixture_views(spark, sf_dir)
+    return _LEDGERS[key]
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     _load_all()
-    return _REGISTRY[name](load_fixture_views(spark, sf_dir))
+    return _REGISTRY[name](ledger_for(spark, sf_dir))
 
 
 def run_on(ledger: Ledger, name: str) -> DataFrame:
