@@ -118,3 +118,19 @@ def replay_department_notices(t):
     """Department notices created by the submits of the replayed log."""
     out = lifecycle.replay(t.case_actions, t.booking_cases, t.users, t.roles)
     return case_feed.notification_feed(out, t.booking_cases, t.users, t.departments, t.user_notifications)[0]
+
+
+@register("login_bursts", "WITH RECURSIVE " + with_prefix("login_attempts")[5:].rstrip() + """,
+e AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, attempt_id) AS rn FROM login_attempts),
+w AS (SELECT ip, rn, attempt_id, ts, ok, 1 AS cnt, ts + INTERVAL 1 DAY AS exp, ok AS cleared FROM e WHERE rn=1
+ UNION ALL
+ SELECT e.ip, e.rn, e.attempt_id, e.ts, e.ok,
+  CASE WHEN w.cleared OR w.exp <= e.ts THEN 1 ELSE w.cnt + 1 END,
+  CASE WHEN w.cleared OR w.exp <= e.ts THEN e.ts + INTERVAL 1 DAY ELSE w.exp END,
+  e.ok AND (CASE WHEN w.cleared OR w.exp <= e.ts THEN 1 ELSE w.cnt + 1 END) <= 5
+ FROM w JOIN e ON e.ip=w.ip AND e.rn=w.rn+1)
+SELECT attempt_id, ip, ts, ok, CAST(cnt AS BIGINT) AS attempt_count, cnt > 5 AS blocked FROM w""")
+def login_bursts(t):
+    """T4: every login attempt's count in its window and whether it is blocked (window 1 day, limit 5)."""
+    from carrierbook.operators.burst import burst_flags
+    return burst_flags(t.login_attempts, window=dt.timedelta(days=1), limit=5)
