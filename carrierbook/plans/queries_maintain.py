@@ -211,7 +211,38 @@ def role_backfill(t):
     return maintain.backfill_roles(legacy).select("id", "role")
 
 
-@register("reference_audit_counts")
+_FK_RULES = [
+    ("users", "location_id", "locations", "users.location_id→locations"),
+    ("users", "role_id", "roles", "users.role_id→roles"),
+    ("users", "fixed_department_id", "departments", "users.fixed_department_id→departments"),
+    ("bookings", "location_id", "locations", "bookings.location_id→locations"),
+    ("bookings", "department_id", "departments", "bookings.department_id→departments"),
+    ("bookings", "user_id", "users", "bookings.user_id→users"),
+    ("booking_cases", "location_id", "locations", "booking_cases.location_id→locations"),
+    ("booking_cases", "department_id", "departments", "booking_cases.department_id→departments"),
+    ("booking_cases", "created_by", "users", "booking_cases.created_by→users"),
+    ("booking_cases", "claimed_by", "users", "booking_cases.claimed_by→users"),
+    ("booking_cases", "submitted_by", "users", "booking_cases.submitted_by→users"),
+    ("booking_cases", "approved_by", "users", "booking_cases.approved_by→users"),
+    ("user_notifications", "user_id", "users", "user_notifications.user_id→users"),
+    ("user_notifications", "case_id", "booking_cases", "user_notifications.case_id→booking_cases"),
+]
+_CHECK_RULES = [
+    ("users", "role IS NULL OR role NOT IN ('admin','disponent','lager')", "users.role in (admin, disponent, lager)"),
+    ("bookings", "type IS NULL OR type NOT IN ('IN','OUT')", "bookings.type in (IN, OUT)"),
+    ("bookings", "quantity IS NULL OR quantity <= 0", "bookings.quantity > 0"),
+    ("bookings", "product_type NOT IN ('euro','h1','gitterbox')", "bookings.product_type in list"),
+    ("booking_cases", "status IS NULL OR status NOT IN (0,1,2,3,4)", "booking_cases.status in 0..4"),
+    ("booking_cases", "product_type NOT IN ('euro','h1','gitterbox')", "booking_cases.product_type in list"),
+]
+_AUDIT_SQL = with_prefix("users", "roles", "locations", "departments", "bookings", "user_notifications") + ",\nv AS (" + \
+    "\nUNION ALL ".join(
+        [f"SELECT '{r}' AS rule FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {d})" for t, c, d, r in _FK_RULES]
+        + [f"SELECT '{r}' FROM {t} WHERE {cond}" for t, cond, r in _CHECK_RULES]) + \
+    ")\nSELECT rule, count(*) AS violations FROM v GROUP BY rule"
+
+
+@register("reference_audit_counts", _AUDIT_SQL)
 def reference_audit_counts(t):
     """Q7: violations per foreign-key / CHECK rule."""
     return quality.audit_counts(quality.reference_audit(t))
