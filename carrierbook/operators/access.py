@@ -24,6 +24,7 @@ ADMIN_ROLE = -2    # role key of users whose user role is 'admin' (everything gr
 
 
 def _leaf_table(spark) -> DataFrame:
+    """The 25 leaves as rows (for the fixed no-role / admin keys)."""
     rows = [(g, leaf, f"{g}.{leaf}", bool(v), bool(S.FULL_ACCESS_PERMISSIONS[g][leaf]))
             for g, leaves in S.DEFAULT_PERMISSIONS.items() for leaf, v in leaves.items()]
     return spark.createDataFrame(rows, "grp string, leaf string, path string, default_value boolean, full_value boolean")
@@ -41,10 +42,13 @@ def role_permissions(roles: DataFrame) -> DataFrame:
     leaves = _leaf_table(spark)
     parsed = roles.select(F.col("id").alias("role_key"),
                           F.try_parse_json(F.coalesce(F.col("permissions"), F.lit("{}"))).alias("v"))
-    # Per (role, leaf): look the group and the leaf up in the role's JSON.  The
-    # role table is tiny, and the leaf table is 25 rows: a broadcast nested
-    # loop over (roles x 25 leaves) is bounded by both sizes.
-    rl = parsed.join(F.broadcast(leaves), F.lit(True), "inner")
+    # Per (role, leaf): every role row is expanded to its 25 leaves (a generator,
+    # no join), then the group and the leaf are looked up in the role's JSON.
+    leaf_rows = F.explode(F.array(*[
+        F.struct(F.lit(g).alias("grp"), F.lit(leaf).alias("leaf"), F.lit(f"{g}.{leaf}").alias("path"),
+                 F.lit(bool(v)).alias("default_value"), F.lit(bool(S.FULL_ACCESS_PERMISSIONS[g][leaf])).alias("full_value"))
+        for g, leaves in S.DEFAULT_PERMISSIONS.items() for leaf, v in leaves.items()]))
+    rl = parsed.select("role_key", "v", leaf_rows.alias("_l")).select("role_key", "v", "_l.*")
     grp_v = F.expr("try_variant_get(v, concat('$.', grp))")
     leaf_v = F.expr("try_variant_get(v, concat('$.', grp, '.', leaf))")
     grp_is_obj = F.startswith(F.schema_of_variant(grp_v), F.lit("OBJECT"))
@@ -170,14 +174,19 @@ def scope_rows(facts: DataFrame, scope: DataFrame, user_id: int, requested_locat
     """F2 for one user's request: the rows that user may list for ``requested_location``.
 
     -1 needs ``all_locations``; another location than the lock needs it too.
-    Denied requests give no rows.
+    The user's scope is one row, read once; denied requests give no rows.
     """
-    s = scope.where(F.col("user_id") == F.lit(user_id)).select("location_lock", "all_locations")
-    allowed = F.when(F.lit(requested_location) == -1, F.col("all_locations")).otherwise(
-        F.col("location_lock").isNull() | (F.col("location_lock") == F.lit(requested_location)) | F.col("all_locations"))
-    ok = s.where(allowed).select(F.lit(1).alias("_ok"))
-    rows = facts if requested_location == -1 else facts.where(F.col(column) == F.lit(requested_location))
-    return rows.join(F.broadcast(ok.limit(1)), F.lit(True), "left_semi")
+    row = scope.where(F.col("user_id") == F.lit(user_id)).select("location_lock", "all_locations").first()
+    if row is None:
+        return facts.where(F.lit(False))
+    lock, all_loc = row["location_lock"], bool(row["all_locations"])
+    if requested_location == -1:
+        allowed = all_loc
+    else:
+        allowed = lock is None or lock == requested_location or all_loc
+    if not allowed:
+        return facts.where(F.lit(False))
+    return facts if requested_location == -1 else facts.where(F.col(column) == F.lit(requested_location))
 
 
 def user_list_scope(users: DataFrame, roles: DataFrame) -> DataFrame:
@@ -196,15 +205,17 @@ def user_list_scope(users: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def visible_users(users: DataFrame, roles: DataFrame, viewer_id: int) -> DataFrame:
-    """P4 for one viewer: the users listed, sorted by username."""
-    scope = user_list_scope(users, roles).where(F.col("viewer_id") == F.lit(viewer_id))
+    """P4 for one viewer: the users listed, sorted by username (the viewer's scope is one row, read once)."""
     cols = [c for c in ("id", "username", "role", "location_id", "role_id", "is_active", "fixed_department_id")
             if c in users.columns]
-    cand = users.select(*cols)
-    out = cand.join(F.broadcast(scope.limit(1)),
-                    F.col("sees_all") | (F.col("department_id").isNotNull()
-                                         & (cand["fixed_department_id"] == F.col("department_id"))), "inner")
-    return out.select(*cols).orderBy("username")
+    row = user_list_scope(users, roles).where(F.col("viewer_id") == F.lit(viewer_id)).first()
+    if row is None or (not row["sees_all"] and row["department_id"] is None):
+        pred = F.lit(False)
+    elif row["sees_all"]:
+        pred = F.lit(True)
+    else:
+        pred = F.col("fixed_department_id") == F.lit(row["department_id"])
+    return users.where(pred).select(*cols).orderBy("username", "id")
 
 
 def me(users: DataFrame, roles: DataFrame) -> DataFrame:

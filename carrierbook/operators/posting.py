@@ -74,10 +74,20 @@ def _actor_table(users: DataFrame, roles: DataFrame, paths: list[str]) -> DataFr
                         *[F.coalesce(F.col(p.replace(".", "_")), F.lit(False)).alias(p.replace(".", "_")) for p in paths])
 
 
-def _with_actor(requests: DataFrame, actor_id: int | None) -> DataFrame:
-    if "actor_id" in requests.columns:
-        return requests
-    return requests.withColumn("actor_id", F.lit(actor_id).cast("int"))
+def _join_actor(req: DataFrame, actors: DataFrame, actor_id: int | None) -> DataFrame:
+    """Attach the actor's permissions and lock.
+
+    Requests that carry their own ``actor_id`` join the actor table on it; a
+    single actor given as a parameter is looked up once (one row) and added
+    as literals, which keeps the plan a plain projection.
+    """
+    if "actor_id" in req.columns and actor_id is None:
+        return req.join(actors, "actor_id", "left")
+    row = actors.where(F.col("actor_id") == F.lit(actor_id)).first()
+    values = row.asDict() if row is not None else {c: None for c in actors.columns}
+    out = req if "actor_id" in req.columns else req.withColumn("actor_id", F.lit(actor_id).cast("int"))
+    return out.withColumns({c: F.lit(values[c]).cast(actors.schema[c].dataType)
+                            for c in actors.columns if c != "actor_id"})
 
 
 def _int_ok(c: Column, minimum: int) -> Column:
@@ -92,11 +102,11 @@ def intake_cases(requests: DataFrame, users: DataFrame, roles: DataFrame, *, act
     both zero, product, employee code, location lock.  Accepted requests get
     consecutive case ids in request order.
     """
-    req = _with_actor(requests, actor_id)
+    req = requests
     for c in ("entrepreneur", "note"):
         if c not in req.columns:
             req = req.withColumn(c, F.lit(None).cast("string"))
-    req = req.join(_actor_table(users, roles, ["cases.create"]), "actor_id", "left")
+    req = _join_actor(req, _actor_table(users, roles, ["cases.create"]), actor_id)
     qin = F.coalesce(F.col("qty_in"), F.lit(0))
     qout = F.coalesce(F.col("qty_out"), F.lit(0))
     loc0 = F.coalesce(F.col("location_id"), F.lit(0)) == 0
@@ -137,10 +147,10 @@ def internal_transfers(requests: DataFrame, users: DataFrame, roles: DataFrame,
     ``in_only``.  Rule order: permission, target, quantity, note, source ≠
     target, product, location lock (target, then source).
     """
-    req = _with_actor(requests, actor_id)
+    req = requests
     if "product_type" not in req.columns:
         req = req.withColumn("product_type", F.lit(S.DEFAULT_PRODUCT))
-    req = req.join(_actor_table(users, roles, ["cases.internal_transfer"]), "actor_id", "left")
+    req = _join_actor(req, _actor_table(users, roles, ["cases.internal_transfer"]), actor_id)
     src = F.when(F.coalesce(F.col("from_location_id"), F.lit(0)) != 0, F.col("from_location_id"))
     to = F.col("to_location_id")
     note = trim_to_null("note")
