@@ -29,6 +29,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carrierbook.operators.numbering import number_rows
 from carrierbook.session import reliable_checkpoint
@@ -36,8 +37,13 @@ from carrierbook.session import reliable_checkpoint
 INF = (1 << 62)
 
 
-def _micros(c):
-    return F.unix_micros(c.cast("timestamp"))
+def _micros(df: DataFrame, name: str):
+    """Microseconds of a timestamp column; wall-clock (NTZ) values are read as UTC so
+    no session time zone (or its daylight-saving jumps) changes the distances."""
+    col = F.col(name)
+    if isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        return F.unix_micros(F.to_utc_timestamp(col.cast("timestamp"), df.sparkSession.conf.get("spark.sql.session.timeZone")))
+    return F.unix_micros(col)
 
 
 def burst_flags(attempts: DataFrame, *, window: _dt.timedelta, limit: int, key: str = "ip",
@@ -45,7 +51,7 @@ def burst_flags(attempts: DataFrame, *, window: _dt.timedelta, limit: int, key:
     """(attempt_id, key, ts, ok, attempt_count, blocked) for every attempt."""
     w_us = int(window.total_seconds() * 1_000_000)
     ev = attempts.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"), F.col(ts).alias("_ts"),
-                         F.coalesce(F.col(ok), F.lit(False)).alias("_ok"), _micros(F.col(ts)).alias("_t"))
+                         F.coalesce(F.col(ok), F.lit(False)).alias("_ok"), _micros(attempts, ts).alias("_t"))
     # 1. position per key
     ev = number_rows(ev, ["_t", "_id"], group=["_k"], out="pos")
     # 2a. rank inside the success / failure class → successes before each attempt

@@ -62,6 +62,11 @@ def search_cases(text: str | None, escape: bool = False) -> Column | None:
     return pred
 
 
+def ntz_literal(value: _dt.datetime) -> Column:
+    """A wall-clock timestamp literal that no session or process time zone shifts."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _as_date(d) -> _dt.date:
     return d if isinstance(d, _dt.date) else _dt.date.fromisoformat(str(d))
 
@@ -70,7 +75,7 @@ def date_from(value, column: str = "created_at") -> Column | None:
     """F5 lower bound: ``column >= from::date``; the bare column keeps Parquet min/max skipping."""
     if not value:
         return None
-    return F.col(column) >= F.lit(_dt.datetime.combine(_as_date(value), _dt.time())).cast("timestamp_ntz")
+    return F.col(column) >= ntz_literal(_dt.datetime.combine(_as_date(value), _dt.time()))
 
 
 def date_to(value, column: str = "created_at") -> Column | None:
@@ -78,7 +83,7 @@ def date_to(value, column: str = "created_at") -> Column | None:
     if not value:
         return None
     end = _dt.datetime.combine(_as_date(value) + _dt.timedelta(days=1), _dt.time())
-    return F.col(column) < F.lit(end).cast("timestamp_ntz")
+    return F.col(column) < ntz_literal(end)
 
 
 def contains_if_given(column: str, text: str | None, coalesce_blank: bool = True, escape: bool = False) -> Column | None:
