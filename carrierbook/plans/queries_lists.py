@@ -170,3 +170,33 @@ def case_lookup(t):
     """F9 batch form: the cases named in the action log, enriched (semi join)."""
     keys = t.case_actions.select(F.col("case_id"))
     return cases.get_cases(cases_with_flag(t), t.departments, t.locations, t.users, keys)
+
+
+@register("case_list_scoped", _CASE_PREFIX + _CASE_SELECT + """
+WHERE c.location_id=11 AND c.status=2 ORDER BY c.id DESC LIMIT 500""")
+def case_list_scoped(t):
+    """F2 + J1 + L1: user 4's request for location 11 (its own lock), status 2, newest 500."""
+    from carrierbook.operators import access
+    scope = access.user_scope(t.users, t.roles)
+    c = access.scope_rows(cases_with_flag(t), scope, user_id=4, requested_location=11)
+    return cases.list_cases(c, t.departments, t.locations, t.users, location_id=None, status=2)
+
+
+@register("case_list_scope_denied", _CASE_PREFIX + _CASE_SELECT + " WHERE false")
+def case_list_scope_denied(t):
+    """user 2 (locked, no all-locations right) asking for all locations gets nothing."""
+    from carrierbook.operators import access
+    scope = access.user_scope(t.users, t.roles)
+    c = access.scope_rows(cases_with_flag(t), scope, user_id=2, requested_location=-1)
+    return cases.list_cases(c, t.departments, t.locations, t.users, location_id=None)
+
+
+@register("receipt_page_after", with_prefix("users", "bookings") + ", pg AS (" + _ROLLUP_SELECT + """
+WHERE b.department_id=1 AND b.location_id=5 GROUP BY b.receipt_no HAVING MIN(b.id) < 20000
+ORDER BY MIN(b.id) DESC LIMIT 21)
+SELECT * EXCLUDE (rn, cnt), cnt > 20 AS has_more FROM (
+ SELECT *, row_number() OVER (ORDER BY id DESC) rn, count(*) OVER () cnt FROM pg) WHERE rn <= 20""")
+def receipt_page_after(t):
+    """A2 + L2 keyset form: the page of 20 receipts after id 20000 (newest first)."""
+    r = receipts.receipt_rollup(t.bookings, t.booking_cases, t.users, department_id=1, location_id=5)
+    return receipts.page_after(r, "id", 20000, limit=20)

@@ -134,3 +134,15 @@ def login_bursts(t):
     """T4: every login attempt's count in its window and whether it is blocked (window 1 day, limit 5)."""
     from carrierbook.operators.burst import burst_flags
     return burst_flags(t.login_attempts, window=dt.timedelta(days=1), limit=5)
+
+
+@register("transfer_feed", with_prefix("transfer_requests") + """,
+ok AS (SELECT * FROM transfer_requests WHERE coalesce(to_location_id,0)<>0 AND qty >= 1 AND nullif(trim(note),'') IS NOT NULL
+  AND NOT (coalesce(from_location_id,0)<>0 AND from_location_id=to_location_id)),
+loc AS (SELECT request_id, to_location_id AS location_id FROM ok UNION SELECT request_id, from_location_id FROM ok WHERE coalesce(from_location_id,0)<>0)
+SELECT request_id, 'loc:' || location_id AS channel, e.event, location_id FROM loc, (VALUES ('stockUpdated'), ('bookingsUpdated')) e(event)""")
+def transfer_feed(t):
+    """S5 for transfers: stockUpdated and bookingsUpdated on every location a transfer touches (admin as actor)."""
+    from carrierbook.operators import posting
+    lines, _ = posting.internal_transfers(t.transfer_requests, t.users, t.roles, actor_id=1)
+    return case_feed.transfer_events(lines)

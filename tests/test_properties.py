@@ -115,3 +115,14 @@ def test_live_case_state_stream_equals_replay(spark, ledger):
     cols = ["id", "status", "claimed_by", "submitted_by", "approved_by"]
     got = runner.current().select(*cols)
     assert got.exceptAll(once.select(*cols)).count() == 0
+
+
+def test_company_export_one_folder_per_pair(spark, ledger):
+    out = os.path.join(tempfile.mkdtemp(prefix="cb-company-"), "ledger")
+    export.write_company_export(ledger.bookings, ledger.users, out)
+    back = spark.read.parquet(out)
+    src = ledger.bookings.where(F.col("department_id").isNotNull())
+    assert back.where(F.col("department_id").isNotNull()).count() == src.count()
+    assert back.select("location_id", "department_id").distinct().count() == \
+        ledger.bookings.select("location_id", "department_id").distinct().count()
+    assert set(back.columns) >= set(export.EXPORT_FIELDS)
