@@ -126,3 +126,16 @@ def test_company_export_one_folder_per_pair(spark, ledger):
     assert back.select("location_id", "department_id").distinct().count() == \
         ledger.bookings.select("location_id", "department_id").distinct().count()
     assert set(back.columns) >= set(export.EXPORT_FIELDS)
+
+
+def test_stored_layout_prunes_location_partitions(spark, ledger):
+    from carrierbook.operators import balance
+    from carrierbook.sources.fixtures import load_tables, store_tables
+    d = tempfile.mkdtemp(prefix="cb-tables-")
+    store_tables(ledger, d, ["bookings", "departments"])
+    stored = load_tables(spark, d)
+    q = balance.stock(stored.bookings, mode="location", location_id=3, departments=stored.departments)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(location_id" in plan and "(location_id#" in plan
+    want = balance.stock(ledger.bookings, mode="location", location_id=3, departments=ledger.departments)
+    assert q.exceptAll(want).count() == 0 and want.exceptAll(q).count() == 0
