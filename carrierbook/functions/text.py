@@ -43,10 +43,6 @@ def contains_ci(c, text: str, escape: bool = False) -> Column:
     return col_(c).ilike(f"%{t}%")
 
 
-def is_blank_or_null(c) -> Column:
-    return F.coalesce(col_(c), F.lit("")) == ""
-
-
 def not_blank(c) -> Column:
     """``c IS NOT NULL AND c <> ''`` (NULL also fails)."""
     return col_(c).isNotNull() & (col_(c) != "")

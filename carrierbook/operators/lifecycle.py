@@ -45,8 +45,6 @@ ACTION_PERMISSION = {
 KNOWN_ACTIONS = list(ACTION_PERMISSION)
 _PATHS = sorted(set(ACTION_PERMISSION.values()) | {"cases.require_employee_code"})
 
-# Status transitions that can move a case, by the status they leave.
-_MOVES = {1: ("claim", 2), 2: ("submit", 3), 3: ("approve", 4)}
 _ROUNDS = 3
 
 
@@ -100,14 +98,6 @@ def _mover_kind() -> Column:
             .when(ok & (a == "cancel"), F.lit("cancel")))
 
 
-def _transition_target(cur: Column, kind: Column) -> Column:
-    """Status reached when ``kind`` meets status ``cur`` (NULL = no move)."""
-    t = F.when(kind == "cancel", F.when(cur.isin(1, 2, 3), F.lit(S.STATUS_CANCELLED)))
-    for frm, (k, to) in _MOVES.items():
-        t = F.when((kind == k) & (cur == frm), F.lit(to)).otherwise(t)
-    return t
-
-
 def transitions(facts: DataFrame) -> DataFrame:
     """Per case: the (at most three) status transitions of its log.
 

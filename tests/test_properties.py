@@ -139,3 +139,32 @@ def test_stored_layout_prunes_location_partitions(spark, ledger):
     assert "PartitionFilters: [isnotnull(location_id" in plan and "(location_id#" in plan
     want = balance.stock(ledger.bookings, mode="location", location_id=3, departments=ledger.departments)
     assert q.exceptAll(want).count() == 0 and want.exceptAll(q).count() == 0
+
+
+def test_validate_first_failing_rule(spark):
+    from carrierbook.functions import rules as R
+    from carrierbook.operators import quality
+    df = spark.createDataFrame([(" hh12 ", "H1 "), ("HH-1", "wood"), ("ab", None)], "plate string, product string")
+    ok, bad = quality.validate(df, [R.plate_error("plate"), R.product_error("product")])
+    assert ok.count() == 1
+    assert sorted(r["reason"] for r in bad.collect()) == sorted(["Kennzeichen bitte ohne '-' eingeben", "Kennzeichen zu kurz"])
+
+
+def test_referenced_ids_guard(ledger):
+    from carrierbook.operators import quality
+    targets = ledger.departments.select("id")
+    used = {r["id"] for r in quality.referenced_ids(targets, ledger.bookings, "department_id").collect()}
+    assert 6 not in used and used == {1, 2, 3, 4, 5}
+
+
+def test_receipt_documents_nest_lines_in_order(ledger):
+    from carrierbook.operators import receipts
+    lines = receipts.receipt_lines(ledger.bookings)
+    heads = receipts.ledger_receipts(ledger.bookings, ledger.booking_cases, ledger.users, ledger.locations,
+                                     ledger.departments, ledger.entrepreneurs)
+    docs = receipts.receipt_documents(heads, lines)
+    bad = docs.where(F.size("lines") != F.col("line_count"))
+    assert bad.count() == 0
+    tot = docs.select(F.aggregate("lines", F.lit(0), lambda a, x: a + F.when(x["type"] == "IN", x["quantity"]).otherwise(0))
+                      .alias("i"), "qty_in")
+    assert tot.where(F.col("i") != F.col("qty_in")).count() == 0
