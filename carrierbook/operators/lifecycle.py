@@ -272,3 +272,25 @@ def approvals(outcomes: DataFrame, cases: DataFrame) -> DataFrame:
         "case_id", F.col("actor_id").alias("approved_by"), F.col("ts").alias("approved_at"), "action_id")
     c = cases.drop("approved_by")
     return c.join(a, c["id"] == a["case_id"], "inner").drop("case_id")
+
+
+def commit_batch(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFrame,
+                 locations: DataFrame, *, receipt_start: int, day) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """B5 end to end: apply a batch, number the approvals, post them.
+
+    → (new case rows with receipt numbers on approved cases, ledger lines of
+    the approvals, rejected actions).  Approvals are numbered consecutively
+    from ``receipt_start`` in (ts, action_id) order (B3) and posted as 0-2
+    lines each (B1) with the approver as the line's user.
+    """
+    from carrierbook.operators import posting
+    new, rejects = apply_batch(actions, cases, users, roles)
+    outcomes = replay(actions, cases, users, roles)
+    appr = approvals(outcomes, cases)
+    numbered = posting.assign_receipt_numbers(appr, locations, order=["approved_at", "action_id"],
+                                              start=receipt_start, day=day)
+    lines = posting.post_cases(numbered)
+    rno = numbered.select(F.col("id").alias("_nid"), F.col("receipt_no").alias("_rno"))
+    snap = new.join(rno, new["id"] == rno["_nid"], "left") \
+        .withColumn("receipt_no", F.coalesce(F.col("_rno"), F.col("receipt_no"))).drop("_nid", "_rno")
+    return snap.select(*new.columns), lines, rejects

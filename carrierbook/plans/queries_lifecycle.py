@@ -114,3 +114,21 @@ def case_batch_apply(t):
     batch = lifecycle.first_action_per_case(t.case_actions)
     touched = t.booking_cases.join(batch.select(F.col("case_id").alias("id")), "id", "left_semi")
     return lifecycle.apply_batch(batch, touched, t.users, t.roles)[0]
+
+
+@register("case_batch_commit", "WITH RECURSIVE " + REPLAY_SQL[len("WITH RECURSIVE "):].replace(
+    "FROM case_actions a LEFT JOIN booking_cases c", "FROM (SELECT * FROM case_actions QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ts, action_id)=1) a LEFT JOIN booking_cases c", 1).replace(
+    "booking_cases AS (", "locations AS (select cast(n_nationkey+1 as int) id, n_name name from nation),\nbooking_cases AS (", 1) + f""",
+x AS (SELECT o.case_id, c.location_id, row_number() OVER (ORDER BY o.ts, o.action_id) + 900 AS seq FROM outc o JOIN booking_cases c ON c.id=o.case_id
+  WHERE o.reason IS NULL AND o.action='approve'),
+n AS (SELECT x.case_id, {_RNO} AS rno FROM x LEFT JOIN locations l ON l.id=x.location_id)
+SELECT c.id, coalesce(o.end_status, c.status) AS status, coalesce(n.rno, c.receipt_no) AS receipt_no,
+ CASE WHEN o.reason IS NULL AND o.action='approve' THEN o.actor_id ELSE c.approved_by END AS approved_by
+FROM booking_cases c JOIN (SELECT DISTINCT case_id FROM case_actions) k ON k.case_id=c.id LEFT JOIN outc o ON o.case_id=c.id
+LEFT JOIN n ON n.case_id=c.id""")
+def case_batch_commit(t):
+    """B5 + B3: the earliest action per logged case committed as one batch; approvals numbered from 901."""
+    batch = lifecycle.first_action_per_case(t.case_actions)
+    touched = t.booking_cases.join(batch.select(F.col("case_id").alias("id")), "id", "left_semi")
+    snap, _, _ = lifecycle.commit_batch(batch, touched, t.users, t.roles, t.locations, receipt_start=901, day=DAY)
+    return snap.select("id", "status", "receipt_no", "approved_by")

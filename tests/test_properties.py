@@ -168,3 +168,11 @@ def test_receipt_documents_nest_lines_in_order(ledger):
     tot = docs.select(F.aggregate("lines", F.lit(0), lambda a, x: a + F.when(x["type"] == "IN", x["quantity"]).otherwise(0))
                       .alias("i"), "qty_in")
     assert tot.where(F.col("i") != F.col("qty_in")).count() == 0
+
+
+def test_notice_merge_is_idempotent(ledger):
+    created = notify.location_fanout(ledger.booking_cases.where(F.col("status") == 1), ledger.users, ledger.locations)
+    first = notify.merge_new(ledger.user_notifications, created)
+    existing = ledger.user_notifications.select("user_id", "case_id", "title").unionByName(
+        first.select("user_id", "case_id", "title"))
+    assert notify.merge_new(existing, created).count() == 0
