@@ -37,8 +37,12 @@ def number_rows(df: DataFrame, order: list[Column | str], group: list[str] | Non
     group = list(group or [])
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(g) for g in group] + order_cols
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count the range shuffle is sized by AQE (adjacent
+    # ranges are coalesced up to the advisory partition size), so the number
+    # of partitions follows the data; ids are read after that, from the
+    # checkpointed partitions.
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
+    ranged = (ranged.sortWithinPartitions(*keys)
               .withColumn("__nr_mid", F.monotonically_increasing_id()))
     ranged = reliable_checkpoint(ranged)
     ranged = ranged.withColumns({"__nr_pid": F.shiftright(F.col("__nr_mid"), 33),

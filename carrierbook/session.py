@@ -33,6 +33,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
+    if not (master or "").startswith("local"):
+        # On a cluster, coalesce shuffle partitions to the advisory size (not
+        # to the default parallelism), so partition counts follow data volume.
+        conf["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
+        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "128m"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 from carrierbook.operators.numbering import number_rows
 
 
-def test_numbering_matches_row_number_with_hot_group(spark):
+import pytest
+
+
+@pytest.mark.parametrize("parts", [16, None])
+def test_numbering_matches_row_number_with_hot_group(spark, parts):
     df = spark.range(0, 20000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("g"),  # group 0 holds a third
         (F.col("id") * 7919 % 20011).alias("k"), F.col("id"))
-    got = number_rows(df, ["k", "id"], group=["g"], start=1, out="n", num_partitions=16)
+    got = number_rows(df, ["k", "id"], group=["g"], start=1, out="n", num_partitions=parts)
     w = Window.partitionBy("g").orderBy("k", "id")
     want = df.withColumn("n", F.row_number().over(w).cast("bigint"))
     assert got.select("id", "n").exceptAll(want.select("id", "n")).count() == 0
