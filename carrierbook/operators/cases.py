@@ -20,22 +20,45 @@ def with_transfer_flag(booking_cases: DataFrame, flag=None) -> DataFrame:
                                     flag if flag is not None else F.lit(False))
 
 
-def enrich_cases(cases: DataFrame, departments: DataFrame, locations: DataFrame, users: DataFrame) -> DataFrame:
+def _user_names_once(cases: DataFrame, users: DataFrame) -> DataFrame:
+    """The four user names of every case with one lookup join (for user tables too big to broadcast).
+
+    The four ids are unpivoted into narrow (case, role, user) rows, joined to
+    the users once, and pivoted back per case; the wide case rows are then
+    shuffled once (join on the case id) instead of once per user role.
+    """
+    roles = [name for _, name in CASE_USER_ROLES]
+    ids = cases.select(F.col("id").alias("_cid"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("r"), F.col(id_col).alias("uid")) for id_col, name in CASE_USER_ROLES])).alias("x"))
+    ids = ids.select("_cid", "x.r", "x.uid").where(F.col("uid").isNotNull())
+    named = ids.join(users.select(F.col("id").alias("uid"), "username"), "uid", "inner")
+    wide = named.groupBy("_cid").pivot("r", roles).agg(F.first("username"))
+    return wide.select("_cid", *[F.col(n).alias(f"_{n}") for n in roles])
+
+
+def enrich_cases(cases: DataFrame, departments: DataFrame, locations: DataFrame, users: DataFrame,
+                 large_users: bool = False) -> DataFrame:
     """Department (left, placeholder), location (inner), and four user names (left, placeholder).
 
     Spark picks broadcast hash joins for dimensions under the broadcast
     threshold (checked on the plan's size estimate and again by AQE on the
-    real size), else sort-merge joins.  A never-set user id shows the
-    placeholder, as in the reference.
+    real size), else sort-merge joins.  With ``large_users`` the four names
+    come from one unpivoted lookup (:func:`_user_names_once`), so a users
+    table above the threshold costs one shuffle of the case rows, not four.
+    A never-set user id shows the placeholder, as in the reference.
     """
     out = (cases.join(departments.select(F.col("id").alias("_did"), F.col("name").alias("_dname")),
                       F.col("department_id") == F.col("_did"), "left")
            .join(locations.select(F.col("id").alias("_lid"), F.col("name").alias("location")),
                  F.col("location_id") == F.col("_lid"), "inner"))
-    names = users.select("id", "username")
-    for id_col, name_col in CASE_USER_ROLES:
-        u = names.select(F.col("id").alias(f"_{id_col}"), F.col("username").alias(f"_{name_col}"))
-        out = out.join(u, F.col(id_col) == F.col(f"_{id_col}"), "left")
+    if large_users:
+        names = _user_names_once(cases, users)
+        out = out.join(names, F.col("id") == F.col("_cid"), "left")
+    else:
+        names = users.select("id", "username")
+        for id_col, name_col in CASE_USER_ROLES:
+            u = names.select(F.col("id").alias(f"_{id_col}"), F.col("username").alias(f"_{name_col}"))
+            out = out.join(u, F.col(id_col) == F.col(f"_{id_col}"), "left")
     return out.select(
         *cases.columns,
         F.coalesce(F.col("_dname"), F.lit(S.DELETED_DEPARTMENT)).alias("department"),
@@ -54,12 +77,12 @@ def case_filter(*, location_id: int | None, status: int | None = None, translogi
 def list_cases(booking_cases: DataFrame, departments: DataFrame, locations: DataFrame, users: DataFrame, *,
                location_id: int | None, status: int | None = None, translogica: bool | None = None,
                mine_user_id: int | None = None, search: str | None = None, limit: int | None = 500,
-               escape: bool = False) -> DataFrame:
+               escape: bool = False, large_users: bool = False) -> DataFrame:
     """Case list: filters, then enrichment, newest ``limit`` by id (L1; ``None`` = all)."""
     c = with_transfer_flag(booking_cases)
     c = c.where(case_filter(location_id=location_id, status=status, translogica=translogica,
                             mine_user_id=mine_user_id, search=search, escape=escape))
-    out = enrich_cases(c, departments, locations, users)
+    out = enrich_cases(c, departments, locations, users, large_users=large_users)
     if limit is not None:
         # Top-k on the filtered cases: TakeOrderedAndProject keeps k rows per task.
         out = out.orderBy(F.col("id").desc()).limit(limit)

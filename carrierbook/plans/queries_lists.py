@@ -200,3 +200,11 @@ def receipt_page_after(t):
     """A2 + L2 keyset form: the page of 20 receipts after id 20000 (newest first)."""
     r = receipts.receipt_rollup(t.bookings, t.booking_cases, t.users, department_id=1, location_id=5)
     return receipts.page_after(r, "id", 20000, limit=20)
+
+
+@register("case_search_large_users", _CASE_PREFIX + _CASE_SELECT + """
+WHERE (c.license_plate ILIKE '%HH2%' OR COALESCE(c.entrepreneur,'') ILIKE '%HH2%' OR COALESCE(c.note,'') ILIKE '%HH2%')""")
+def case_search_large_users(t):
+    """J1 (one-lookup form for user tables above the broadcast threshold) + F4: search 'HH2'."""
+    return cases.list_cases(cases_with_flag(t), t.departments, t.locations, t.users, location_id=-1,
+                            search="HH2", limit=None, large_users=True)
