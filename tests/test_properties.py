@@ -110,6 +110,8 @@ def test_live_case_state_stream_equals_replay(spark, ledger):
     ck = tempfile.mkdtemp(prefix="cb-ck-")
     runner.start(stream, ck).awaitTermination()
     acts.where(F.col("ts") >= cut).write.mode("overwrite").parquet(os.path.join(src, "b"))
+    # a fresh runner (as after a driver restart) resumes from the last committed batch
+    runner = LiveCaseState(spark, None, ledger.users, ledger.roles, state_dir, schema=ledger.booking_cases.schema)
     runner.start(spark.readStream.schema(acts.schema).option("recursiveFileLookup", True).parquet(src), ck).awaitTermination()
     once, _ = advance_cases(ledger.booking_cases, acts, ledger.users, ledger.roles)
     cols = ["id", "status", "claimed_by", "submitted_by", "approved_by"]
