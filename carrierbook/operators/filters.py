@@ -57,7 +57,7 @@ def search_cases(text: str | None, escape: bool = False) -> Column | None:
     pred = (contains_ci("license_plate", text, escape)
             | contains_ci(F.coalesce(F.col("entrepreneur"), F.lit("")), text, escape)
             | contains_ci(F.coalesce(F.col("note"), F.lit("")), text, escape))
-    if re.fullmatch(r"[0-9]+", text):
+    if re.fullmatch(r"[0-9]+", text) and int(text) <= 2**31 - 1:   # ids are int: longer digit runs cannot match
         pred = (F.col("id") == F.lit(int(text))) | pred
     return pred
 
