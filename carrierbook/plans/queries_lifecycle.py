@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from carrierbook.operators import lifecycle, posting
 from carrierbook.plans.catalog import register
 from carrierbook.plans.queries_access import PERM_CTES
-from carrierbook.sources.fixtures import with_prefix
+from carrierbook.sources.fixtures import VIEW_SQL, with_prefix
 
 DAY = dt.date(2024, 2, 1)
 
@@ -132,3 +132,58 @@ def case_batch_commit(t):
     touched = t.booking_cases.join(batch.select(F.col("case_id").alias("id")), "id", "left_semi")
     snap, _, _ = lifecycle.commit_batch(batch, touched, t.users, t.roles, t.locations, receipt_start=901, day=DAY)
     return snap.select("id", "status", "receipt_no", "approved_by")
+
+
+_EDIT_PREFIX = "WITH " + with_prefix("users", "roles", "booking_cases")[5:].rstrip() + \
+    ",\n case_edits AS (" + VIEW_SQL["case_edits"] + "),\n" + PERM_CTES + """,
+e AS (SELECT * FROM case_edits QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ts, action_id)=1),
+x AS (SELECT e.*, c.id IS NOT NULL AS found, c.status AS st, c.qty_in AS c_in, c.qty_out AS c_out,
+  coalesce(lk.lock IS NOT NULL AND lk.lock <> c.location_id, false) AS forbidden, coalesce(p.effective,false) AS perm,
+  coalesce(rq.effective,false) AS req,
+  greatest(coalesce(e.qty_in, c.qty_in, 0) - coalesce(e.qty_out, c.qty_out, 0), 0) AS soll,
+  upper(nullif(trim(e.employee_code),'')) AS code
+ FROM e LEFT JOIN booking_cases c ON c.id=e.case_id
+ LEFT JOIN (SELECT id, CASE WHEN role<>'admin' AND location_id IS NOT NULL AND location_id<>0 THEN location_id END AS lock FROM users) lk ON lk.id=e.actor_id
+ LEFT JOIN perm p ON p.user_id=e.actor_id AND p.path='cases.edit'
+ LEFT JOIN perm rq ON rq.user_id=e.actor_id AND rq.path='cases.require_employee_code'),
+r AS (SELECT x.*, CASE WHEN NOT found THEN 'Not found' WHEN forbidden THEN 'Forbidden' WHEN NOT perm THEN 'Keine Berechtigung'
+  WHEN st NOT IN (1,2) THEN 'Nur in Status 1/2 editierbar'
+  WHEN license_plate IS NOT NULL AND upper(trim(license_plate))='' THEN 'Kennzeichen ist Pflicht'
+  WHEN license_plate IS NOT NULL AND contains(upper(trim(license_plate)),'-') THEN 'Kennzeichen bitte ohne ''-'' eingeben'
+  WHEN license_plate IS NOT NULL AND regexp_matches(upper(trim(license_plate)),'\\s') THEN 'Kennzeichen bitte ohne Leerzeichen eingeben'
+  WHEN license_plate IS NOT NULL AND NOT regexp_full_match(upper(trim(license_plate)),'[A-Z0-9ÄÖÜ]+') THEN 'Kennzeichen nur Buchstaben/Zahlen (ohne Sonderzeichen)'
+  WHEN license_plate IS NOT NULL AND length(upper(trim(license_plate))) < 3 THEN 'Kennzeichen zu kurz'
+  WHEN qty_in < 0 THEN 'qty_in invalid' WHEN qty_out < 0 THEN 'qty_out invalid'
+  WHEN non_exchangeable_qty < 0 THEN 'non_exchangeable_qty invalid'
+  WHEN st <> 2 AND non_exchangeable_qty IS NOT NULL THEN 'non_exchangeable_qty nur in Status 2 editierbar'
+  WHEN st = 2 AND non_exchangeable_qty > soll THEN 'non_exchangeable_qty darf positives Soll nicht übersteigen'
+  WHEN product_type IS NOT NULL AND lower(trim(coalesce(nullif(product_type,''),'euro'))) NOT IN ('euro','h1','gitterbox') THEN 'product_type invalid'
+  WHEN employee_code IS NOT NULL AND st <> 2 THEN 'employee_code nur in Status 2 editierbar'
+  WHEN employee_code IS NOT NULL AND code IS NOT NULL AND NOT regexp_full_match(code, '[A-Z0-9]{2}') THEN 'Lagermitarbeiter muss genau 2 Zeichen haben (Buchstaben/Zahlen)'
+  WHEN employee_code IS NOT NULL AND req AND code IS NULL THEN 'Lagermitarbeiter (2-stellig) ist bei Status 2 Pflicht' END AS reason FROM x)
+"""
+
+
+@register("case_edit_rejects", _EDIT_PREFIX + "SELECT action_id, case_id, actor_id, reason FROM r WHERE reason IS NOT NULL")
+def case_edit_rejects(t):
+    """B5 edit: rejected edits of the first edit per case (full rule order)."""
+    batch = lifecycle.first_action_per_case(t.case_edits)
+    return lifecycle.apply_edits(batch, t.booking_cases, t.users, t.roles)[1]
+
+
+@register("case_edit_apply", _EDIT_PREFIX + """, ok AS (SELECT * FROM r WHERE reason IS NULL)
+SELECT c.id, coalesce(CASE WHEN coalesce(ok.department_id,0)<>0 THEN ok.department_id END, c.department_id) AS department_id,
+ coalesce(upper(trim(ok.license_plate)), c.license_plate) AS license_plate,
+ coalesce(nullif(trim(ok.entrepreneur),''), c.entrepreneur) AS entrepreneur, coalesce(nullif(trim(ok.note),''), c.note) AS note,
+ coalesce(ok.qty_in, c.qty_in) AS qty_in, coalesce(ok.qty_out, c.qty_out) AS qty_out,
+ coalesce(lower(trim(ok.product_type)), c.product_type) AS product_type,
+ CASE WHEN c.status=2 THEN coalesce(ok.non_exchangeable_qty, c.non_exchangeable_qty) ELSE c.non_exchangeable_qty END AS non_exchangeable_qty,
+ CASE WHEN c.status=2 AND ok.employee_code IS NOT NULL THEN ok.code ELSE c.employee_code END AS employee_code, ok.ts AS updated_at
+FROM booking_cases c JOIN (SELECT DISTINCT case_id FROM case_edits) k ON k.case_id=c.id LEFT JOIN ok ON ok.case_id=c.id""")
+def case_edit_apply(t):
+    """B5 edit + W3: the edited cases after applying the first edit per case (COALESCE patch)."""
+    batch = lifecycle.first_action_per_case(t.case_edits)
+    touched = t.booking_cases.join(batch.select(F.col("case_id").alias("id")), "id", "left_semi")
+    new, _ = lifecycle.apply_edits(batch, touched, t.users, t.roles)
+    return new.select("id", "department_id", "license_plate", "entrepreneur", "note", "qty_in", "qty_out",
+                      "product_type", "non_exchangeable_qty", "employee_code", "updated_at")

@@ -145,6 +145,9 @@ USER_PATCHES = _s([("id", I), ("present", S), ("location_id", I), ("is_active",
 USER_REQUESTS = _s([("request_id", I), ("username", S), ("location_id", I), ("role_id", I),
                     ("fixed_department_id", I), ("email", S)])
 PARTNER_REPLACEMENTS = ENTREPRENEURS
+CASE_EDITS = _s([("action_id", I), ("case_id", I), ("actor_id", I), ("ts", TS), ("department_id", I),
+                 ("license_plate", S), ("entrepreneur", S), ("note", S), ("qty_in", I), ("qty_out", I),
+                 ("non_exchangeable_qty", I), ("employee_code", S), ("product_type", S)])
 
 SCHEMAS = {
     "locations": LOCATIONS, "departments": DEPARTMENTS, "entrepreneurs": ENTREPRENEURS, "users": USERS,
@@ -152,5 +155,5 @@ SCHEMAS = {
     "roles": ROLES, "case_actions": CASE_ACTIONS, "login_attempts": LOGIN_ATTEMPTS,
     "partner_updates": PARTNER_UPDATES, "case_requests": CASE_REQUESTS, "transfer_requests": TRANSFER_REQUESTS, "read_marks": READ_MARKS,
     "theme_updates": THEME_UPDATES, "booking_patches": BOOKING_PATCHES, "user_patches": USER_PATCHES,
-    "user_requests": USER_REQUESTS, "partner_replacements": PARTNER_REPLACEMENTS,
+    "user_requests": USER_REQUESTS, "partner_replacements": PARTNER_REPLACEMENTS, "case_edits": CASE_EDITS,
 }

@@ -147,3 +147,77 @@ def test_batch_apply_sets_stamps(spark):
     assert rows[1]["status"] == 2 and rows[1]["claimed_by"] == 1
     assert rows[2]["status"] == 3  # user 3 is locked to location 2: Forbidden
     assert [r["reason"] for r in rejects.collect()] == [S.ERR_FORBIDDEN]
+
+
+def _edit_expect(case, e, req_code):
+    """The reference's edit route for one case and payload (NULL = field not sent)."""
+    s = case["status"]
+    if e["actor_id"] in LOCK and LOCK[e["actor_id"]] != case["location_id"]:
+        return S.ERR_FORBIDDEN
+    if "edit" not in RIGHTS.get(e["actor_id"], set()):
+        return S.ERR_NO_PERMISSION
+    if s not in (1, 2):
+        return S.ERR_EDIT_STATUS
+    if e["plate"] is not None:
+        p = e["plate"].strip().upper()
+        if not p:
+            return S.ERR_PLATE_REQUIRED
+        if "-" in p:
+            return S.ERR_PLATE_DASH
+        if any(ch.isspace() for ch in p):
+            return S.ERR_PLATE_SPACE
+        if len(p) < 3:
+            return S.ERR_PLATE_SHORT
+    if e["qin"] is not None and e["qin"] < 0:
+        return S.ERR_QTY_IN
+    if e["nonx"] is not None and e["nonx"] < 0:
+        return S.ERR_NON_EXCH
+    soll = max((e["qin"] if e["qin"] is not None else 5) - 2, 0)
+    if s != 2 and e["nonx"] is not None:
+        return S.ERR_NON_EXCH_STATUS
+    if s == 2 and e["nonx"] is not None and e["nonx"] > soll:
+        return S.ERR_NON_EXCH_SOLL
+    if e["code"] is not None:
+        if s != 2:
+            return S.ERR_EMPLOYEE_CODE_STATUS
+        c = e["code"].strip().upper()
+        if c and not (len(c) == 2 and c.isalnum()):
+            return S.ERR_EMPLOYEE_CODE
+        if req_code and not c:
+            return S.ERR_EMPLOYEE_CODE_REQUIRED
+    return None
+
+
+def test_edit_rule_table(spark):
+    combos = []
+    payloads = [dict(plate=None, qin=None, nonx=None, code=None), dict(plate="hh-1", qin=None, nonx=None, code=None),
+                dict(plate="ab", qin=None, nonx=None, code=None), dict(plate=" hb12 ", qin=-1, nonx=None, code=None),
+                dict(plate=None, qin=4, nonx=3, code=None), dict(plate=None, qin=9, nonx=3, code=None),
+                dict(plate=None, qin=None, nonx=None, code="x"), dict(plate=None, qin=None, nonx=None, code=" a7 "),
+                dict(plate=None, qin=None, nonx=-2, code=None)]
+    cases, edits = [], []
+    cid = 0
+    for status in (1, 2, 3):
+        for actor in (1, 2, 4, 5):
+            for p in payloads:
+                cid += 1
+                cases.append(dict(id=cid, location_id=1 if cid % 2 else 2, status=status, employee_code=None))
+                edits.append(dict(action_id=cid, case_id=cid, actor_id=actor, **p))
+    cdf = spark.createDataFrame(
+        [(c["id"], c["location_id"], None, 4, c["status"], "HH1", None, None, 5, 2, 0, None, None,
+          dt.datetime(2024, 1, 1), None, None, None, None) for c in cases], S.BOOKING_CASES)
+    edf = spark.createDataFrame(
+        [(e["action_id"], e["case_id"], e["actor_id"], dt.datetime(2024, 1, 2), None, e["plate"], None, None,
+          e["qin"], None, e["nonx"], e["code"], None) for e in edits], S.CASE_EDITS)
+    users = spark.createDataFrame(USERS, S.USERS)
+    roles = spark.createDataFrame(ROLES, S.ROLES)
+    new, rejects = lifecycle.apply_edits(edf, cdf, users, roles)
+    got = {r["action_id"]: r["reason"] for r in rejects.collect()}
+    want = {e["action_id"]: _edit_expect(c, e, e["actor_id"] in REQUIRE_CODE) for c, e in zip(cases, edits)}
+    assert got == {k: v for k, v in want.items() if v is not None}
+    rows = {r["id"]: r for r in new.collect()}
+    for c, e in zip(cases, edits):
+        if want[e["action_id"]] is None and e["code"] is not None:
+            assert rows[c["id"]]["employee_code"] == e["code"].strip().upper()
+        if want[e["action_id"]] is None and e["plate"] is not None:
+            assert rows[c["id"]]["license_plate"] == e["plate"].strip().upper()
