@@ -116,13 +116,17 @@ def receipt_lines(bookings: DataFrame) -> DataFrame:
     return out.select("receipt_no", "position", "id", "line_no", "type", "quantity")
 
 
-def receipt_documents(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """Nest the numbered lines into their receipt header (``lines`` array in position order).
-
-    A receipt's lines come from one approval (at most an IN and an OUT line)
-    or one transfer, so the array per receipt is small by the posting rule.
+def receipt_documents(headers: DataFrame, lines: DataFrame, part_size: int = 1000) -> DataFrame:
+    """Nest the numbered lines into their receipt header: one row per (receipt, part).
+
+    ``lines`` holds at most ``part_size`` lines in position order; a receipt
+    with more lines continues in the next part (``part`` 0, 1, ...).  Receipts
+    from an approval or a transfer have one or two lines, so they are one
+    part, but a receipt number shared by very many lines never becomes one
+    task's array.
     """
-    nested = lines.groupBy("receipt_no").agg(F.array_sort(F.collect_list(
+    parted = lines.withColumn("part", ((F.col("position") - 1) / F.lit(part_size)).cast("int"))
+    nested = parted.groupBy("receipt_no", "part").agg(F.array_sort(F.collect_list(
         F.struct("position", "type", "quantity"))).alias("_l"))
     return headers.join(nested, "receipt_no", "left").withColumn(
         "lines", F.transform("_l", lambda x: F.struct(x["type"].alias("type"), x["quantity"].alias("quantity")))
