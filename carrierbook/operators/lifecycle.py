@@ -59,18 +59,34 @@ def action_facts(actions: DataFrame, cases: DataFrame, users: DataFrame, roles:
     """Per action the checks that do not depend on the case's state.
 
     Adds: _key (ts, action_id) order key, _found, _forbidden, _known, _perm,
-    _need_code (submit without the required employee code), _flag_ok
-    (set_translogica has a boolean payload), _loc, _s0 (stored status).
+    _need_code (submit without the required employee code), _submit_err (a
+    submit payload's non_exchangeable_qty check), _flag_ok (set_translogica
+    has a boolean payload), _loc, _s0 (stored status).
+
+    Optional payload columns on ``actions``: ``non_exchangeable_qty`` and
+    ``employee_code`` (submit; NULL = not sent) and ``translogica_transferred``
+    (set_translogica).  A submit's quantity check uses the stored quantities,
+    as the reference does, so it stays independent of the evolving status.
     """
+    from carrierbook.functions import rules as R
     a = actions
-    if "translogica_transferred" not in a.columns:
-        a = a.withColumn("translogica_transferred", F.lit(None).cast("boolean"))
+    for name, typ in (("translogica_transferred", "boolean"), ("non_exchangeable_qty", "int"), ("employee_code", "string")):
+        if name not in a.columns:
+            a = a.withColumn(name, F.lit(None).cast(typ))
     c = cases.select(F.col("id").alias("case_id"), F.col("location_id").alias("_loc"),
-                     F.col("status").alias("_s0"), F.col("employee_code").alias("_code"))
+                     F.col("status").alias("_s0"), F.col("employee_code").alias("_code"),
+                     F.col("qty_in").alias("_cin"), F.col("qty_out").alias("_cout"))
     a = a.join(c, "case_id", "left").join(_actors(users, roles), "actor_id", "left")
     perm = F.lit(False)
     for act, path in ACTION_PERMISSION.items():
         perm = F.when(F.col("action") == act, F.col("_p_" + path.replace(".", "_"))).otherwise(perm)
+    nonx = F.col("non_exchangeable_qty")
+    soll = F.greatest(F.coalesce(F.col("_cin"), F.lit(0)) - F.coalesce(F.col("_cout"), F.lit(0)), F.lit(0))
+    submit_err = R.first_reason(F.when(nonx.isNotNull() & (nonx < 0), F.lit(S.ERR_NON_EXCH)),
+                                F.when(nonx.isNotNull() & (nonx > soll), F.lit(S.ERR_NON_EXCH_SOLL)),
+                                F.when(F.col("employee_code").isNotNull(), R.employee_code_error("employee_code")))
+    code_after = F.when(F.col("employee_code").isNotNull(), R.employee_code_value("employee_code")) \
+        .otherwise(F.nullif(F.col("_code"), F.lit("")))
     return a.select(
         *actions.columns, "_loc", "_s0",
         F.struct(F.col("ts"), F.col("action_id")).alias("_key"),
@@ -78,8 +94,9 @@ def action_facts(actions: DataFrame, cases: DataFrame, users: DataFrame, roles:
         (F.col("_lock").isNotNull() & (F.col("_lock") != F.col("_loc"))).alias("_forbidden"),
         F.col("action").isin(*KNOWN_ACTIONS).alias("_known"),
         F.coalesce(perm, F.lit(False)).alias("_perm"),
-        (F.coalesce(F.col("_p_cases_require_employee_code"), F.lit(False))
-         & F.coalesce(F.nullif(F.col("_code"), F.lit("")), F.lit(None)).isNull()).alias("_need_code"),
+        submit_err.alias("_submit_err"),
+        (F.coalesce(F.col("_p_cases_require_employee_code"), F.lit(False)) & code_after.isNull()).alias("_need_code"),
+        code_after.alias("_code_after"),
         F.col("translogica_transferred").isNotNull().alias("_flag_ok"),
         F.col("translogica_transferred").alias("_flag"))
 
@@ -93,7 +110,7 @@ def _mover_kind() -> Column:
     ok = _base_ok()
     a = F.col("action")
     return (F.when(ok & (a == "claim"), F.lit("claim"))
-            .when(ok & (a == "submit") & ~F.col("_need_code"), F.lit("submit"))
+            .when(ok & (a == "submit") & F.col("_submit_err").isNull() & ~F.col("_need_code"), F.lit("submit"))
             .when(ok & (a == "approve"), F.lit("approve"))
             .when(ok & (a == "cancel"), F.lit("cancel")))
 
@@ -165,6 +182,7 @@ def _reason(start: Column) -> Column:
         F.when(a == "edit", F.coalesce(perm_missing, F.when(~start.isin(1, 2), F.lit(S.ERR_EDIT_STATUS))))
         .when(a == "claim", F.coalesce(perm_missing, F.when(start != 1, F.lit(S.ERR_CLAIM_STATUS))))
         .when(a == "submit", F.coalesce(perm_missing, F.when(start != 2, F.lit(S.ERR_SUBMIT_STATUS)),
+                                        F.col("_submit_err"),
                                         F.when(F.col("_need_code"), F.lit(S.ERR_EMPLOYEE_CODE_REQUIRED))))
         .when(a == "approve", F.coalesce(perm_missing, F.when(start != 3, F.lit(S.ERR_APPROVE_STATUS))))
         .when(a == "set_translogica", F.coalesce(perm_missing, F.when(start != 4, F.lit(S.ERR_TRANSLOGICA_STATUS)),
@@ -196,11 +214,13 @@ def replay(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFr
     j = j.withColumn("start_status", start).withColumn("reason", _reason(F.col("start_status")))
     moved_to = (F.when(k == F.col("k1"), F.col("s1")).when(k == F.col("k2"), F.col("s2"))
                 .when(k == F.col("k3"), F.col("s3")))
+    extra = [c for c in ("translogica_transferred", "non_exchangeable_qty") if c in actions.columns]
+    if "employee_code" in actions.columns:
+        extra.append(F.col("_code_after").alias("employee_code_after"))
     return j.select(
         "action_id", "case_id", "actor_id", "action", "ts", "start_status",
         F.coalesce(moved_to, F.col("start_status")).alias("end_status"),
-        F.col("reason").isNull().alias("accepted"), "reason",
-        *[c for c in ("translogica_transferred",) if c in actions.columns])
+        F.col("reason").isNull().alias("accepted"), "reason", *extra)
 
 
 def final_state(outcomes: DataFrame, cases: DataFrame) -> DataFrame:
@@ -251,13 +271,24 @@ def apply_batch(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: D
     """
     outcomes = replay(actions, cases, users, roles)
     rejects = outcomes.where(~F.col("accepted")).select("action_id", "case_id", "actor_id", "action", "reason")
+    has_nonx = "non_exchangeable_qty" in outcomes.columns
+    has_code = "employee_code_after" in outcomes.columns
     ok = outcomes.where(F.col("accepted")).select(
         "case_id", F.col("action").alias("_action"), F.col("actor_id").alias("_actor"),
-        F.col("end_status").alias("_new_status"), F.col("ts").alias("_ts"))
+        F.col("end_status").alias("_new_status"), F.col("ts").alias("_ts"),
+        (F.col("non_exchangeable_qty") if has_nonx else F.lit(None).cast("int")).alias("_nonx"),
+        (F.col("employee_code_after") if has_code else F.lit(None).cast("string")).alias("_code"))
     c = cases.join(ok, cases["id"] == ok["case_id"], "left").drop("case_id")
     act = F.col("_action")
+    submitted = act == "submit"
+    patch = {
+        "non_exchangeable_qty": F.when(submitted, F.coalesce(F.col("_nonx"), F.col("non_exchangeable_qty")))
+        .otherwise(F.col("non_exchangeable_qty")),
+        "employee_code": F.when(submitted & F.lit(has_code), F.col("_code")).otherwise(F.col("employee_code")),
+    }
     new = c.select(
-        *[F.col(x) for x in cases.columns if x not in ("status", "claimed_by", "submitted_by", "approved_by")],
+        *[patch.get(x, F.col(x)).alias(x) for x in cases.columns
+          if x not in ("status", "claimed_by", "submitted_by", "approved_by")],
         F.coalesce(F.col("_new_status"), F.col("status")).alias("status"),
         F.when(act == "claim", F.col("_actor")).otherwise(F.col("claimed_by")).alias("claimed_by"),
         F.when(act == "submit", F.col("_actor")).otherwise(F.col("submitted_by")).alias("submitted_by"),

@@ -221,3 +221,57 @@ def test_edit_rule_table(spark):
             assert rows[c["id"]]["employee_code"] == e["code"].strip().upper()
         if want[e["action_id"]] is None and e["plate"] is not None:
             assert rows[c["id"]]["license_plate"] == e["plate"].strip().upper()
+
+
+def test_submit_payload_rule_table(spark):
+    """B5 submit with payloads (non_exchangeable_qty against stored quantities, employee code)."""
+    payloads = [(None, None), (-1, None), (3, None), (4, None), (None, "b7"), (None, "toolong"), (None, "  "), (2, " c9 ")]
+    cases, acts = [], []
+    cid = 0
+    for status in (1, 2):
+        for stored_code in (None, "A7"):
+            for actor in (1, 2, 3):
+                for nonx, code in payloads:
+                    cid += 1
+                    cases.append(dict(id=cid, location_id=1, status=status, employee_code=stored_code))
+                    acts.append(dict(action_id=cid, case_id=cid, actor_id=actor, nonx=nonx, code=code))
+    cdf = spark.createDataFrame(
+        [(c["id"], c["location_id"], None, 4, c["status"], "HH1", None, None, 5, 2, 0, None, c["employee_code"],
+          dt.datetime(2024, 1, 1), None, None, None, None) for c in cases], S.BOOKING_CASES)
+    adf = spark.createDataFrame([(a["action_id"], a["case_id"], a["actor_id"], "submit", dt.datetime(2024, 1, 2),
+                                  a["nonx"], a["code"]) for a in acts],
+                                "action_id int, case_id int, actor_id int, action string, ts timestamp_ntz, "
+                                "non_exchangeable_qty int, employee_code string")
+    users = spark.createDataFrame(USERS, S.USERS)
+    roles = spark.createDataFrame(ROLES, S.ROLES)
+    new, rejects = lifecycle.apply_batch(adf, cdf, users, roles)
+    got = {r["action_id"]: r["reason"] for r in rejects.collect()}
+    rows = {r["id"]: r for r in new.collect()}
+    for c, a in zip(cases, acts):
+        actor = a["actor_id"]
+        want, code = None, c["employee_code"]
+        if actor in LOCK and LOCK[actor] != c["location_id"]:
+            want = S.ERR_FORBIDDEN
+        elif "submit" not in RIGHTS[actor]:
+            want = S.ERR_NO_PERMISSION
+        elif c["status"] != 2:
+            want = S.ERR_SUBMIT_STATUS
+        elif a["nonx"] is not None and a["nonx"] < 0:
+            want = S.ERR_NON_EXCH
+        elif a["nonx"] is not None and a["nonx"] > 3:       # stored 5 in − 2 out
+            want = S.ERR_NON_EXCH_SOLL
+        else:
+            if a["code"] is not None:
+                v = a["code"].strip().upper() or None
+                if v is not None and not (len(v) == 2 and v.isalnum()):
+                    want = S.ERR_EMPLOYEE_CODE
+                code = v
+            if want is None and actor in REQUIRE_CODE and not code:
+                want = S.ERR_EMPLOYEE_CODE_REQUIRED
+        assert got.get(a["action_id"]) == want, (c, a)
+        r = rows[c["id"]]
+        if want is None:
+            assert (r["status"], r["submitted_by"], r["employee_code"]) == (3, actor, code)
+            assert r["non_exchangeable_qty"] == (a["nonx"] if a["nonx"] is not None else 0)
+        else:
+            assert r["status"] == c["status"] and r["employee_code"] == c["employee_code"]
