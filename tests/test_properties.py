@@ -180,3 +180,20 @@ def test_notice_merge_is_idempotent(ledger):
     existing = ledger.user_notifications.select("user_id", "case_id", "title").unionByName(
         first.select("user_id", "case_id", "title"))
     assert notify.merge_new(existing, created).count() == 0
+
+
+def test_live_stock_stream_drops_redelivered_lines(spark):
+    rows = [(i, 1 + i % 3, 1, "euro", "IN" if i % 4 else "OUT", 1 + i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, location_id int, department_id int, product_type string, type string, "
+                                     "quantity int").withColumn("created_at", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"))
+    src = tempfile.mkdtemp(prefix="cb-redeliver-")
+    df.write.mode("overwrite").parquet(os.path.join(src, "first"))
+    df.where(F.col("id") < 50).write.mode("overwrite").parquet(os.path.join(src, "again"))  # redelivered lines
+    feed = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(src)
+    q = (live_stock.live_stock(feed, dedup_key="id").writeStream.outputMode("complete").format("memory")
+         .queryName("t1_dedup").option("checkpointLocation", tempfile.mkdtemp(prefix="cb-ck-"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table("t1_dedup")
+    want = live_stock.live_stock(df, dedup_key=None)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
