@@ -197,3 +197,19 @@ def test_live_stock_stream_drops_redelivered_lines(spark):
     got = spark.table("t1_dedup")
     want = live_stock.live_stock(df, dedup_key=None)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_status_zero_is_a_real_filter(ledger):
+    from carrierbook.operators import cases
+    got = cases.list_cases(ledger.booking_cases, ledger.departments, ledger.locations, ledger.users,
+                           location_id=-1, status=0, limit=None)
+    assert got.count() == ledger.booking_cases.where(F.col("status") == 0).count() > 0
+    assert got.where(F.col("status") != 0).count() == 0
+
+
+def test_zero_line_approval_still_gets_a_receipt_number(spark, ledger):
+    c = ledger.booking_cases.where(F.col("status") == 3).limit(3).withColumns({
+        "qty_in": F.lit(2), "qty_out": F.lit(0), "non_exchangeable_qty": F.lit(5), "approved_by": F.lit(1)})
+    numbered = posting.assign_receipt_numbers(c, ledger.locations, order=["id"], start=7)
+    assert sorted(r["receipt_seq"] for r in numbered.collect()) == [7, 8, 9]
+    assert posting.post_cases(numbered).count() == 0
