@@ -74,11 +74,12 @@ def burst_flags(attempts: DataFrame, *, window: _dt.timedelta, limit: int, key:
     ev = reliable_checkpoint(ev.withColumn("_next", nxt).drop("_a", "_b"))
     # 3. binary lifting over next()
     levels = [ev.select("_k", "pos", F.col("_next").alias("_j"))]
-    while True:
+    n_per_key = ev.groupBy("_k").agg(F.max("pos").alias("_n"))
+    for _ in range(64):   # 2^64 jumps exceed any key's attempt count
         cur = levels[-1]
         # stop when every key's root already jumps past its end at this level
         if cur.where((F.col("pos") == 1) & (F.col("_j") < INF)).join(
-                ev.groupBy("_k").agg(F.max("pos").alias("_n")), "_k").where(F.col("_j") <= F.col("_n")).limit(1).count() == 0:
+                n_per_key, "_k").where(F.col("_j") <= F.col("_n")).limit(1).count() == 0:
             break
         nxt_lvl = cur.alias("x").join(cur.alias("y"), (F.col("x._k") == F.col("y._k")) & (F.col("x._j") == F.col("y.pos")), "left") \
             .select(F.col("x._k").alias("_k"), F.col("x.pos").alias("pos"), F.coalesce(F.col("y._j"), F.lit(INF)).alias("_j"))
