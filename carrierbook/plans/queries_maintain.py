@@ -149,15 +149,14 @@ def partner_replace_rejects(t):
                                   columns=["id", "name", "street", "postal_code", "city"])[1]
 
 
-@register("location_delete_restrict", with_prefix("locations", "bookings") + """,
-tg AS (SELECT DISTINCT CAST(user_id%30+1 AS INTEGER) AS id FROM events WHERE event_type='error')
+@register("location_delete_restrict", with_prefix("locations", "bookings", "location_delete_requests") + """,
+tg AS (SELECT * FROM location_delete_requests)
 SELECT tg.id, CASE WHEN EXISTS (SELECT 1 FROM bookings b WHERE b.location_id=tg.id) THEN 'Standort hat bereits Buchungen und kann nicht gelöscht werden'
  WHEN EXISTS (SELECT 1 FROM booking_cases c WHERE c.location_id=tg.id) THEN 'Standort hat bereits Vorgänge und kann nicht gelöscht werden' END AS reason
 FROM tg WHERE reason IS NOT NULL""")
 def location_delete_restrict(t):
     """W7 restrict + J10: location delete requests refused because ledger lines or cases use them."""
-    targets = t.driver("events").where(F.col("event_type") == "error") \
-        .select((F.col("user_id") % 30 + 1).cast("int").alias("id"))
+    targets = t.location_delete_requests
     _, refused = maintain.delete_restrict(t.locations, targets, [
         (t.bookings, "location_id", "Standort hat bereits Buchungen und kann nicht gelöscht werden"),
         (t.booking_cases, "location_id", "Standort hat bereits Vorgänge und kann nicht gelöscht werden")])
@@ -173,10 +172,10 @@ def department_delete_set_null(t):
 
 
 @register("user_delete_cascade", with_prefix("users", "user_notifications") + """
-SELECT n.* FROM user_notifications n WHERE n.user_id NOT IN (SELECT id FROM users WHERE id%10=0)""")
+SELECT n.* FROM user_notifications n WHERE n.user_id NOT IN (SELECT id FROM users WHERE NOT is_active)""")
 def user_delete_cascade(t):
-    """W7 cascade: notices left after every tenth user is deleted."""
-    gone = t.users.where(F.col("id") % 10 == 0).select("id")
+    """W7 cascade: notices left after the inactive users are deleted."""
+    gone = t.users.where(~F.col("is_active")).select("id")
     return maintain.cascade_delete(t.user_notifications, gone, "user_id")
 
 
@@ -202,13 +201,11 @@ def schema_evolve(t):
     return maintain.evolve_schema(t.booking_cases, _FULL_CASES, {"translogica_transferred": False})
 
 
-@register("role_backfill", with_prefix("users") + """
-SELECT id, CASE WHEN id%7=0 OR id%11=0 OR role='user' THEN 'disponent' ELSE role END AS role FROM users""")
+@register("role_backfill", with_prefix("users", "legacy_users") + """
+SELECT id, CASE WHEN role IS NULL OR role='user' THEN 'disponent' ELSE role END AS role FROM legacy_users""")
 def role_backfill(t):
-    """Legacy roles ('user', NULL) — every 7th user 'user', every 11th NULL here — become 'disponent'."""
-    legacy = t.users.withColumn("role", F.when(F.col("id") % 7 == 0, F.lit("user"))
-                                .when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("role")))
-    return maintain.backfill_roles(legacy).select("id", "role")
+    """Legacy user roles ('user' or NULL) become 'disponent'."""
+    return maintain.backfill_roles(t.legacy_users).select("id", "role")
 
 
 _FK_RULES = [

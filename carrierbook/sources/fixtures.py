@@ -69,6 +69,10 @@ VIEW_SQL: dict[str, str] = {
     "user_requests": "select cast(c_custkey as int) request_id, case when c_custkey%7=0 then concat('x', cast(c_custkey%3 as string)) when c_custkey%7=1 then c_name else concat('new_', cast(c_custkey%500 as string)) end username, cast(c_nationkey+1 as int) location_id, cast(c_custkey%5 as int) role_id, cast(c_custkey%8 as int) fixed_department_id, case c_custkey%6 when 0 then 'bad@mail' when 1 then ' A@B.DE ' else null end email from customer",
     "partner_replacements": "select cast(s_suppkey+1 as int) id, case when s_suppkey%4=0 then ' ' when s_suppkey%4=1 then concat('Supplier#', lpad(cast((s_suppkey+7)%40 as string),9,'0')) else concat(s_name,' GmbH') end name, 'Main street 1' street, cast(null as string) postal_code, n_name city from supplier join nation on n_nationkey=s_nationkey where s_suppkey%3=0",
     "case_edits": "select cast(event_id as int) action_id, cast(user_id%300+1 as int) case_id, case when event_id%3=0 then 1 else cast(event_id%50+1 as int) end actor_id, ts, case when event_id%5=0 then cast(event_id%4+1 as int) end department_id, case event_id%7 when 0 then 'hb 12' when 1 then ' hb12 ' end license_plate, case when event_id%6=0 then ' Supplier#000000002 ' end entrepreneur, case when event_id%4=0 then 'edited' end note, case when event_id%3=0 then cast(event_id%30-2 as int) end qty_in, case when event_id%5=1 then cast(event_id%20 as int) end qty_out, case when event_id%4=1 then cast(event_id%6-1 as int) end non_exchangeable_qty, case event_id%9 when 0 then 'x9' when 1 then 'b' end employee_code, case event_id%8 when 0 then 'H1' when 1 then 'plastic' end product_type from events where event_type='signup'",
+    # The transfer flag the case views leave out (FIXTURES.md): booked cases with an even id.
+    "booking_cases_flagged": "select *, (status=4 and id%2=0) translogica_transferred from booking_cases",
+    "legacy_users": "select id, username, case when id%7=0 then 'user' when id%11=0 then cast(null as string) else role end role, location_id, role_id, is_active, fixed_department_id from users",
+    "location_delete_requests": "select distinct cast(user_id%30+1 as int) id from events where event_type='error'",
     "transfer_requests": "select cast(event_id as int) request_id, case when event_id%3=0 then null else cast(user_id%25+1 as int) end from_location_id, cast(event_id%25+1 as int) to_location_id, cast(floor(value) as int) qty, case when event_id%11=0 then '  ' else 'move' end note from events where event_type='signup'",
 }
 

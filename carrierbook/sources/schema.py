@@ -156,4 +156,6 @@ SCHEMAS = {
     "partner_updates": PARTNER_UPDATES, "case_requests": CASE_REQUESTS, "transfer_requests": TRANSFER_REQUESTS, "read_marks": READ_MARKS,
     "theme_updates": THEME_UPDATES, "booking_patches": BOOKING_PATCHES, "user_patches": USER_PATCHES,
     "user_requests": USER_REQUESTS, "partner_replacements": PARTNER_REPLACEMENTS, "case_edits": CASE_EDITS,
+    "legacy_users": USERS, "location_delete_requests": _s([("id", I)]),
+    "booking_cases_flagged": T.StructType(list(BOOKING_CASES.fields) + [T.StructField("translogica_transferred", B, True)]),
 }
