@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carrierbook.operators import maintain, quality
-from carrierbook.operators.cases import with_transfer_flag
 from carrierbook.plans.catalog import register
 from carrierbook.sources import schema as S
 from carrierbook.sources.fixtures import with_prefix
