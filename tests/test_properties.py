@@ -213,3 +213,35 @@ def test_zero_line_approval_still_gets_a_receipt_number(spark, ledger):
     numbered = posting.assign_receipt_numbers(c, ledger.locations, order=["id"], start=7)
     assert sorted(r["receipt_seq"] for r in numbered.collect()) == [7, 8, 9]
     assert posting.post_cases(numbered).count() == 0
+
+
+def test_notification_feed_stream_equals_batch(spark):
+    """Streamed in two batches, the created notices equal one batch over the whole log."""
+    import datetime as dt
+    from carrierbook.operators import lifecycle
+    from carrierbook.sources import schema as S
+    from carrierbook.streaming.case_feed import notification_feed
+    users = spark.createDataFrame([(1, "admin", "admin", None, None, True, None)]
+                                  + [(i, f"u{i}", "disponent", 1, None, True, 1 + i % 2) for i in range(2, 12)], S.USERS)
+    roles = spark.createDataFrame([(1, "x", "{}")], S.ROLES)
+    deps = spark.createDataFrame([(1, "A"), (2, "B")], S.DEPARTMENTS)
+    cases = spark.createDataFrame(
+        [(i, 1, 1 + i % 2, 2, 2, "HH1", None, None, 5, 2, 0, None, "A7", dt.datetime(2024, 1, 1), None, None, None, None)
+         for i in range(1, 21)], S.BOOKING_CASES)
+    t0 = dt.datetime(2024, 1, 2)
+    acts = spark.createDataFrame([(i, i, 1, "submit", t0 + dt.timedelta(minutes=i)) for i in range(1, 21)], S.CASE_ACTIONS)
+    notes = spark.createDataFrame([], S.USER_NOTIFICATIONS)
+    src = tempfile.mkdtemp(prefix="cb-t2-")
+    acts.where(F.col("action_id") <= 10).write.parquet(os.path.join(src, "a"))
+    state = tempfile.mkdtemp(prefix="cb-t2-state-")
+    ck = tempfile.mkdtemp(prefix="cb-ck-")
+    runner = LiveCaseState(spark, cases, users, roles, state, departments=deps, notifications=notes)
+    stream = lambda: spark.readStream.schema(acts.schema).option("recursiveFileLookup", True).parquet(src)
+    runner.start(stream(), ck).awaitTermination()
+    acts.where(F.col("action_id") > 10).write.parquet(os.path.join(src, "b"))
+    runner.start(stream(), ck).awaitTermination()
+    got = runner.created_notices().select("user_id", "case_id", "title")
+    want, _ = notification_feed(lifecycle.replay(acts, cases, users, roles), cases, users, deps, notes)
+    want = want.select("user_id", "case_id", "title")
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
