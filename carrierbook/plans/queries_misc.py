@@ -146,3 +146,27 @@ def transfer_feed(t):
     from carrierbook.operators import posting
     lines, _ = posting.internal_transfers(t.transfer_requests, t.users, t.roles, actor_id=1)
     return case_feed.transfer_events(lines)
+
+
+@register("notification_events", with_prefix("booking_cases", "users", "locations", "user_notifications") + """,
+created AS (SELECT u.id AS user_id, c.id AS case_id FROM booking_cases c
+  JOIN users u ON u.is_active AND u.location_id=c.location_id AND (c.created_by IS NULL OR u.id<>c.created_by) WHERE c.status=1),
+d AS (SELECT n.* FROM user_notifications n JOIN booking_cases c ON n.case_id=c.id
+  WHERE (n.title='Aviso Standort (Status 1)' AND c.status>=3) OR (n.title='Aviso Abteilung (Status 3)' AND c.status>=4)
+  UNION ALL SELECT n.* FROM user_notifications n WHERE NOT EXISTS (SELECT 1 FROM booking_cases c WHERE c.id=n.case_id))
+SELECT 'user:' || user_id AS channel, 'notificationCreated' AS event, user_id, case_id, CAST(NULL AS BIGINT) AS n_ids,
+ CAST(NULL AS VARCHAR) AS ids FROM created
+UNION ALL
+SELECT 'user:' || user_id, 'notificationsDeleted', user_id, CAST(NULL AS INTEGER), CAST(count(*) AS BIGINT),
+ string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FROM d GROUP BY user_id""")
+def notification_events(t):
+    """S5 for notices: created by the location fan-out of announced cases, deleted by pruning (per user)."""
+    from carrierbook.operators import notify
+    created = notify.location_fanout(t.booking_cases.where(F.col("status") == 1), t.users, t.locations)
+    _, deleted = notify.prune(t.user_notifications, t.booking_cases)
+    ev = case_feed.notification_events(created, deleted)
+    return ev.select("channel", "event", "user_id", "case_id",
+                     F.size("notification_ids").cast("bigint").alias("n_ids"),
+                     F.array_join(F.transform("notification_ids", lambda x: x.cast("string")), ",").alias("ids")) \
+        .withColumn("n_ids", F.when(F.col("event") == "notificationsDeleted", F.col("n_ids"))) \
+        .withColumn("ids", F.when(F.col("event") == "notificationsDeleted", F.col("ids")))
