@@ -30,12 +30,6 @@ def list_departments(t):
     return export.dim_list(t.departments, ["id", "name"])
 
 
-@register("list_roles", with_prefix("roles") + "SELECT id, name, permissions FROM roles")
-def list_roles(t):
-    """Business roles sorted by name, with their permission JSON."""
-    return export.dim_list(t.roles, ["id", "name", "permissions"])
-
-
 @register("list_entrepreneurs", with_prefix("entrepreneurs") + "SELECT id, name, street, postal_code, city FROM entrepreneurs")
 def list_entrepreneurs(t):
     """Partners sorted by name."""
