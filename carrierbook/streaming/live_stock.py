@@ -49,3 +49,31 @@ def start_live_stock(spark, source_dir: str, schema, checkpoint: str, query_name
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if trigger_once else q
     return q.start()
+
+
+class StockTable:
+    """T1 sink: keep the live balance as a table in a shared folder (``update`` mode).
+
+    Each micro-batch writes the groups whose balance changed to
+    ``table_dir/batch=<id>`` (overwrite, so a retried batch rewrites only its
+    own folder).  The current balance of a group is its row in the largest
+    batch that holds it: a ``max_by`` per group, no collect.
+    """
+
+    GROUP = ["location_id", "department_id", "product_type"]
+
+    def __init__(self, spark, table_dir: str):
+        self.spark, self.table_dir = spark, table_dir
+
+    def __call__(self, changed: DataFrame, batch_id: int) -> None:
+        # the batch id is the folder's partition value
+        changed.write.mode("overwrite").parquet(f"{self.table_dir}/batch={batch_id}")
+
+    def start(self, feed: DataFrame, checkpoint: str, dedup_key: str | None = "id"):
+        return (live_stock(feed, dedup_key=dedup_key).writeStream.outputMode("update").foreachBatch(self)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+    def current(self) -> DataFrame:
+        rows = self.spark.read.parquet(self.table_dir)
+        latest = rows.groupBy(*self.GROUP).agg(F.max_by(F.struct("ins", "outs", "saldo"), F.col("batch")).alias("_s"))
+        return latest.select(*self.GROUP, "_s.ins", "_s.outs", "_s.saldo")

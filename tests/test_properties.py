@@ -245,3 +245,19 @@ def test_notification_feed_stream_equals_batch(spark):
     want = want.select("user_id", "case_id", "title")
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
+
+
+def test_stock_table_sink_equals_batch(spark, ledger):
+    from carrierbook.streaming.live_stock import StockTable
+    b = ledger.bookings
+    src = tempfile.mkdtemp(prefix="cb-feed2-")
+    b.where(F.col("id") % 2 == 0).write.parquet(os.path.join(src, "a"))
+    sink = StockTable(spark, os.path.join(tempfile.mkdtemp(prefix="cb-stock-"), "stock"))
+    ck = tempfile.mkdtemp(prefix="cb-ck-")
+    feed = lambda: spark.readStream.schema(b.schema).option("recursiveFileLookup", True).parquet(src)
+    sink.start(feed(), ck, dedup_key=None).awaitTermination()
+    b.where(F.col("id") % 2 == 1).write.parquet(os.path.join(src, "b"))
+    sink.start(feed(), ck, dedup_key=None).awaitTermination()
+    want = live_stock.live_stock(b, dedup_key=None)
+    got = sink.current()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
