@@ -261,3 +261,32 @@ def test_stock_table_sink_equals_batch(spark, ledger):
     want = live_stock.live_stock(b, dedup_key=None)
     got = sink.current()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_offset_and_keyset_pages_agree_with_full_order(ledger):
+    from carrierbook.operators import receipts
+    r = receipts.receipt_rollup(ledger.bookings, ledger.booking_cases, ledger.users, department_id=1, location_id=-1)
+    full = [row["id"] for row in r.orderBy(F.col("id").desc(), F.col("receipt_no").asc_nulls_last()).collect()]
+    order = [F.col("id").desc(), F.col("receipt_no").asc_nulls_last()]
+    seen, offset = [], 0
+    while True:
+        page = receipts.page(r, order, limit=7, offset=offset).collect()
+        ids = [row["id"] for row in sorted(page, key=lambda x: -x["id"])]
+        seen += ids
+        more = {row["has_more"] for row in page}
+        assert more <= {len(full) > offset + 7}
+        if len(full) <= offset + 7:
+            break
+        offset += 7
+    assert seen == full
+    first = [row["id"] for row in receipts.page(r, order, limit=7, offset=0).collect()]
+    after = receipts.page_after(r, "id", min(first), limit=7).collect()
+    second = receipts.page(r, order, limit=7, offset=7).collect()
+    assert sorted(x["id"] for x in after) == sorted(x["id"] for x in second)
+
+
+def test_page_limits_are_clamped():
+    from carrierbook.operators.receipts import clamp_page
+    assert clamp_page(0, -5) == (1, 0)
+    assert clamp_page(1000, 3) == (100, 3)
+    assert clamp_page(None, None) == (20, 0)
