@@ -90,6 +90,14 @@ def list_cases(booking_cases: DataFrame, departments: DataFrame, locations: Data
 
 
 def get_cases(booking_cases: DataFrame, departments: DataFrame, locations: DataFrame, users: DataFrame,
-              keys) -> DataFrame:
-    """one case by id, or a batch of ids given as a DataFrame (semi join), enriched."""
-    return enrich_cases(key_lookup(with_transfer_flag(booking_cases), keys), departments, locations, users)
+              keys, lock_location: int | None = None) -> DataFrame:
+    """one case by id, or a batch of ids given as a DataFrame (semi join), enriched.
+
+    ``lock_location`` applies F2's strict form for single reads: a user
+    locked to a location gets no rows of other locations (the reference
+    answers those with Forbidden, without the all-locations exception).
+    """
+    c = key_lookup(with_transfer_flag(booking_cases), keys)
+    if lock_location is not None:
+        c = c.where(F.col("location_id") == F.lit(lock_location))
+    return enrich_cases(c, departments, locations, users)

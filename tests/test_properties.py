@@ -290,3 +290,13 @@ def test_page_limits_are_clamped():
     assert clamp_page(0, -5) == (1, 0)
     assert clamp_page(1000, 3) == (100, 3)
     assert clamp_page(None, None) == (20, 0)
+
+
+def test_single_case_read_respects_lock(ledger):
+    from carrierbook.operators import cases
+    keys = ledger.case_actions.select("case_id")
+    all_rows = cases.get_cases(ledger.booking_cases, ledger.departments, ledger.locations, ledger.users, keys)
+    locked = cases.get_cases(ledger.booking_cases, ledger.departments, ledger.locations, ledger.users, keys,
+                             lock_location=3)
+    assert locked.where(F.col("location_id") != 3).count() == 0
+    assert locked.count() == all_rows.where(F.col("location_id") == 3).count()
