@@ -38,14 +38,14 @@ def live_stock(feed: DataFrame, *, dedup_key: str | None = "id", watermark: str
 
 
 def start_live_stock(spark, source_dir: str, schema, checkpoint: str, query_name: str = "live_stock",
-                     trigger_once: bool = True):
+                     trigger_once: bool = True, dedup_key: str | None = "id"):
     """Run T1 over Parquet files arriving in ``source_dir`` into a memory table ``query_name``.
 
     ``checkpoint`` must be a shared folder (offsets and aggregate state survive
     a restart or a lost executor).
     """
     feed = spark.readStream.schema(schema).parquet(source_dir)
-    q = (live_stock(feed).writeStream.outputMode("complete").format("memory").queryName(query_name)
+    q = (live_stock(feed, dedup_key=dedup_key).writeStream.outputMode("complete").format("memory").queryName(query_name)
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if trigger_once else q
     return q.start()

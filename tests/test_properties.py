@@ -300,3 +300,15 @@ def test_single_case_read_respects_lock(ledger):
                              lock_location=3)
     assert locked.where(F.col("location_id") != 3).count() == 0
     assert locked.count() == all_rows.where(F.col("location_id") == 3).count()
+
+
+def test_start_live_stock_runner(spark, ledger):
+    from carrierbook.streaming.live_stock import start_live_stock
+    src = tempfile.mkdtemp(prefix="cb-feed3-")
+    ledger.bookings.write.parquet(os.path.join(src, "a"))
+    q = start_live_stock(spark, os.path.join(src, "a"), ledger.bookings.schema,
+                         tempfile.mkdtemp(prefix="cb-ck-"), query_name="t1_runner", dedup_key=None)
+    q.awaitTermination()
+    want = live_stock.live_stock(ledger.bookings, dedup_key=None)
+    got = spark.table("t1_runner")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
