@@ -36,3 +36,14 @@ def test_burst_matches_sequential_counter(spark):
     window = dt.timedelta(minutes=15)
     got = {r["attempt_id"]: (r["attempt_count"], r["blocked"]) for r in burst_flags(df, window=window, limit=10).collect()}
     assert got == brute_force(rows, window, 10)
+
+
+def test_burst_hot_key_at_larger_size(spark):
+    rnd = random.Random(9)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i + 1, "hot" if rnd.random() < 0.34 else f"ip{rnd.randint(1, 40)}", rnd.random() < 0.05,
+             t0 + dt.timedelta(seconds=rnd.randint(0, 48 * 3600))) for i in range(20000)]
+    df = spark.createDataFrame(rows, S.LOGIN_ATTEMPTS).repartition(16)
+    window = dt.timedelta(minutes=15)
+    got = {r["attempt_id"]: (r["attempt_count"], r["blocked"]) for r in burst_flags(df, window=window, limit=10).collect()}
+    assert got == brute_force(rows, window, 10)

@@ -275,3 +275,13 @@ def test_submit_payload_rule_table(spark):
             assert r["non_exchangeable_qty"] == (a["nonx"] if a["nonx"] is not None else 0)
         else:
             assert r["status"] == c["status"] and r["employee_code"] == c["employee_code"]
+
+
+def test_replay_hot_case_at_larger_size(spark):
+    """One case holds a third of 20,000 actions spread over 16 partitions: still exact."""
+    cases, actions = make_fixture(11, n_cases=40, n_actions=20000, hot_share=0.34)
+    cdf, adf, users, roles = _frames(spark, cases, actions)
+    got = {r["action_id"]: (r["start_status"], r["end_status"], r["reason"])
+           for r in lifecycle.replay(adf.repartition(16), cdf, users, roles).collect()}
+    want, _ = brute_force(cases, actions)
+    assert got == want
