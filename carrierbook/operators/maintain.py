@@ -133,6 +133,27 @@ def user_patch(users: DataFrame, patches: DataFrame, roles: DataFrame, departmen
     return masked_patch(users, ok, columns=cols), rejects
 
 
+def insert_if_new(table: DataFrame, requests: DataFrame, *, key: str = "name", seq: str = "seq",
+                  id_col: str = "id", required_reason: str = "name required") -> tuple[DataFrame, DataFrame]:
+    """W5 for dimensions with a unique name (locations, departments, roles): insert new names.
+
+    Names are trimmed; blank ones are rejected; a name that exists already, or
+    that an earlier request of the batch takes, is a duplicate.  New rows get
+    serial ids after the table's largest id, in request order.
+    → (new rows (id, name, seq), rejects (seq, reason)).
+    """
+    r = requests.select(F.col(seq), trim_to_null(key).alias(key))
+    blank = r.where(F.col(key).isNull()).select(seq, F.lit(required_reason).alias("reason"))
+    valid = r.where(F.col(key).isNotNull())
+    fresh = valid.join(table.select(key), key, "left_anti")
+    winners = fresh.groupBy(key).agg(F.min(seq).alias(seq))
+    accepted = fresh.join(winners, [key, seq], "left_semi")
+    dup = valid.join(accepted.select(seq), seq, "left_anti").select(seq, F.lit(S.ERR_DUPLICATE).alias("reason"))
+    new = number_rows(accepted, [seq], start=_max_id(table, id_col) + 1, out=id_col)
+    new = new.select(F.col(id_col).cast(table.schema[id_col].dataType).alias(id_col), key, seq)
+    return new, blank.unionByName(dup)
+
+
 def insert_new_users(users: DataFrame, requests: DataFrame, roles: DataFrame, departments: DataFrame
                      ) -> tuple[DataFrame, DataFrame]:
     """W5 + Q10 + Q4: user intake; existing and in-batch duplicate usernames are rejected.

@@ -88,6 +88,28 @@ def user_patch_rejects(t):
     return maintain.user_patch(t.users, t.user_patches, t.roles, t.departments)[1]
 
 
+_DEPT_INTAKE = with_prefix("departments", "department_requests") + """,
+r AS (SELECT seq, nullif(trim(name),'') AS name FROM department_requests),
+fresh AS (SELECT * FROM r WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM departments)),
+win AS (SELECT name, min(seq) AS seq FROM fresh GROUP BY name)
+"""
+
+
+@register("department_intake", _DEPT_INTAKE + """
+SELECT CAST((SELECT max(id) FROM departments) + row_number() OVER (ORDER BY seq) AS INTEGER) AS id, name, seq FROM win""")
+def department_intake(t):
+    """New departments from the request batch (unique names, serial ids after the largest)."""
+    return maintain.insert_if_new(t.departments, t.department_requests)[0]
+
+
+@register("department_intake_rejects", _DEPT_INTAKE + """
+SELECT seq, 'name required' AS reason FROM r WHERE name IS NULL
+UNION ALL SELECT seq, 'duplicate key' FROM r WHERE name IS NOT NULL AND seq NOT IN (SELECT seq FROM win)""")
+def department_intake_rejects(t):
+    """Blank names and duplicates (existing or earlier in the batch)."""
+    return maintain.insert_if_new(t.departments, t.department_requests)[1]
+
+
 _USER_INTAKE = with_prefix("users", "roles", "departments", "user_requests") + """,
 c AS (SELECT r.*, trim(coalesce(r.username,'')) AS nm, CASE WHEN length(trim(coalesce(r.username,''))) < 3 THEN 'username too short'
    WHEN nullif(trim(r.email),'') IS NOT NULL AND NOT regexp_full_match(lower(trim(r.email)), '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') THEN 'E-Mail-Adresse ungültig'

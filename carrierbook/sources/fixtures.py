@@ -33,6 +33,7 @@ DRIVER_SCHEMAS = {
     "lineitem": T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
                               T.StructField("l_quantity", T.DoubleType()), T.StructField("l_returnflag", T.StringType()),
                               T.StructField("l_linestatus", T.StringType()), T.StructField("l_shipdate", T.TimestampNTZType())]),
+    "part": T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_type", T.StringType())]),
     "events": T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
                             T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
                             T.StructField("value", T.DoubleType())]),
@@ -71,6 +72,8 @@ VIEW_SQL: dict[str, str] = {
     "case_edits": "select cast(event_id as int) action_id, cast(user_id%300+1 as int) case_id, case when event_id%3=0 then 1 else cast(event_id%50+1 as int) end actor_id, ts, case when event_id%5=0 then cast(event_id%4+1 as int) end department_id, case event_id%7 when 0 then 'hb 12' when 1 then ' hb12 ' end license_plate, case when event_id%6=0 then ' Supplier#000000002 ' end entrepreneur, case when event_id%4=0 then 'edited' end note, case when event_id%3=0 then cast(event_id%30-2 as int) end qty_in, case when event_id%5=1 then cast(event_id%20 as int) end qty_out, case when event_id%4=1 then cast(event_id%6-1 as int) end non_exchangeable_qty, case event_id%9 when 0 then 'x9' when 1 then 'b' end employee_code, case event_id%8 when 0 then 'H1' when 1 then 'plastic' end product_type from events where event_type='signup'",
     # The transfer flag the case views leave out (FIXTURES.md): booked cases with an even id.
     "booking_cases_flagged": "select *, (status=4 and id%2=0) translogica_transferred from booking_cases",
+    # Department create requests: the part type as name (one exists already, most repeat), some blank.
+    "department_requests": "select cast(p_partkey as int) seq, case when p_partkey%11=0 then '  ' else p_type end name from part",
     "legacy_users": "select id, username, case when id%7=0 then 'user' when id%11=0 then cast(null as string) else role end role, location_id, role_id, is_active, fixed_department_id from users",
     "location_delete_requests": "select distinct cast(user_id%30+1 as int) id from events where event_type='error'",
     "transfer_requests": "select cast(event_id as int) request_id, case when event_id%3=0 then null else cast(user_id%25+1 as int) end from_location_id, cast(event_id%25+1 as int) to_location_id, cast(floor(value) as int) qty, case when event_id%11=0 then '  ' else 'move' end note from events where event_type='signup'",

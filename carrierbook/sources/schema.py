@@ -157,5 +157,6 @@ SCHEMAS = {
     "theme_updates": THEME_UPDATES, "booking_patches": BOOKING_PATCHES, "user_patches": USER_PATCHES,
     "user_requests": USER_REQUESTS, "partner_replacements": PARTNER_REPLACEMENTS, "case_edits": CASE_EDITS,
     "legacy_users": USERS, "location_delete_requests": _s([("id", I)]),
+    "department_requests": _s([("seq", I), ("name", S)]),
     "booking_cases_flagged": T.StructType(list(BOOKING_CASES.fields) + [T.StructField("translogica_transferred", B, True)]),
 }
