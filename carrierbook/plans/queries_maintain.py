@@ -285,3 +285,12 @@ def orphan_notifications(t):
     """Notices whose case does not exist (NOT EXISTS as an anti join)."""
     return quality.missing_reference(t.user_notifications, "case_id", t.booking_cases,
                                      "user_notifications.case_id→booking_cases")
+
+
+@register("role_delete_restrict", with_prefix("roles", "users") + """
+SELECT r.id, 'role is assigned to users' AS reason FROM roles r WHERE EXISTS (SELECT 1 FROM users u WHERE u.role_id=r.id)""")
+def role_delete_restrict(t):
+    """W7 restrict + J10: a request to delete every role; roles still assigned to users are refused."""
+    _, refused = maintain.delete_restrict(t.roles, t.roles.select("id"),
+                                          [(t.users, "role_id", "role is assigned to users")])
+    return refused
