@@ -24,10 +24,16 @@ def placeholder(c: str, text: str = S.DELETED_USER) -> Column:
     return F.coalesce(F.col(c), F.lit(text))
 
 
-def case_receipt_side(booking_cases: DataFrame, users: DataFrame) -> DataFrame:
-    """Per receipt number: the case fields the roll-up shows (J3) and how many cases carry it."""
+def case_receipt_side(booking_cases: DataFrame, users: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Per receipt number: the case fields the roll-up shows (J3) and how many cases carry it.
+
+    ``only`` (a DataFrame with ``receipt_no``) restricts the cases to those
+    receipts first, so a selective roll-up does not aggregate every case.
+    """
     c = (booking_cases.where(F.col("receipt_no").isNotNull())
          .select("receipt_no", "created_by", "approved_by", "employee_code"))
+    if only is not None:
+        c = c.join(only.select("receipt_no"), "receipt_no", "left_semi")
     c = (c.join(user_name(users, "created_by", "_uc"), "created_by", "left")
           .join(user_name(users, "approved_by", "_ua"), "approved_by", "left"))
     return c.groupBy("receipt_no").agg(
@@ -63,7 +69,13 @@ def receipt_rollup(bookings: DataFrame, booking_cases: DataFrame, users: DataFra
         F.max("note").alias("note"), F.max(placeholder("_u")).alias("user_name"),
         F.max(product_or_default("product_type")).alias("product_type"),
         *signed_sums())
-    out = per_receipt.join(case_receipt_side(booking_cases, users), "receipt_no", "left")
+    # A roll-up scoped to one location or narrowed by a search keeps few
+    # receipts: then only the cases of those receipts are looked at (a semi
+    # join, broadcast when the key set is small).  Company-wide roll-ups keep
+    # most receipts, where the extra join would cost more than it saves.
+    selective = (location_id not in (None, -1)) or any(x and x.strip() for x in (entrepreneur, license_plate, receipt_no))
+    side = case_receipt_side(booking_cases, users, only=per_receipt if selective else None)
+    out = per_receipt.join(side, "receipt_no", "left")
     mult = F.greatest(F.coalesce(F.col("_n_cases"), F.lit(1)), F.lit(1)).cast("bigint")
     return out.select(
         "id", "created_at", "receipt_no", "license_plate", "entrepreneur", "note", "user_name",
