@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierbook.session import reliable_checkpoint
+from carrierbook.session import reliable_checkpoint, scratch_path
 
 # The white space of the contracts: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -28,6 +29,14 @@ def pin(df: DataFrame) -> DataFrame:
     return reliable_checkpoint(df)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder; smaller than a checkpoint, read by column."""
+    spark = df.sparkSession
+    place = scratch_path(spark, f"llm-{uuid.uuid4().hex}")
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ROWS_PER_SLICE rows."""
     for batch in batches:

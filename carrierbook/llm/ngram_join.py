@@ -31,9 +31,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carrierbook.llm.common import map_rows, pin, text_or_empty
+from carrierbook.llm.common import map_rows, pin, stored, text_or_empty
 from carrierbook.llm.components import components
-from carrierbook.llm.words import window_hashes, word_hashes
+from carrierbook.llm.words import mix, window_hashes, word_hashes
 
 WIDTH = 5
 THRESHOLD = 80          # percent
@@ -41,6 +41,8 @@ FREQUENT_MOST = 250_000  # entries of the frequent-shingle list (8 bytes each),
 FREQUENT_LEAST = 3      # repeats within map tasks that make a shingle a candidate for the list
 PIVOT_ROUNDS = 6        # rounds of pivots before the remaining pairs are compared one by one
 CHEAP_PAIRS = 2_000_000  # open pairs below which no further pivot round is worth its jobs
+HEADS_SENT = 1_000_000  # rows of (id, hash, class) sent to the scan of the texts at most; more are joined by a shuffle
+_LOW = (1 << 48) - 1
 _MAP_WORDS = 16         # 64-bit words of a parity map
 
 
@@ -86,7 +88,7 @@ def frequent_shingles(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT_
     return top["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-# --- sets, classes, groups ----------------------------------------------------------------------
+# --- sets ---------------------------------------------------------------------------------------
 
 def _parity(tokens: np.ndarray) -> list[int]:
     """1024 bits; bit b is the parity of the tokens that fall on b."""
@@ -94,47 +96,143 @@ def _parity(tokens: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _key(tokens: np.ndarray, size: int) -> tuple[int, ...]:
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=8 * size).digest()
+    return tuple(np.frombuffer(digest, dtype="<i8").tolist())
+
+
 def _sets(slices, frequent, width, threshold):
     order = np.argsort(frequent, kind="stable")
     listed = frequent[order]
-    pack = zstandard.ZstdCompressor(level=1)
+    seen = set()  # of this task: a set's prefix is handed on once
     for rows in slices:
-        out = {k: [] for k in ("doc_id", "n", "set_id", "group_key", "prefix", "parity", "packed")}
-        for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
-            words = text.encode().lower().split()
-            tokens = np.unique(window_hashes(word_hashes(words), width))
+        out = {k: [] for k in ("doc_id", "text_hash", "n", "set1", "set2", "group_key", "parity", "rare", "often")}
+        for doc_id, text_hash, text in zip(*(rows.column(k).to_pylist() for k in ("doc_id", "text_hash", "text"))):
+            tokens = shingles(text, width)
             n = len(tokens)
-            out["doc_id"].append(doc_id)
-            out["n"].append(n)
-            if not n:
-                for k in ("set_id", "group_key", "prefix", "parity", "packed"):
-                    out[k].append(None)
-                continue
-            take = n - _least_common(n, threshold) + 1
-            if len(listed):
-                at = np.searchsorted(listed, tokens)
-                at[at == len(listed)] = 0
-                hit = listed[at] == tokens
-                rare = tokens[~hit]
-                first = rare[:take]
-                if len(first) < take:
-                    often = tokens[hit][np.argsort(order[at[hit]], kind="stable")]
-                    first = np.concatenate([first, often[:take - len(first)]])
-            else:
-                first = tokens[:take]
-            out["set_id"].append(hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest())
-            out["group_key"].append(hashlib.blake2b(first.tobytes(), digest_size=16).hexdigest())
-            out["prefix"].append(first.view(np.int64))
-            out["parity"].append(_parity(tokens))
-            out["packed"].append(pack.compress(b" ".join(words)))
+            one = {"doc_id": doc_id, "text_hash": text_hash, "n": n}
+            if n:
+                take = n - _least_common(n, threshold) + 1
+                often = tokens[:0]
+                if len(listed):
+                    at = np.searchsorted(listed, tokens)
+                    at[at == len(listed)] = 0
+                    hit = listed[at] == tokens
+                    rare = tokens[~hit][:take]
+                    if len(rare) < take:
+                        often = tokens[hit][np.argsort(order[at[hit]], kind="stable")][:take - len(rare)]
+                else:
+                    rare = tokens[:take]
+                one["set1"], one["set2"] = _key(tokens, 2)
+                one["group_key"], = _key(np.concatenate([rare, often]), 1)
+                if (one["set1"], one["set2"]) not in seen:
+                    seen.add((one["set1"], one["set2"]))
+                    one["parity"] = _parity(tokens)
+                    one["rare"] = (rare & np.uint64(_LOW)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                    one["often"] = often.view(np.int64)
+            for k, values in out.items():
+                values.append(one.get(k))
         yield out
 
 
 def document_sets(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    """One row per input row: size and key of the set, key of its prefix; the prefix once per task and set."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     return map_rows(source, lambda s: _sets(s, frequent, width, threshold),
-                    "doc_id long, n long, set_id string, group_key string, prefix array<long>,"
-                    "parity array<long>, packed binary")
+                    "doc_id long, text_hash long, n long, set1 long, set2 long, group_key long, parity array<long>, rare binary, often array<long>")
+
+
+# --- the index ----------------------------------------------------------------------------------
+# Most prefix shingles stand in one set only.  They travel once, packed: per bucket of the hash range
+# the sorted low 48 bits as differences, with row numbers, byte planes compressed.  Frequent shingles,
+# which could fill a bucket, do not take this way.  Shortened hashes can only add candidates.
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _packed(slices, buckets):
+    pack = zstandard.ZstdCompressor(level=1)
+    held, rids, size = [], [], 0
+
+    def flush():
+        tokens = np.concatenate(held)
+        rid = np.repeat(np.array(rids, dtype=np.uint64), [len(t) for t in held])
+        order = np.argsort(tokens, kind="stable")
+        tokens, rid = tokens[order], rid[order]
+        bucket = tokens * np.uint64(buckets) >> np.uint64(48)
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(tokens)]
+        out = {"bucket": [], "first": [], "base": [], "data": []}
+        for lo, hi in zip(edges, edges[1:]):
+            base = int(rid[lo:hi].min())
+            out["bucket"].append(int(bucket[lo]))
+            out["first"].append(int(tokens[lo]))
+            out["base"].append(base)
+            steps = np.diff(tokens[lo:hi], prepend=tokens[lo:lo + 1])
+            out["data"].append(pack.compress(_planes(steps) + _planes(rid[lo:hi] - np.uint64(base))))
+        return out
+
+    for rows in slices:
+        for rid, rare in zip(rows.column("rid").to_pylist(), rows.column("rare").to_pylist()):
+            wide = np.zeros((len(rare) // 6, 8), dtype=np.uint8)
+            wide[:, :6] = np.frombuffer(rare, dtype=np.uint8).reshape(-1, 6)
+            held.append(wide.view("<u8").ravel())
+            rids.append(rid)
+            size += len(rare) // 6
+        if size > 1_000_000:
+            yield flush()
+            held, rids, size = [], [], 0
+    if size:
+        yield flush()
+
+
+def _met(slices):
+    """Rows that share a shingle, bucket by bucket; shingles with the same rows are told once."""
+    unpack = zstandard.ZstdDecompressor()
+    now, parts = None, []
+
+    def bucket():
+        tokens = np.concatenate([t for t, _ in parts])
+        rid = np.concatenate([r for _, r in parts])
+        order = np.lexsort((rid, tokens))
+        tokens, rid = tokens[order], rid[order]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        sizes = np.diff(np.append(starts, len(tokens)))
+        one, two = (np.add.reduceat(mix(rid * np.uint64(odd)), starts) for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+        several = np.flatnonzero(sizes >= 2)
+        _, first = np.unique(np.stack([one[several], two[several], sizes[several].astype(np.uint64)], axis=1), axis=0, return_index=True)
+        keep = np.zeros(len(starts), dtype=bool)
+        keep[several[first]] = True
+        keep = np.repeat(keep, sizes)
+        return {"token": tokens[keep].astype(np.int64), "rid": rid[keep].astype(np.int64)}
+
+    for rows in slices:
+        for at, first, base, data in zip(*(rows.column(k).to_pylist() for k in ("bucket", "first", "base", "data"))):
+            if at != now and parts:
+                yield bucket()
+                parts = []
+            now = at
+            raw = unpack.decompress(data)
+            half = len(raw) // 2
+            parts.append((np.cumsum(_unplanes(raw[:half])) + np.uint64(first), _unplanes(raw[half:]) + np.uint64(base)))
+    if parts:
+        yield bucket()
+
+
+def prefix_index(rows: DataFrame) -> DataFrame:
+    """(token, rid): rows on prefix shingles, without most of those that stand in one row only."""
+    entries = rows.agg(F.sum(F.octet_length("rare") / 6)).first()[0] or 0
+    buckets = max(24, int(entries // 4_000_000))
+    packed = map_rows(rows.where("rare is not null").select("rid", "rare"), lambda s: _packed(s, buckets),
+                      "bucket long, first long, base long, data binary")
+    rare = map_rows(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _met, "token long, rid long")
+    often = rows.where("often is not null").select(F.explode("often").alias("token"), "rid")
+    # Frequent shingles keep their 64 bits; a bit above the low 48 holds the two kinds apart.
+    return rare.unionByName(often.select(F.expr("token | (1L << 62)").alias("token"), "rid"))
 
 
 # --- verification -------------------------------------------------------------------------------
@@ -178,38 +276,63 @@ def _could_link(threshold: int, n1: str = "n1", n2: str = "n2", p1: str = "p1",
 
 def similarity_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
                           frequent_most: int = FREQUENT_MOST) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_id (null without words), component_id."""
+    """One row per input row: doc_id, text_hash, n_shingles, class_id (null without words), component_id."""
     frequent = frequent_shingles(docs, width, frequent_most)
-    sets = document_sets(docs, frequent, width, threshold)
-    # The sets are pinned once; ids of classes are row numbers of the pinned class table.
-    rows = pin(sets.select("doc_id", "n", "set_id", "group_key", "prefix", "parity", "packed"))
-    carried = rows.where("n > 0").groupBy("set_id", "n").agg(
-        F.min("doc_id").alias("least_id"),
-        F.first(F.struct("group_key", "prefix", "parity", "packed")).alias("x"))
-    classes = pin(carried.select("set_id", "n", "least_id", "x.*").withColumn("cid", F.monotonically_increasing_id()))
-    links = class_links(classes, width, threshold)
+    rows = stored(document_sets(docs, frequent, width, threshold).withColumn("rid", F.monotonically_increasing_id()))
+    # A class is named by its first row, a group by its first class.
+    classes = (rows.where("n > 0").groupBy("set1", "set2", "n", "group_key")
+               .agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least_id")))
+    groups = classes.groupBy("group_key", "n").agg(F.min("cid").alias("gid"))
+    classes = stored(classes.join(groups, ["group_key", "n"]).select("set1", "set2", "n", "cid", "gid", "least_id"))
+    links = class_links(docs, rows, classes, width, threshold)
     parts = components(links)
-    named = (classes.select("cid", "set_id", "n", "least_id")
-             .join(parts.withColumnRenamed("node", "cid"), "cid", "left")
+    named = (classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left")
              .withColumn("component", F.coalesce("component", "cid")))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = named.join(least, "component").select("set_id", "n", "cid", "component_id")
-    return (rows.select("doc_id", "n", "set_id").join(labels, ["set_id", "n"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"),
+    labels = named.join(least, "component").select("set1", "set2", "n", "cid", "component_id")
+    return (rows.select("doc_id", "text_hash", "n", "set1", "set2").join(labels, ["set1", "set2", "n"], "left")
+            .select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def class_links(classes: DataFrame, width: int, threshold: int) -> DataFrame:
+def _class_texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, packed): the words of the first row of every wanted class."""
+    heads = rows.select("rid", "doc_id", "text_hash").join(wanted.select(F.col("cid").alias("rid")), "rid").select(
+        F.col("rid").alias("cid"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    heads = stored(heads)
+    if heads.count() <= HEADS_SENT:
+        heads = F.broadcast(heads)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
+    met = source.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__hash"))).select("cid", "text")
+    return stored(map_rows(met, _squeeze, "cid long, packed binary").dropDuplicates(["cid"]))
+
+
+def _squeeze(slices):
+    pack = zstandard.ZstdCompressor(level=3)
+    for rows in slices:
+        yield {"cid": rows.column("cid"), "packed": [pack.compress(b" ".join(t.encode().lower().split())) for t in rows.column("text").to_pylist()]}
+
+
+def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, threshold: int) -> DataFrame:
     """Links (a, b) between classes whose components are those of all links."""
-    texts = classes.select("cid", "packed")
-    lean = classes.select("cid", "n", "parity")
-    groups = classes.groupBy("group_key", "n").agg(F.min("cid").alias("gid"))
-    member = classes.select("cid", "n", "group_key").join(groups, ["group_key", "n"]).select("cid", "gid", "n")
-    heads = classes.join(groups.select(F.col("gid").alias("cid")), "cid", "left_semi")
-    index = heads.select(F.col("cid").alias("gid"), "n", F.explode("prefix").alias("token"))
-    # Buckets with more than one group; (min, max) tells that without a distinct count.
-    buckets = index.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi")
-    shared = pin(index.join(buckets, "token").select("token", "gid", "n", "lo"))
+    member = classes.select("cid", "gid", "n")
+    row_group = (rows.where("n > 0").select("rid", "set1", "set2", "n").join(classes, ["set1", "set2", "n"]).select("rid", "gid", "n"))
+    met = prefix_index(rows).join(row_group, "rid").select("token", "gid", "n").distinct()
+    # Buckets with more than one group; of buckets with the same groups, one is enough.
+    met = stored(met)
+    kinds = (met.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.count(F.lit(1)).alias("m"),
+                                      F.sum(F.xxhash64("gid").cast("decimal(38,0)")).alias("s1"),
+                                      F.sum(F.xxhash64("gid", F.lit(7)).cast("decimal(38,0)")).alias("s2")).where("lo < hi")
+             .groupBy("lo", "hi", "m", "s1", "s2").agg(F.min("token").alias("token")).select("token", "lo"))
+    shared = stored(met.join(kinds, "token").select("token", "gid", "n", "lo"))
+
+    # Every class that can be compared: of groups in a bucket, or of groups with several classes.
+    several = member.where("cid <> gid").select("gid").distinct()
+    open_groups = shared.select("gid").unionByName(several).distinct()
+    wanted = stored(member.join(open_groups, "gid", "left_semi"))
+    texts = _class_texts(docs, rows, wanted)
+    maps = rows.where("parity is not null").select(F.col("rid").alias("cid"), "parity")
+    lean = stored(wanted.select("cid", "n").join(maps, "cid"))
 
     def compare(pairs: DataFrame) -> DataFrame:
         """Class pairs (a < b), filtered by size and parity, then verified."""
@@ -222,25 +345,22 @@ def class_links(classes: DataFrame, width: int, threshold: int) -> DataFrame:
 
     # Group pairs with the bucket's pivot group (its smallest id), expanded to members of the other
     # group; and every group's members with the group's own head.
-    head_n = member.where("cid = gid").select(F.col("gid").alias("lo"), F.col("n").alias("lo_n"))
+    head_n = wanted.where("cid = gid").select(F.col("gid").alias("lo"), F.col("n").alias("lo_n"))
     with_pivot = (shared.where("gid > lo").select("lo", "gid", "n").distinct().join(head_n, "lo")
                   .where(f"100 * least(n, lo_n) >= {threshold} * greatest(n, lo_n)").select("lo", "gid"))
-    expanded = with_pivot.join(member.select("gid", "cid"), "gid").select("lo", "cid")
-    inside = member.where("cid <> gid").select(F.col("gid").alias("lo"), "cid")
+    expanded = with_pivot.join(wanted.select("gid", "cid"), "gid").select("lo", "cid")
+    inside = wanted.where("cid <> gid").select(F.col("gid").alias("lo"), "cid")
     links = pin(compare(ordered(expanded.unionByName(inside), "lo", "cid")))
 
-    # What is left: members of one bucket (a shingle, or a group) in different components.
-    bucket = (shared.select(F.concat_ws("", F.lit("t"), F.col("token").cast("string")).alias("key"), "gid")
-              .join(member.select("gid", "cid"), "gid").select("key", "cid")
-              .unionByName(member.join(member.where("cid <> gid").select("gid").distinct(), "gid", "left_semi")
-                           .select(F.concat_ws("", F.lit("g"), F.col("gid").cast("string")).alias("key"), "cid")))
-    open_rows = bucket
+    # What is left: members of one bucket (a shingle, or a group: bit 61) in different components.
+    open_rows = (shared.select(F.col("token").alias("key"), "gid").join(wanted.select("gid", "cid"), "gid").select("key", "cid")
+                 .unionByName(wanted.join(several, "gid", "left_semi").select(F.expr("gid | (1L << 61)").alias("key"), "cid")))
     for attempt in range(PIVOT_ROUNDS + 1):
         labels = components(links).withColumnRenamed("node", "cid")
         marked = (open_rows.select("key", "cid").join(labels, "cid", "left")
                   .select("key", "cid", F.coalesce("component", "cid").alias("comp")))
         split = marked.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-        open_rows = pin(marked.join(split.select("key"), "key"))
+        open_rows = stored(marked.join(split.select("key"), "key"))
         parts = open_rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("cid", F.lit(attempt)), "cid")).alias("pick"))
         per_key = parts.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"),
                                            F.min(F.struct("m", "pick.cid")).alias("rarest"))
@@ -254,7 +374,7 @@ def class_links(classes: DataFrame, width: int, threshold: int) -> DataFrame:
         pairs = ordered(open_rows.join(pivots, "key").where("cid <> pivot"), "pivot", "cid")
         links = pin(links.unionByName(compare(pairs)))
     # Every pair across components, in its bucket; sizes and parity maps are tested inside the join.
-    full = pin(open_rows.join(lean, "cid"))
+    full = stored(open_rows.join(lean, "cid"))
     left, right = full.alias("l"), full.alias("r")
     rule = _could_link(threshold, "l.n", "r.n", "l.parity", "r.parity")
     pairs = left.join(right, F.expr(f"l.key = r.key and l.comp <> r.comp and l.cid < r.cid and {rule}"))
@@ -268,6 +388,9 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) ->
     Documents without words are linked with nothing and all stay; so do rows without an id.
     """
     found = similarity_components(docs, width, threshold)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").unionByName(
-        docs.where("doc_id is null"))
+    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    gone = stored(lost)
+    if gone.count() <= HEADS_SENT:
+        gone = F.broadcast(gone)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")
