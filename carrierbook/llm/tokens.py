@@ -20,9 +20,13 @@ import numpy as np
 _SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 SEGMENT = re.compile(f"{_SPACE}*{_OTHER}+|{_SPACE}+")
 
-MEMO_PARTS = 500_000   # parts remembered by one worker; the store is emptied when it is full
+MEMO_PARTS = 900_000   # parts remembered by one worker; the older half goes when it is full
 LONG_PART = 200        # characters above which a part is not remembered
 
+# Parts that the vocabulary's patterns split into one word and one run of marks, whatever is around
+# them; their letters are in Latin-1, which NFC leaves alone and which lower-case one by one.
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#]*)\Z")
+
 _LOADED: dict[str, "Vocabulary"] = {}
 
 
@@ -34,17 +38,52 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.lowers = self.tokenizer.normalizer is not None  # the word vocabulary; it drops white space too
+        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self._letters = {b: chr(b) for b in letters}
+        self._letters |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self._letters)}
         self.memo: dict = {}
+        self._older: dict = {}
+        self._words: dict[str, bytes] = {}
         self._octets = None
 
+    def _word(self, word: str) -> bytes:
+        """The ids of one piece between splits, by the model alone."""
+        ids = self._words.get(word)
+        if ids is None:
+            if len(self._words) >= MEMO_PARTS // 2:
+                self._words.clear()
+            letters = word if word.isascii() and word[0] != " " else "".join(map(self._letters.__getitem__, word.encode()))
+            ids = self._words[word] = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+        return ids
+
+    def _plain(self, part: str) -> bytes | None:
+        found = _PLAIN.match(part)
+        if not found:
+            return None
+        space, word, marks = found.groups()
+        if self.lowers:
+            space, word = "", word.lower()
+        return self._word(space + word) + (self._word(marks) if marks else b"")
+
     def _learn(self, parts: set) -> None:
-        fresh = [p for p in parts if p not in self.memo]
-        if len(self.memo) + len(fresh) > MEMO_PARTS:
-            self.memo.clear()
-            fresh = list(parts)
-        texts = [p.decode() if isinstance(p, bytes) else p for p in fresh]
-        for at in range(0, len(fresh), 4096):
-            for part, found in zip(fresh[at:at + 4096], self.tokenizer.encode_batch_fast(texts[at:at + 4096], add_special_tokens=False)):
+        """Make sure that ``memo`` has all of ``parts``."""
+        if len(self.memo) + len(parts) > MEMO_PARTS // 2:
+            self._older, self.memo = self.memo, {}
+        hard = []
+        for part in parts - self.memo.keys():
+            ids = self._older.get(part)
+            if ids is None:
+                text = part.decode() if isinstance(part, bytes) else part
+                ids = self._plain(text)
+                if ids is None:
+                    hard.append((part, text))
+                    continue
+            self.memo[part] = ids
+        for at in range(0, len(hard), 4096):
+            some = hard[at:at + 4096]
+            for (part, _), found in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
                 self.memo[part] = np.array(found.ids, dtype="<u4").tobytes()
 
     def join(self, many: list[list]) -> list[bytes]:
@@ -59,9 +98,7 @@ class Vocabulary:
     def octets(self) -> list[bytes]:
         """The bytes of each id of a byte vocabulary."""
         if self._octets is None:
-            letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            back = {chr(b): b for b in letters}
-            back |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in letters)}
+            back = {c: b for b, c in self._letters.items()}
             count = self.tokenizer.get_vocab_size(with_added_tokens=True)
             tokens = [self.tokenizer.id_to_token(i) or "" for i in range(count)]
             self._octets = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in tokens]
