@@ -14,8 +14,8 @@ lower-cased).  Documents link when 100 * |intersection| >= 80 * |union|.
 4. *Verify.*  Member pairs are filtered by an exact upper bound of their intersection from 1024-bit
    parity maps, then compared shingle by shingle.
 5. *The rest.*  Components are formed from the links.  Members of one bucket that are already in one
-   component need no further comparison; a bucket whose members lie in several components is paired
-   with further pivots while that is cheap, and in the end every pair across components is compared.
+   component need no further comparison.  Large buckets whose members lie in several components are
+   compared with further pivots, then every pair across components of a bucket is compared.
    No pair is given up: components are those of the full join, without all pairs of a group of copies.
 
 Rows without an id form links among texts but give no component id of their own; the component id is
@@ -37,10 +37,10 @@ from carrierbook.llm.words import mix, window_hashes, word_hashes
 
 WIDTH = 5
 THRESHOLD = 80          # percent
-FREQUENT_MOST = 250_000  # entries of the frequent-shingle list (8 bytes each), sent to every task
-FREQUENT_LEAST = 3      # repeats within map tasks that make a shingle a candidate for the list
-PIVOT_ROUNDS = 6        # rounds of pivots before the remaining pairs are compared one by one
-CHEAP_PAIRS = 2_000_000  # open pairs below which no further pivot round is worth its jobs
+FREQUENT_MOST = 1_000_000  # entries of the frequent-shingle list (8 bytes each), sent to every task
+FREQUENT_LEAST = 2      # repeats within map tasks that make a shingle a candidate for the list
+PIVOT_ROUNDS = 2        # rounds of pivots in large buckets before the remaining pairs are compared one by one
+PIVOTS = 64             # pivots per large bucket and round
 HEADS_SENT = 1_000_000  # rows of (id, hash, class) sent to the scan of the texts at most; more are joined by a shuffle
 _LOW = (1 << 48) - 1
 _MAP_WORDS = 16         # 64-bit words of a parity map
@@ -355,31 +355,25 @@ def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int
     # What is left: members of one bucket (a shingle, or a group: bit 61) in different components.
     open_rows = (shared.select(F.col("token").alias("key"), "gid").join(wanted.select("gid", "cid"), "gid").select("key", "cid")
                  .unionByName(wanted.join(several, "gid", "left_semi").select(F.expr("gid | (1L << 61)").alias("key"), "cid")))
+    rule = _could_link(threshold, "l.n", "r.n", "l.parity", "r.parity")
     for attempt in range(PIVOT_ROUNDS + 1):
         labels = components(links).withColumnRenamed("node", "cid")
         marked = (open_rows.select("key", "cid").join(labels, "cid", "left")
                   .select("key", "cid", F.coalesce("component", "cid").alias("comp")))
-        split = marked.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-        open_rows = stored(marked.join(split.select("key"), "key"))
-        parts = open_rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("cid", F.lit(attempt)), "cid")).alias("pick"))
-        per_key = parts.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"),
-                                           F.min(F.struct("m", "pick.cid")).alias("rarest"))
-        todo = per_key.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
-        if not todo:
+        split = (marked.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"))
+                 .where("c1 < c2").select("key", "m"))
+        open_rows = stored(marked.join(split, "key").join(lean, "cid"))
+        large = open_rows.where(F.col("m") > 2 * PIVOTS)
+        last = attempt == PIVOT_ROUNDS or large.isEmpty()
+        # Pairs across components, in their bucket; sizes and parity maps are tested inside the join.
+        # Large buckets first compare about PIVOTS members with all: most of their components merge.
+        left = open_rows if last else large.where(F.pmod(F.xxhash64("cid", F.lit(attempt)), F.ceil(F.col("m") / PIVOTS)) == 0)
+        once = "l.cid < r.cid" if last else "l.cid <> r.cid"
+        pairs = left.alias("l").join(open_rows.alias("r"), F.expr(f"l.key = r.key and l.comp <> r.comp and {once} and {rule}"))
+        found = verify(ordered(pairs.select(F.col("l.cid").alias("x"), F.col("r.cid").alias("y")), "x", "y"), texts, width, threshold)
+        links = pin(links.unionByName(found))
+        if last:
             return links
-        if todo <= CHEAP_PAIRS or attempt == PIVOT_ROUNDS:
-            break
-        # One more pivot per bucket, out of its smallest component.
-        pivots = per_key.select("key", F.col("rarest.cid").alias("pivot"))
-        pairs = ordered(open_rows.join(pivots, "key").where("cid <> pivot"), "pivot", "cid")
-        links = pin(links.unionByName(compare(pairs)))
-    # Every pair across components, in its bucket; sizes and parity maps are tested inside the join.
-    full = stored(open_rows.join(lean, "cid"))
-    left, right = full.alias("l"), full.alias("r")
-    rule = _could_link(threshold, "l.n", "r.n", "l.parity", "r.parity")
-    pairs = left.join(right, F.expr(f"l.key = r.key and l.comp <> r.comp and l.cid < r.cid and {rule}"))
-    found = verify(pairs.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct(), texts, width, threshold)
-    return pin(links.unionByName(found))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
