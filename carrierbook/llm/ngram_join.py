@@ -37,7 +37,7 @@ from carrierbook.llm.words import mix, window_hashes, word_hashes
 
 WIDTH = 5
 THRESHOLD = 80          # percent
-FREQUENT_MOST = 1_000_000  # entries of the frequent-shingle list (8 bytes each), sent to every task
+FREQUENT_MOST = 500_000  # entries of the frequent-shingle list (8 bytes each), sent to every task
 FREQUENT_LEAST = 2      # repeats within map tasks that make a shingle a candidate for the list
 PIVOT_ROUNDS = 2        # rounds of pivots in large buckets before the remaining pairs are compared one by one
 PIVOTS = 64             # pivots per large bucket and round
@@ -83,9 +83,18 @@ def frequent_shingles(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT_
                       least: int = FREQUENT_LEAST) -> np.ndarray:
     """The listed shingles, rarest first.  At most ``most`` entries reach the driver."""
     counted = map_rows(docs.select(text_or_empty().alias("text")), lambda s: _repeats(s, width), "token long, n long")
-    top = (counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-           .orderBy(F.desc("n"), "token").limit(most).toPandas())
-    return top["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    totals = stored(counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    # The least count that leaves at most ``most`` shingles; counts are capped only to find it.
+    sizes = dict(totals.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect())
+    cut, held = 100_001, 0
+    for n in sorted(sizes, reverse=True):
+        held += sizes[n]
+        if held > most:
+            break
+        cut = n
+    top = totals.where(F.col("n") >= cut).toArrow()
+    tokens, counts = top["token"].to_numpy(), top["n"].to_numpy()
+    return tokens[np.lexsort((tokens, counts))].view(np.uint64)
 
 
 # --- sets ---------------------------------------------------------------------------------------
