@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carrierbook.functions import rules as R
-from carrierbook.functions.text import trim_to_null
+from carrierbook.functions.text import js_trim, trim_to_null
 from carrierbook.operators.numbering import number_rows
 from carrierbook.sources import schema as S
 
@@ -50,9 +50,11 @@ def upsert_keep_old(table: DataFrame, batch: DataFrame, *, key: str = "name", se
 
 
 def last_write_wins(table: DataFrame, batch: DataFrame, *, key: str, ts: str, value_cols: list[str]) -> DataFrame:
-    """Per key the newest row of table ∪ batch wins (``max_by`` over the timestamp)."""
-    u = table.select(key, ts, *value_cols).unionByName(batch.select(key, ts, *value_cols))
-    g = u.groupBy(key).agg(F.max_by(F.struct(ts, *value_cols), F.col(ts)).alias("_w"))
+    """Per key the newest row of table ∪ batch wins; of equal timestamps, the batch's row, then
+    the largest values, so that the choice never depends on the order of arrival."""
+    u = (table.select(key, ts, *value_cols, F.lit(0).alias("_late"))
+         .unionByName(batch.select(key, ts, *value_cols, F.lit(1).alias("_late"))))
+    g = u.groupBy(key).agg(F.max(F.struct(ts, "_late", *value_cols)).alias("_w"))
     return g.select(key, *[F.col(f"_w.{c}").alias(c) for c in [ts, *value_cols]])
 
 
@@ -79,8 +81,11 @@ def booking_patch(bookings: DataFrame, patches: DataFrame, *, lock_location: int
     and partner; unknown ids and locked locations are rejected.  → (bookings, rejects)."""
     p = patches
     q = F.col("quantity")
-    plate_given = F.col("license_plate").isNotNull() & (F.trim(F.col("license_plate")) != "")
-    known = bookings.select(F.col("id").alias("_bid"), F.col("location_id").alias("_bloc")).distinct()
+    plate_given = trim_to_null("license_plate").isNotNull()
+    # Only the ledger lines that the batch names are looked at.
+    named = patches.select(F.col("id").alias("_pid")).distinct()
+    known = (bookings.select(F.col("id").alias("_bid"), F.col("location_id").alias("_bloc"))
+             .join(named, F.col("_bid") == F.col("_pid"), "left_semi").distinct())
     p = p.join(known, p["id"] == known["_bid"], "left")
     reason = R.first_reason(
         F.when(q.isNotNull() & (q <= 0), F.lit("quantity must be positive integer")),
@@ -164,7 +169,7 @@ def insert_new_users(users: DataFrame, requests: DataFrame, roles: DataFrame, de
     """
     r = roles.select(F.col("id").alias("_rid"))
     d = departments.select(F.col("id").alias("_did"))
-    name = F.trim(F.coalesce(F.col("username"), F.lit("")))
+    name = js_trim(F.coalesce(F.col("username"), F.lit("")))
     req = (requests.withColumn("_name", name)
            .join(r, requests["role_id"] == r["_rid"], "left")
            .join(d, requests["fixed_department_id"] == d["_did"], "left"))

@@ -54,7 +54,12 @@ def number_rows(df: DataFrame, order: list[Column | str], group: list[str] | Non
     offsets = counts.withColumn("__nr_before", F.coalesce(
         F.sum("__nr_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__nr_cnt")
     start_c = start if isinstance(start, Column) else F.lit(start)
-    numbered = ranged.join(offsets, [*group, "__nr_pid"], "inner")
+    # NULL is a group like any other: its rows meet their offsets by a null-safe join.
+    keyed = offsets.withColumnsRenamed({c: f"__nr_on_{c}" for c in [*group, "__nr_pid"]})
+    same = F.col("__nr_pid") == F.col("__nr_on___nr_pid")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__nr_on_{g}"))
+    numbered = ranged.join(keyed, same, "inner").drop(*[f"__nr_on_{c}" for c in [*group, "__nr_pid"]])
     return numbered.withColumn(
         out, (start_c.cast("bigint") + F.col("__nr_before") + F.col("__nr_idx") - F.col("__nr_first")).cast("bigint")
     ).drop("__nr_mid", "__nr_pid", "__nr_idx", "__nr_first", "__nr_before")
