@@ -98,8 +98,8 @@ def _owned(slices, path):
         vocab = vocabulary(path)
         keys, bodies = [], []
         for packed, owned in zip(rows.column("packed").to_pylist(), rows.column("owned").to_pylist()):
-            cut = chunks(unpack.decompress(packed).decode())
-            for one in owned:
+            cut = chunks(unpack.decompress(packed).decode()) if owned else []
+            for one in owned or []:
                 ends = split_ends(cut[one["n"]])
                 if ends is not None:
                     keys.append((one["c1"], one["c2"]))
@@ -155,7 +155,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     texts = map_rows(source, _squeeze, "doc_id long, text_hash long, packed binary")
     owned = (shared.where("owns").groupBy("doc_id", "text_hash")
              .agg(F.collect_set(F.struct("n", "c1", "c2")).alias("owned")))
-    first = _on_row(texts, owned, "inner").select("packed", "owned")
+    # Both joins are left joins, so that their exchanges of the texts are one and the same.
+    first = _on_row(texts, owned, "left").select("packed", "owned")
     coded = map_rows(first, lambda s: _owned(s, path), "c1 long, c2 long, ids binary").dropDuplicates(["c1", "c2"])
     known = (shared.join(coded, ["c1", "c2"]).groupBy("doc_id", "text_hash")
              .agg(F.collect_set(F.struct("n", "ids")).alias("known")))
