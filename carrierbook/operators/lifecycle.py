@@ -263,37 +263,50 @@ def first_action_per_case(actions: DataFrame) -> DataFrame:
     return m.select("case_id", *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
-def apply_batch(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply a batch of at most one action per case → (new case rows, rejected actions).
-
-    New case rows carry the changed status and stamps (others unchanged);
-    rejects carry the reason.
+def apply_batch(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFrame,
+                outcomes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Apply a batch of actions in (ts, action_id) order → (new case rows, rejected actions).
+
+    A case may have several actions; its row appears once, after its last accepted action, with the
+    actor of every accepted step, the submit's payload and the last transfer flag.  The stamps
+    claimed_at, submitted_at and approved_at follow where the case table has them.  Rejects carry
+    the reason.  ``outcomes``: the batch's replay, where the caller has it already.
     """
-    outcomes = replay(actions, cases, users, roles)
+    if outcomes is None:
+        outcomes = replay(actions, cases, users, roles)
     rejects = outcomes.where(~F.col("accepted")).select("action_id", "case_id", "actor_id", "action", "reason")
     has_nonx = "non_exchangeable_qty" in outcomes.columns
     has_code = "employee_code_after" in outcomes.columns
-    ok = outcomes.where(F.col("accepted")).select(
-        "case_id", F.col("action").alias("_action"), F.col("actor_id").alias("_actor"),
-        F.col("end_status").alias("_new_status"), F.col("ts").alias("_ts"),
-        (F.col("non_exchangeable_qty") if has_nonx else F.lit(None).cast("int")).alias("_nonx"),
-        (F.col("employee_code_after") if has_code else F.lit(None).cast("string")).alias("_code"))
-    c = cases.join(ok, cases["id"] == ok["case_id"], "left").drop("case_id")
-    act = F.col("_action")
-    submitted = act == "submit"
+    has_flag = "translogica_transferred" in outcomes.columns
+
+    def last(action: str, *fields) -> Column:
+        return F.max(F.when(F.col("action") == action, F.struct("ts", "action_id", *fields))).alias("_" + action)
+
+    ok = outcomes.where(F.col("accepted")).groupBy(F.col("case_id").alias("_cid")).agg(
+        F.max(F.struct("ts", "action_id", "action", "end_status")).alias("_last"),
+        last("claim", "actor_id"), last("approve", "actor_id"),
+        last("submit", "actor_id",
+             (F.col("non_exchangeable_qty") if has_nonx else F.lit(None).cast("int")).alias("nonx"),
+             (F.col("employee_code_after") if has_code else F.lit(None).cast("string")).alias("code")),
+        last("set_translogica", (F.col("translogica_transferred") if has_flag else F.lit(None).cast("boolean")).alias("flag")))
+    c = cases.join(ok, cases["id"] == ok["_cid"], "left")
+
+    def patched(col: str, action: str, value: str) -> Column:
+        return F.when(F.col("_" + action).isNotNull(), F.col(f"_{action}.{value}")).otherwise(F.col(col))
+
     patch = {
-        "non_exchangeable_qty": F.when(submitted, F.coalesce(F.col("_nonx"), F.col("non_exchangeable_qty")))
-        .otherwise(F.col("non_exchangeable_qty")),
-        "employee_code": F.when(submitted & F.lit(has_code), F.col("_code")).otherwise(F.col("employee_code")),
+        "status": F.coalesce(F.col("_last.end_status"), F.col("status")),
+        "non_exchangeable_qty": F.coalesce(F.col("_submit.nonx"), F.col("non_exchangeable_qty")),
+        "claimed_by": patched("claimed_by", "claim", "actor_id"), "claimed_at": patched("claimed_at", "claim", "ts"),
+        "submitted_by": patched("submitted_by", "submit", "actor_id"), "submitted_at": patched("submitted_at", "submit", "ts"),
+        "approved_by": patched("approved_by", "approve", "actor_id"), "approved_at": patched("approved_at", "approve", "ts"),
     }
-    new = c.select(
-        *[patch.get(x, F.col(x)).alias(x) for x in cases.columns
-          if x not in ("status", "claimed_by", "submitted_by", "approved_by")],
-        F.coalesce(F.col("_new_status"), F.col("status")).alias("status"),
-        F.when(act == "claim", F.col("_actor")).otherwise(F.col("claimed_by")).alias("claimed_by"),
-        F.when(act == "submit", F.col("_actor")).otherwise(F.col("submitted_by")).alias("submitted_by"),
-        F.when(act == "approve", F.col("_actor")).otherwise(F.col("approved_by")).alias("approved_by"),
-        F.col("_action").alias("applied_action"), F.col("_ts").alias("updated_at"))
+    if has_code:
+        patch["employee_code"] = patched("employee_code", "submit", "code")
+    if has_flag:
+        patch["translogica_transferred"] = patched("translogica_transferred", "set_translogica", "flag")
+    new = c.select(*[patch.get(x, F.col(x)).alias(x) for x in cases.columns],
+                   F.col("_last.action").alias("applied_action"), F.col("_last.ts").alias("updated_at"))
     return new.select(*cases.columns, "applied_action", "updated_at"), rejects
 
 
@@ -301,7 +314,7 @@ def approvals(outcomes: DataFrame, cases: DataFrame) -> DataFrame:
     """Accepted approvals joined to their case, ready for numbering (B3) and posting (B1)."""
     a = outcomes.where(F.col("accepted") & (F.col("action") == "approve")).select(
         "case_id", F.col("actor_id").alias("approved_by"), F.col("ts").alias("approved_at"), "action_id")
-    c = cases.drop("approved_by")
+    c = cases.drop("approved_by", "approved_at")
     return c.join(a, c["id"] == a["case_id"], "inner").drop("case_id")
 
 
@@ -315,9 +328,10 @@ def commit_batch(actions: DataFrame, cases: DataFrame, users: DataFrame, roles:
     lines each (B1) with the approver as the line's user.
     """
     from carrierbook.operators import posting
-    new, rejects = apply_batch(actions, cases, users, roles)
-    outcomes = replay(actions, cases, users, roles)
-    appr = approvals(outcomes, cases)
+    outcomes = reliable_checkpoint(replay(actions, cases, users, roles))
+    new, rejects = apply_batch(actions, cases, users, roles, outcomes)
+    # The rows after the batch: a submit before the approval may have changed the quantities.
+    appr = approvals(outcomes, new.select(*cases.columns))
     numbered = posting.assign_receipt_numbers(appr, locations, order=["approved_at", "action_id"],
                                               start=receipt_start, day=day)
     lines = posting.post_cases(numbered)

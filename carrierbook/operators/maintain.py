@@ -67,11 +67,23 @@ def theme_updates(prefs: DataFrame, requests: DataFrame, *, key: str = "ip_addre
         bad.select(key, "ts", F.lit("invalid theme").alias("reason"))
 
 
-def coalesce_patch(table: DataFrame, patches: DataFrame, *, key: str = "id", columns: list[str]) -> DataFrame:
-    """``SET c = COALESCE(new, c)`` for every patched row; NULL means keep."""
-    p = patches.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_p_{c}") for c in columns])
+def _sequence(batch: DataFrame, seq: str):
+    """The batch's order column; rows of a batch without one count as simultaneous."""
+    return (F.col(seq) if seq in batch.columns else F.lit(0)).alias("o")
+
+
+def coalesce_patch(table: DataFrame, patches: DataFrame, *, key: str = "id", columns: list[str],
+                   seq: str = "seq") -> DataFrame:
+    """``SET c = COALESCE(new, c)`` for every patched row; NULL means keep.
+
+    Patches of one key are reduced first: per column the last non-NULL value in ``seq`` order (of
+    simultaneous ones the largest), which equals applying them one after another.
+    """
+    order = _sequence(patches, seq)
+    p = patches.groupBy(F.col(key).alias("_k")).agg(
+        *[F.max(F.when(F.col(c).isNotNull(), F.struct(order, F.col(c).alias("v")))).alias(f"_p_{c}") for c in columns])
     j = table.join(p, table[key] == p["_k"], "left")
-    return j.select(*[(F.coalesce(F.col(f"_p_{c}"), F.col(c)) if c in columns else F.col(c)).alias(c)
+    return j.select(*[(F.coalesce(F.col(f"_p_{c}.v"), F.col(c)) if c in columns else F.col(c)).alias(c)
                       for c in table.columns])
 
 
@@ -96,18 +108,26 @@ def booking_patch(bookings: DataFrame, patches: DataFrame, *, lock_location: int
     p = p.withColumn("reason", reason)
     rejects = p.where(F.col("reason").isNotNull()).select("id", "reason").distinct()
     ok = p.where(F.col("reason").isNull()).select(
-        "id", "quantity", trim_to_null("note").alias("note"), trim_to_null("entrepreneur").alias("entrepreneur"),
-        F.when(plate_given, R.plate_value("license_plate")).alias("license_plate")).distinct()
+        "id", *[c for c in ("seq",) if c in p.columns], "quantity", trim_to_null("note").alias("note"),
+        trim_to_null("entrepreneur").alias("entrepreneur"),
+        F.when(plate_given, R.plate_value("license_plate")).alias("license_plate"))
     return coalesce_patch(bookings, ok, columns=["quantity", "note", "entrepreneur", "license_plate"]), rejects
 
 
 def masked_patch(table: DataFrame, patches: DataFrame, *, key: str = "id", columns: list[str],
-                 present: str = "present") -> DataFrame:
-    """Set exactly the columns named in ``present`` (a comma list); a given NULL clears."""
+                 present: str = "present", seq: str = "seq") -> DataFrame:
+    """Set exactly the columns named in ``present`` (a comma list); a given NULL clears.
+
+    Patches of one key are reduced first: per column the last one in ``seq`` order that names it
+    (of simultaneous ones the largest value).
+    """
     mask = F.split(F.coalesce(F.col(present), F.lit("")), ",")
-    p = patches.select(F.col(key).alias("_k"), mask.alias("_mask"), *[F.col(c).alias(f"_p_{c}") for c in columns])
+    order = _sequence(patches, seq)
+    p = patches.groupBy(F.col(key).alias("_k")).agg(
+        *[F.max(F.when(F.array_contains(mask, F.lit(c)), F.struct(order, F.col(c).alias("v")))).alias(f"_p_{c}")
+          for c in columns])
     j = table.join(p, table[key] == p["_k"], "left")
-    return j.select(*[(F.when(F.array_contains(F.col("_mask"), F.lit(c)), F.col(f"_p_{c}")).otherwise(F.col(c))
+    return j.select(*[(F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v")).otherwise(F.col(c))
                        if c in columns else F.col(c)).alias(c) for c in table.columns])
 
 
@@ -199,19 +219,22 @@ def insert_new_users(users: DataFrame, requests: DataFrame, roles: DataFrame, de
 
 
 def replace_by_id(table: DataFrame, rows: DataFrame, *, key: str = "id", unique: str | None = "name",
-                  columns: list[str]) -> tuple[DataFrame, DataFrame]:
+                  columns: list[str], seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Full replace of rows by id; unknown ids and unique-name clashes are rejected.
 
-    A replacement may not take a name held by another row (after the batch).
+    Of several valid replacements of one id the last in ``seq`` order holds (of simultaneous ones
+    the largest).  A replacement may not take a name held by another row (after the batch).
     → (new table, rejects(id, reason)).
     """
-    r = rows.select(key, *[trim_to_null(c).alias(c) if c != key else F.col(c) for c in columns])
+    columns = [c for c in columns if c != key]
+    r = rows.select(key, _sequence(rows, seq), *[trim_to_null(c).alias(c) for c in columns])
     known = table.select(F.col(key).alias("_k"))
     r = r.join(known, r[key] == known["_k"], "left")
     reason = R.first_reason(F.when(F.col(unique).isNull(), F.lit(S.ERR_NAME_REQUIRED)) if unique else None,
                             F.when(F.col("_k").isNull(), F.lit("Unternehmer nicht gefunden")))
     r = r.withColumn("reason", reason)
-    ok = r.where(F.col("reason").isNull()).drop("_k", "reason")
+    ok = (r.where(F.col("reason").isNull()).groupBy(key).agg(F.max(F.struct("o", *columns)).alias("_w"))
+          .select(key, *[F.col(f"_w.{c}").alias(c) for c in columns]))
     bad = r.where(F.col("reason").isNotNull()).select(key, "reason")
     if unique:
         # names held by rows that are not replaced, plus names the batch gives twice

@@ -39,7 +39,7 @@ def theme_preferences(t):
 @register("booking_patch", with_prefix("bookings", "booking_patches") + """,
 p AS (SELECT p.*, CASE WHEN p.quantity IS NOT NULL AND p.quantity <= 0 THEN 'quantity must be positive integer'
    WHEN p.license_plate IS NOT NULL AND trim(p.license_plate)<>'' AND regexp_matches(upper(trim(p.license_plate)),'\\s') THEN 'Kennzeichen bitte ohne Leerzeichen eingeben'
-   WHEN NOT EXISTS (SELECT 1 FROM bookings b WHERE b.id=p.id) THEN 'Not found' END AS reason FROM booking_patches p),
+   WHEN k.id IS NULL THEN 'Not found' END AS reason FROM booking_patches p LEFT JOIN (SELECT DISTINCT id FROM bookings) k ON k.id=p.id),
 ok AS (SELECT id, quantity, nullif(trim(note),'') AS note, nullif(trim(entrepreneur),'') AS entrepreneur,
    CASE WHEN license_plate IS NOT NULL AND trim(license_plate)<>'' THEN upper(trim(license_plate)) END AS license_plate FROM p WHERE reason IS NULL)
 SELECT b.id, b.location_id, b.department_id, b.user_id, b.type, coalesce(ok.quantity, b.quantity) AS quantity, coalesce(ok.note, b.note) AS note,
@@ -53,7 +53,7 @@ def booking_patch(t):
 @register("booking_patch_rejects", with_prefix("bookings", "booking_patches") + """
 SELECT DISTINCT id, CASE WHEN quantity IS NOT NULL AND quantity <= 0 THEN 'quantity must be positive integer'
  WHEN license_plate IS NOT NULL AND trim(license_plate)<>'' AND regexp_matches(upper(trim(license_plate)),'\\s') THEN 'Kennzeichen bitte ohne Leerzeichen eingeben'
- WHEN NOT EXISTS (SELECT 1 FROM bookings b WHERE b.id=p.id) THEN 'Not found' END AS reason FROM booking_patches p
+ WHEN k.id IS NULL THEN 'Not found' END AS reason FROM booking_patches p LEFT JOIN (SELECT DISTINCT id FROM bookings) k USING (id)
 WHERE reason IS NOT NULL""")
 def booking_patch_rejects(t):
     """Rejected line patches with the first failing rule."""

@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also where an aggregate on the join's key follows and the split adds a shuffle (case replay).
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -22,12 +24,14 @@ BASE_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "carrierbook", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "carrierbook", extra: dict | None = None,
+                  input_bytes: int | None = None) -> SparkSession:
     """Create (or reuse) a session with the library's base settings.
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset: the
-    cluster manager supplies the master and AQE sizes partitions from the
-    advisory partition size.
+    cluster manager supplies the master.  AQE merges shuffle partitions up to
+    the advisory size but never adds any, so state the size of the input in
+    ``input_bytes``: shuffles then begin with one partition per 128 MB.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -38,6 +42,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # to the default parallelism), so partition counts follow data volume.
         conf["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
         conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "128m"
+        if input_bytes:
+            conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(max(200, input_bytes >> 27))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

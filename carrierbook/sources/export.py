@@ -63,11 +63,12 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_company_export(bookings: DataFrame, users: DataFrame, path: str, fmt: str = "parquet") -> None:
     """S3 whole-company form: every location × department in one job, one folder per pair.
 
-    Rows are clustered by (location, department) and sorted by id inside each
-    task, so each folder's files hold ascending ids.
+    Rows are range-partitioned on (location, department, id) and sorted inside each task, so each
+    folder's files hold ascending ids and a hot pair spreads over tasks.
     """
     rows = ledger_rows(bookings, users, keep_keys=True)
-    rows = rows.repartition("location_id", "department_id").sortWithinPartitions("id")
+    order = ["location_id", "department_id", "id"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     w = rows.write.mode("overwrite").partitionBy("location_id", "department_id")
     if fmt == "csv":
         w.option("header", True).csv(path)

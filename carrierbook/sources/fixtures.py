@@ -191,15 +191,15 @@ LAYOUT = {
 def store_tables(ledger: Ledger, table_dir: str, names: list[str] | None = None) -> None:
     """Write ledger tables as Parquet (one folder per table) for ``load_tables``.
 
-    Large tables follow ``LAYOUT``: rows are clustered by the partition
-    columns (one shuffle) and sorted inside each task, so each partition
-    folder holds few files with tight min/max ranges.
+    Large tables follow ``LAYOUT``: rows are range-partitioned on the partition
+    and order columns (one shuffle) and sorted inside each task, so a folder's
+    files have tight min/max ranges and a hot location spreads over tasks.
     """
     for name in names or VIEW_NAMES:
         df = ledger[name]
         part, order = LAYOUT.get(name, ([], []))
         if part:
-            df = df.repartition(*part)
+            df = df.repartitionByRange(*part, *order)
         if order:
             df = df.sortWithinPartitions(*part, *order)
         w = df.write.mode("overwrite")

@@ -1,7 +1,10 @@
 """Live stock from a booking feed (Structured Streaming).
 
 The feed is the ledger as an append-only stream.  Duplicated deliveries of a
-line are dropped by ``dropDuplicatesWithinWatermark`` on the line id; the
+line are dropped by ``dropDuplicates`` on the line id.  That state keeps every
+id seen (hash-partitioned over the executors; use the RocksDB state store for
+large feeds), because a watermark would also discard lines that arrive late,
+and a ledger balance must count them.  The
 balance per (location, department, product) is a plain streaming aggregate
 (update / complete mode) whose state holds one row per group.
 """
@@ -15,20 +18,16 @@ from carrierbook.functions.rules import product_or_default
 from carrierbook.operators.balance import signed_sums
 
 
-def live_stock(feed: DataFrame, *, dedup_key: str | None = "id", watermark: str = "1 day") -> DataFrame:
+def live_stock(feed: DataFrame, *, dedup_key: str | None = "id") -> DataFrame:
     """Streaming (or batch) balance per location, department and product.
 
-    ``feed`` needs location_id, department_id, product_type, type, quantity,
-    created_at (+ the dedup key).  Same rows and values as the batch stock
+    ``feed`` needs location_id, department_id, product_type, type, quantity
+    (+ the dedup key).  Lines count whenever they arrive.  Same rows and values as the batch stock
     aggregate on the same lines.
     """
-    f = feed.withColumn("_event_time", F.col("created_at").cast("timestamp"))
+    f = feed
     if dedup_key:
-        keys = [dedup_key] if isinstance(dedup_key, str) else list(dedup_key)
-        if f.isStreaming:
-            f = f.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(keys)
-        else:
-            f = f.dropDuplicates(keys)
+        f = f.dropDuplicates([dedup_key] if isinstance(dedup_key, str) else list(dedup_key))
     g = f.groupBy("location_id", "department_id", product_or_default("product_type").alias("product_type")) \
         .agg(*signed_sums())
     ins = F.coalesce(F.col("_ins"), F.lit(0).cast("bigint"))
