@@ -31,6 +31,8 @@ from carrierbook.llm.tokens import SEGMENT, byte_ids, vocabulary
 
 CHUNK_MASK = 0x3FF       # one cut in 1024 characters on average ...
 CHUNK_LEAST, CHUNK_MOST = 256, 8192  # ... but chunks have so many characters
+MEMO_PARTS = 300_000     # parts whose ids a worker remembers; it decodes as well, and shares its memory with the texts
+TEXTS_AT_ONCE = 64       # texts that a worker takes apart at a time
 
 
 def chunks(text: str) -> list[str]:
@@ -95,7 +97,7 @@ def _owned(slices, path):
     """The ids of owned chunks: ends apart, ids of the body."""
     unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
     for rows in slices:
-        vocab = vocabulary(path)
+        vocab = vocabulary(path, MEMO_PARTS)
         keys, bodies = [], []
         for packed, owned in zip(rows.column("packed").to_pylist(), rows.column("owned").to_pylist()):
             cut = chunks(unpack.decompress(packed).decode()) if owned else []
@@ -111,7 +113,7 @@ def _owned(slices, path):
 def _assembled(slices, path, with_ids):
     unpack = zstandard.ZstdDecompressor()
     for rows in slices:
-        vocab = vocabulary(path)
+        vocab = vocabulary(path, MEMO_PARTS)
         plans, fresh = [], []  # per document: bytes of known bodies, or places in ``fresh``
         for packed, known in zip(rows.column("packed").to_pylist(), rows.column("known").to_pylist()):
             ready = {one["n"]: one["ids"] for one in known or []}
@@ -157,12 +159,12 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
              .agg(F.collect_set(F.struct("n", "c1", "c2")).alias("owned")))
     # Both joins are left joins, so that their exchanges of the texts are one and the same.
     first = _on_row(texts, owned, "left").select("packed", "owned")
-    coded = map_rows(first, lambda s: _owned(s, path), "c1 long, c2 long, ids binary").dropDuplicates(["c1", "c2"])
+    coded = map_rows(first, lambda s: _owned(s, path), "c1 long, c2 long, ids binary", TEXTS_AT_ONCE).dropDuplicates(["c1", "c2"])
     known = (shared.join(coded, ["c1", "c2"]).groupBy("doc_id", "text_hash")
              .agg(F.collect_set(F.struct("n", "ids")).alias("known")))
     whole = _on_row(texts, known, "left").select("doc_id", "packed", "known")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
-    return map_rows(whole, lambda s: _assembled(s, path, with_ids), schema)
+    return map_rows(whole, lambda s: _assembled(s, path, with_ids), schema, TEXTS_AT_ONCE)
 
 
 def _on_row(texts: DataFrame, listed: DataFrame, how: str) -> DataFrame:
@@ -175,7 +177,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """doc_id and the text of its ids (4 bytes each); null ids give a null text."""
     def texts(slices):
         for one in slices:
-            vocab = vocabulary(path)
+            vocab = vocabulary(path, MEMO_PARTS)
             yield {"doc_id": one.column("doc_id"), "text": [None if b is None else vocab.decode(b) for b in one.column("ids").to_pylist()]}
 
     return map_rows(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ids).alias("ids")), texts, "doc_id long, text string")

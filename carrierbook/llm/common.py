@@ -37,20 +37,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ROWS_PER_SLICE rows."""
+def rows_of(batches: Iterable[pa.RecordBatch], most: int = ROWS_PER_SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``most`` rows."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_PER_SLICE):
-            yield batch.slice(at, ROWS_PER_SLICE)
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
 
 
-def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict | None]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict | None]], schema: str,
+             most_rows: int = ROWS_PER_SLICE) -> DataFrame:
     """``mapInArrow`` for functions that take slices of rows and give columns (name -> values)."""
     names = [part.strip().split()[0] for part in _fields(schema)]
 
     def run(batches):
         types = None
-        for columns in make(rows_of(batches)):
+        for columns in make(rows_of(batches, most_rows)):
             if columns is None:
                 continue
             if types is None:

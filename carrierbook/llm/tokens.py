@@ -31,7 +31,8 @@ _LOADED: dict[str, "Vocabulary"] = {}
 
 
 class Vocabulary:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_parts: int = MEMO_PARTS):
+        self.memo_parts = memo_parts
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,7 +53,7 @@ class Vocabulary:
         """The ids of one piece between splits, by the model alone."""
         ids = self._words.get(word)
         if ids is None:
-            if len(self._words) >= MEMO_PARTS // 2:
+            if len(self._words) >= self.memo_parts // 2:
                 self._words.clear()
             letters = word if word.isascii() and word[0] != " " else "".join(map(self._letters.__getitem__, word.encode()))
             ids = self._words[word] = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
@@ -69,7 +70,7 @@ class Vocabulary:
 
     def _learn(self, parts: set) -> None:
         """Make sure that ``memo`` has all of ``parts``."""
-        if len(self.memo) + len(parts) > MEMO_PARTS // 2:
+        if len(self.memo) + len(parts) > self.memo_parts // 2:
             self._older, self.memo = self.memo, {}
         hard = []
         for part in parts - self.memo.keys():
@@ -110,9 +111,10 @@ class Vocabulary:
         return b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, memo_parts: int = MEMO_PARTS) -> Vocabulary:
+    """The vocabulary of a file, once per worker; its first user states how much it remembers."""
     if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
+        _LOADED[path] = Vocabulary(path, memo_parts)
     return _LOADED[path]
 
 
