@@ -101,7 +101,16 @@ def solve(histogram: np.ndarray, combos: np.ndarray, steps: int = STEPS) -> np.n
 
 
 def plan(histogram: np.ndarray, triple_lengths: int = TRIPLE_LENGTHS) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences); every piece of the histogram is in one."""
+    """(lengths of one sequence, how many such sequences); every piece of the histogram is in one.
+
+    Triples help where short pieces are many, and cost partners of long pieces where lengths are
+    spread evenly: pairs alone and pairs with triples are both solved, and the shorter plan holds.
+    """
+    return min((_rounded(histogram, k) for k in (triple_lengths, 0)), key=lambda made: sum(times for _, times in made))
+
+
+def _rounded(histogram: np.ndarray, triple_lengths: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan from one set of combinations: solved, rounded, the rest packed greedily."""
     window = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     left[0] = 0
