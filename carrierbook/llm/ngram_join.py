@@ -14,7 +14,7 @@ lower-cased).  Documents link when 100 * |intersection| >= 80 * |union|.
 4. *Verify.*  Member pairs are filtered by an exact upper bound of their intersection from 1024-bit
    parity maps, then compared shingle by shingle.
 5. *The rest.*  Components are formed from the links.  Members of one bucket that are already in one
-   component need no further comparison.  Large buckets whose members lie in several components are
+   component need no further comparison, nor does a pivot.  Large buckets whose members lie in several components are
    compared with further pivots, then every pair across components of a bucket is compared.
    No pair is given up: components are those of the full join, without all pairs of a group of copies.
 
@@ -362,8 +362,9 @@ def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int
     links = pin(compare(ordered(expanded.unionByName(inside), "lo", "cid")))
 
     # What is left: members of one bucket (a shingle, or a group: bit 61) in different components.
-    open_rows = (shared.select(F.col("token").alias("key"), "gid").join(wanted.select("gid", "cid"), "gid").select("key", "cid")
-                 .unionByName(wanted.join(several, "gid", "left_semi").select(F.expr("gid | (1L << 61)").alias("key"), "cid")))
+    # The pivot has been compared with every other member, so it leaves its bucket; most buckets end there.
+    open_rows = (shared.select(F.col("token").alias("key"), "gid", "lo").join(wanted.select("gid", "cid"), "gid").where("cid <> lo").select("key", "cid")
+                 .unionByName(wanted.where("cid <> gid").select(F.expr("gid | (1L << 61)").alias("key"), "cid")))
     rule = _could_link(threshold, "l.n", "r.n", "l.parity", "r.parity")
     for attempt in range(PIVOT_ROUNDS + 1):
         labels = components(links).withColumnRenamed("node", "cid")
