@@ -11,7 +11,7 @@ lower-cased).  Documents link when 100 * |intersection| >= 80 * |union|.
 3. *Group pairs.*  Linked documents share a prefix shingle, so groups meet on prefix shingles.  In
    each shingle's bucket all groups are first paired with one pivot group; group pairs are filtered
    by size and expanded to members.
-4. *Verify.*  Member pairs are filtered by an exact upper bound of their intersection from 1024-bit
+4. *Verify.*  Member pairs are filtered by an exact upper bound of their intersection from
    parity maps, then compared shingle by shingle.
 5. *The rest.*  Components are formed from the links.  Members of one bucket that are already in one
    component need no further comparison, nor does a pivot.  Large buckets whose members lie in several components are
@@ -43,7 +43,7 @@ PIVOT_ROUNDS = 2        # rounds of pivots in large buckets before the remaining
 PIVOTS = 64             # pivots per large bucket and round
 HEADS_SENT = 1_000_000  # rows of (id, hash, class) sent to the scan of the texts at most; more are joined by a shuffle
 _LOW = (1 << 48) - 1
-_MAP_WORDS = 16         # 64-bit words of a parity map
+_MAP_WORDS = 16         # 64-bit words of a parity map at least; a set of n shingles has a map of n bits or more
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -100,8 +100,13 @@ def frequent_shingles(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT_
 # --- sets ---------------------------------------------------------------------------------------
 
 def _parity(tokens: np.ndarray) -> list[int]:
-    """1024 bits; bit b is the parity of the tokens that fall on b."""
-    bits = np.bincount((tokens >> np.uint64(7) & np.uint64(1023)).astype(np.int64), minlength=64 * _MAP_WORDS) & 1
+    """Bit b is the parity of the tokens that fall on b.
+
+    The number of bits is a power of two, at least the size of the set, so that long texts are told apart
+    as well as short ones.  The halves of a map, combined by XOR, are the set's map of half the size.
+    """
+    size = max(64 * _MAP_WORDS, 1 << (len(tokens) - 1).bit_length())
+    bits = np.bincount((tokens >> np.uint64(7) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -263,11 +268,14 @@ def _verify(slices, width, threshold):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) of the class pairs whose sets link; ``texts`` has (cid, packed)."""
+    """(a, b) of the class pairs whose sets link; ``texts`` has (cid, packed).  Only texts of pairs are shuffled."""
+    pairs = stored(pairs.select("a", "b"))
+    met = stored(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
+    texts = texts.join(F.broadcast(met) if met.count() <= HEADS_SENT else met, "cid", "left_semi")
     second = texts.select(F.col("cid").alias("b"), F.col("packed").alias("packed_b"))
     first = texts.select(F.col("cid").alias("a"), F.col("packed").alias("packed_a"))
-    met = pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "packed_a", "packed_b")
-    return map_rows(met, lambda s: _verify(s, width, threshold), "a long, b long, linked boolean").where("linked").select("a", "b")
+    both = pairs.join(second, "b").join(first, "a").select("a", "b", "packed_a", "packed_b")
+    return map_rows(both, lambda s: _verify(s, width, threshold), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def _could_link(threshold: int, n1: str = "n1", n2: str = "n2", p1: str = "p1", p2: str = "p2") -> str:
@@ -276,7 +284,13 @@ def _could_link(threshold: int, n1: str = "n1", n2: str = "n2", p1: str = "p1",
     Each bit that differs stands for at least one shingle outside the intersection, so
     2 * |intersection| <= n1 + n2 - differing bits; a link needs (100 + t) * |i| >= t * (n1 + n2).
     """
-    differ = " + ".join(f"bit_count({p1}[{k}] ^ {p2}[{k}])" for k in range(_MAP_WORDS))
+    short = " + ".join(f"bit_count({p1}[{k}] ^ {p2}[{k}])" for k in range(_MAP_WORDS))
+    # Sizes that fit differ by less than a factor of two, so the longer map is folded once at most.
+    words = f"least(size({p1}), size({p2}))"
+    one, two = (f"if(size({p}) = {words}, {p}, zip_with(slice({p}, 1, {words}), slice({p}, {words} + 1, {words}), (x, y) -> x ^ y))"
+                for p in (p1, p2))
+    long = f"aggregate(zip_with({one}, {two}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    differ = f"if(size({p1}) = {_MAP_WORDS} and size({p2}) = {_MAP_WORDS}, {short}, {long})"
     return (f"100 * least({n1}, {n2}) >= {threshold} * greatest({n1}, {n2}) and "
             f"(100 + {threshold}) * ({n1} + {n2} - ({differ})) >= {2 * threshold} * ({n1} + {n2})")
 
