@@ -267,11 +267,10 @@ def _verify(slices, width, threshold):
         yield out
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) of the class pairs whose sets link; ``texts`` has (cid, packed).  Only texts of pairs are shuffled."""
+def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b) of the class pairs whose sets link.  Only the texts of these pairs are read on and shuffled."""
     pairs = stored(pairs.select("a", "b"))
-    met = stored(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
-    texts = texts.join(F.broadcast(met) if met.count() <= HEADS_SENT else met, "cid", "left_semi")
+    texts = _class_texts(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
     second = texts.select(F.col("cid").alias("b"), F.col("packed").alias("packed_b"))
     first = texts.select(F.col("cid").alias("a"), F.col("packed").alias("packed_a"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "packed_a", "packed_b")
@@ -353,7 +352,6 @@ def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int
     several = member.where("cid <> gid").select("gid").distinct()
     open_groups = shared.select("gid").unionByName(several).distinct()
     wanted = stored(member.join(open_groups, "gid", "left_semi"))
-    texts = _class_texts(docs, rows, wanted)
     maps = rows.where("parity is not null").select(F.col("rid").alias("cid"), "parity")
     lean = stored(wanted.select("cid", "n").join(maps, "cid"))
 
@@ -361,7 +359,7 @@ def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int
         """Class pairs (a < b), filtered by size and parity, then verified."""
         sized = (pairs.join(lean.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("parity").alias("p1")), "a")
                  .join(lean.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("parity").alias("p2")), "b"))
-        return verify(sized.where(_could_link(threshold)).select("a", "b"), texts, width, threshold)
+        return verify(sized.where(_could_link(threshold)).select("a", "b"), docs, rows, width, threshold)
 
     def ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
         return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).where("a < b").distinct()
@@ -394,7 +392,7 @@ def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int
         left = open_rows if last else large.where(F.pmod(F.xxhash64("cid", F.lit(attempt)), F.ceil(F.col("m") / PIVOTS)) == 0)
         once = "l.cid < r.cid" if last else "l.cid <> r.cid"
         pairs = left.alias("l").join(open_rows.alias("r"), F.expr(f"l.key = r.key and l.comp <> r.comp and {once} and {rule}"))
-        found = verify(ordered(pairs.select(F.col("l.cid").alias("x"), F.col("r.cid").alias("y")), "x", "y"), texts, width, threshold)
+        found = verify(ordered(pairs.select(F.col("l.cid").alias("x"), F.col("r.cid").alias("y")), "x", "y"), docs, rows, width, threshold)
         links = pin(links.unionByName(found))
         if last:
             return links
