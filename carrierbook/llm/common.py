@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carrierbook.llm import words
 from carrierbook.session import reliable_checkpoint, scratch_path
 
 # The white space of the contracts: [\x20\x09-\x0D].
@@ -44,19 +46,27 @@ def rows_of(batches: Iterable[pa.RecordBatch], most: int = ROWS_PER_SLICE) -> It
             yield batch.slice(at, most)
 
 
+def give_back() -> None:
+    """Hand the memory of a finished task back to the system: workers live on, and idle ones of earlier
+    stages would otherwise keep what their largest task needed."""
+    words.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict | None]], schema: str,
              most_rows: int = ROWS_PER_SLICE) -> DataFrame:
     """``mapInArrow`` for functions that take slices of rows and give columns (name -> values)."""
     names = [part.strip().split()[0] for part in _fields(schema)]
 
     def run(batches):
-        types = None
         for columns in make(rows_of(batches, most_rows)):
             if columns is None:
                 continue
-            if types is None:
-                types = arrow_types
-            yield pa.RecordBatch.from_arrays([pa.array(columns[n], type=t) for n, t in zip(names, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[n], type=t) for n, t in zip(names, arrow_types)], names=names)
+        give_back()
 
     _reachable(df.sparkSession)
     arrow_types = [_arrow(part.strip().split(None, 1)[1]) for part in _fields(schema)]

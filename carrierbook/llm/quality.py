@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carrierbook.llm.common import _reachable, join_sized, pin, rows_of
+from carrierbook.llm.common import _reachable, give_back, join_sized, pin, rows_of
 from carrierbook.llm.words import window_hashes, word_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -82,6 +82,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
             found = np.array([metrics(t) for t in rows.column("__text").to_pylist()], dtype=np.int64)
             struct = pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(METRICS))], fields=list(inner))
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in carry], struct], names=[*carry, "__m"])
+        give_back()
 
     return source.mapInArrow(run, out)
 

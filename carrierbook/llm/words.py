@@ -30,6 +30,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def forget() -> None:
+    """Empty the store of word hashes."""
+    _HASHES.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that all its bits depend on all input bits."""
     h = h ^ (h >> np.uint64(33))
