@@ -31,7 +31,7 @@ def names() -> list[str]:
     return list(_REGISTRY)
 
 
-_LEDGERS: dict[tuple[int, str], Ledger] = {}
+_LEDGERS: dict[tuple[str, int, str], Ledger] = {}
 
 
 def ledger_for(spark: SparkSession, sf_dir: str) -> Ledger:
@@ -40,7 +40,8 @@ def ledger_for(spark: SparkSession, sf_dir: str) -> Ledger:
     Views are plans, not data: sharing them between queries only saves
     deriving and analysing the same definitions again.
     """
-    key = (id(spark._jsparkSession), sf_dir)
+    # The id of a session object can return after a stop; that of the application does not.
+    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir)
     if key not in _LEDGERS:
         _LEDGERS[key] = load_fixture_views(spark, sf_dir)
     return _LEDGERS[key]
