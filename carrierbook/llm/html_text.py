@@ -1,7 +1,7 @@
 """Visible text of HTML pages, laid out as a browser would separate it.
 
 A tree builder opens and closes elements with the implied tags of HTML (a new ``li`` ends the one
-before, a block ends an open ``p``, a ``td`` lies in a row, ...).  The renderer walks the tree and
+before, a block ends an open ``p``, a ``td`` lies in a row, content ends an open ``head``, ...).  The renderer walks the tree and
 leaves out what is not shown (scripts, styles, templates, the head, ``hidden`` attributes,
 ``display:none`` and ``visibility:hidden``, comments).  Blocks begin new lines, paragraphs and
 headings keep a blank line apart, list items get bullets or numbers and are indented by depth, table
@@ -24,6 +24,8 @@ from carrierbook.llm.common import map_rows, text_or_empty
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript iframe object svg math canvas audio video datalist select textarea title".split())
+# Content that may stand in a head; anything else ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 # Blocks, and those of them that keep a blank line around them.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr form fieldset".split())
 BLOCK = APART | frozenset("html body div section article main header footer nav aside address li dt dd tr td th thead tbody tfoot "
@@ -53,6 +55,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("#root")
         self.open = [self.root]
+        self.begun = False  # the head or the body was opened, so that no further head is
 
     def _end(self, names, fence):
         """Close the lowest run of open elements down to the outermost of ``names`` below ``fence``."""
@@ -64,7 +67,17 @@ class _Builder(HTMLParser):
                 if len(names) == 1:
                     break
 
+    def _leave_head(self):
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            if self.begun:
+                return
+        elif tag not in HEAD:
+            self._leave_head()
+        self.begun = self.begun or tag not in HEAD and tag != "html"
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag in BLOCK:
@@ -83,6 +96,7 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "br":
+            self._leave_head()
             self.open[-1].children.append(_Node("br"))
             return
         for at in range(len(self.open) - 1, 0, -1):
@@ -93,6 +107,8 @@ class _Builder(HTMLParser):
                 return  # an end tag does not reach out of its table
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and _SPACE.sub("", data):
+            self._leave_head()
         self.open[-1].children.append(data)
 
 

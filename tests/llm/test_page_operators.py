@@ -41,6 +41,16 @@ def test_visible_text(html, text):
     assert html_text.visible_text(html).strip("\n") == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<html><head><title>t</title><h1>x</h1><p>text", "x\n\ntext"),
+    ("<head><meta charset=utf-8><style>a{}</style><noscript><img></noscript>\n words<p>more", "words\n\nmore"),
+    ("<head><link><script>1</script></html>late", "late"),
+    ("<head></head><body>a<head>b", "ab"),
+])
+def test_omitted_head_end(html, text):
+    assert html_text.visible_text(html).strip("\n") == text
+
+
 def test_deep_and_long_pages():
     assert html_text.visible_text("<div>" * 20_000 + "deep") == "deep"
     assert len(html_text.visible_text("<p>word " * 20_000)) > 100_000
