@@ -1,11 +1,17 @@
 """Visible text of HTML pages, laid out as a browser would separate it.
 
 A tree builder opens and closes elements with the implied tags of HTML (a new ``li`` ends the one
-before, a block ends an open ``p``, a ``td`` lies in a row, content ends an open ``head``, ...).  The renderer walks the tree and
-leaves out what is not shown (scripts, styles, templates, the head, ``hidden`` attributes,
-``display:none`` and ``visibility:hidden``, comments).  Blocks begin new lines, paragraphs and
+before, a block ends an open ``p``, a ``td`` lies in a row, content ends an open ``head``, an HTML
+block ends an open drawing or formula, ...).  The renderer walks the tree and leaves out what is not
+shown (scripts, styles, templates, the head, ``hidden`` attributes, ``display:none``, comments).
+``visibility`` is inherited, and a child may reset it.  Blocks begin new lines, paragraphs and
 headings keep a blank line apart, list items get bullets or numbers and are indented by depth, table
-cells are padded to the width of their column, ``pre`` keeps its white space.
+cells are padded to the width of their column, ``pre`` and ``textarea`` keep their white space.
+
+A drop-down gives its chosen option (the last ``selected`` one, else the first that is not disabled),
+a list box all its options and group labels on lines of their own.  Formulas give their text without
+annotations, each ``text`` of a drawing is a line of its own; what a drawing only defines or
+describes (``defs``, ``symbol``, ``title``, ``desc``, ...) is left out, ``use`` repeats no text.
 
 No element is too deep and no text too long: both passes work with stacks of their own.  A null
 page is empty and has an empty text.
@@ -15,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -23,9 +30,16 @@ from pyspark.sql import functions as F
 from carrierbook.llm.common import map_rows, text_or_empty
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math canvas audio video datalist select textarea title".split())
+UNSEEN = frozenset("head script style template noscript iframe object canvas audio video datalist title".split())
 # Content that may stand in a head; anything else ends it.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+# Parts of drawings and formulas that are not shown where they stand.
+UNDRAWN = {"svg": frozenset("title desc defs metadata symbol clippath mask marker pattern script style".split()),
+           "math": frozenset(("annotation", "annotation-xml"))}
+# Elements of drawings and formulas that hold HTML again, and HTML start tags that end a drawing or formula.
+INSIDE = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+                     "pre ruby s small span strong strike sub sup table tt u ul var".split())
 # Blocks, and those of them that keep a blank line around them.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr form fieldset".split())
 BLOCK = APART | frozenset("html body div section article main header footer nav aside address li dt dd tr td th thead tbody tfoot "
@@ -37,17 +51,26 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
+    # A select is not closed by its end tag alone.
+    "input": ({"select"}, BLOCK), "textarea": ({"select"}, BLOCK),
 }
-_HIDDEN = re.compile(r"(display\s*:\s*none|visibility\s*:\s*(hidden|collapse))", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse|inherit|unset)\s*(!\s*important)?\s*(?=;|$)", re.I)
+# Elements whose content is text without tags, where the parser does not know them by itself.
+_RAW_TEXT = frozenset() if hasattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS") else frozenset(("textarea", "title"))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "space")
+
+    def __init__(self, tag, attrs=(), space=""):
+        self.tag, self.attrs, self.children, self.space = tag, dict(attrs), [], space
 
-    def __init__(self, tag, attrs=()):
-        self.tag, self.attrs, self.children = tag, dict(attrs), []
+    def inner_space(self):
+        """The language of the children: HTML (""), svg or math."""
+        return "" if self.space and self.tag in INSIDE[self.space] else self.space
 
 
 class _Builder(HTMLParser):
@@ -59,27 +82,41 @@ class _Builder(HTMLParser):
 
     def _end(self, names, fence):
         """Close the lowest run of open elements down to the outermost of ``names`` below ``fence``."""
+        ended = False
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag in fence:
                 break
             if self.open[at].tag in names:
                 del self.open[at:]
+                ended = True
                 if len(names) == 1:
                     break
+        return ended
 
     def _leave_head(self):
         if self.open[-1].tag == "head":
             self.open.pop()
 
     def handle_starttag(self, tag, attrs):
+        if self.open[-1].space and (tag in BREAKOUT or tag == "font" and not {"color", "face", "size"}.isdisjoint(dict(attrs))):
+            while self.open[-1].inner_space():
+                self.open.pop()
+        space = tag if tag in ("svg", "math") else self.open[-1].inner_space()
+        if space:
+            self._leave_head()
+            self.open[-1].children.append(node := _Node(tag, attrs, space))
+            self.open.append(node)
+            return
         if tag == "head":
             if self.begun:
                 return
         elif tag not in HEAD:
             self._leave_head()
-        self.begun = self.begun or tag not in HEAD and tag != "html"
         if tag in ENDS:
             self._end(*ENDS[tag])
+        if tag == "select" and self._end({"select"}, BLOCK):
+            return
+        self.begun = self.begun or tag not in HEAD and tag != "html"
         if tag in BLOCK:
             self._end({"p"}, {"td", "th", "li", "table", "button"})
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
@@ -88,10 +125,12 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+        if tag in _RAW_TEXT:
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag:
+        if self.open[-1].tag == tag and (tag not in VOID or self.open[-1].space) and not self.cdata_elem:
             self.open.pop()
 
     def handle_endtag(self, tag):
@@ -106,9 +145,18 @@ class _Builder(HTMLParser):
             if self.open[at].tag == "table" and tag not in ("html", "body"):
                 return  # an end tag does not reach out of its table
 
+    def close(self):
+        super().close()
+        if self.cdata_elem == "textarea":  # not closed: it holds the rest of the page
+            self.handle_data(self.rawdata)
+
     def handle_data(self, data):
         if self.open[-1].tag == "head" and _SPACE.sub("", data):
             self._leave_head()
+        if self.open[-1].tag == "textarea":
+            data = unescape(data) if self.cdata_elem and _RAW_TEXT else data
+            if not self.open[-1].children:
+                data = data.removeprefix("\r").removeprefix("\n")
         self.open[-1].children.append(data)
 
 
@@ -187,6 +235,59 @@ def _aligned(rows) -> list[str]:
     return out
 
 
+def _visible(node, inherited: bool) -> bool:
+    """Whether ``node`` is visible, by the last of its weightiest declarations or else its parent."""
+    found = _VISIBILITY.findall(node.attrs.get("style") or "")
+    value = ([v for v, weight in found if weight] or [v for v, _ in found] or ["inherit"])[-1].lower()
+    return value in ("visible", "initial") if value not in ("inherit", "unset") else inherited
+
+
+def _hidden(node) -> bool:
+    return "hidden" in node.attrs or bool(_HIDDEN.search(node.attrs.get("style") or ""))
+
+
+def _words(node) -> str:
+    """The text of an option."""
+    out, work = [], [node]
+    while work:
+        one = work.pop()
+        if isinstance(one, str):
+            out.append(one)
+        elif one.tag not in UNSEEN:
+            work.extend(reversed(one.children))
+    return _SPACE.sub(" ", "".join(out)).strip(" ")
+
+
+def _shown_options(select) -> tuple[list[str], bool]:
+    """The labels a select shows, and whether it is a list box."""
+    size = (select.attrs.get("size") or "").strip()
+    boxed = "multiple" in select.attrs if not (size.isascii() and size.isdigit() and int(size)) else int(size) > 1
+    rows, chosen, first = [], None, None
+    work = [(child, False, False) for child in reversed(select.children)]
+    while work:
+        node, off, hidden = work.pop()
+        if isinstance(node, str) or node.tag in UNSEEN:
+            continue
+        hidden = hidden or _hidden(node)
+        if node.tag == "option":
+            label = node.attrs.get("label") or _words(node)
+            if not hidden:
+                rows.append(label)
+            if "selected" in node.attrs:
+                chosen = label
+            elif first is None and not off and "disabled" not in node.attrs:
+                first = label
+            continue
+        if node.tag == "optgroup":
+            off = "disabled" in node.attrs
+            if not hidden:
+                rows.append(node.attrs.get("label") or "")
+        work.extend((child, off, hidden) for child in reversed(node.children))
+    if not boxed:
+        rows = [chosen if chosen is not None else first or ""]
+    return [row for row in rows if row], boxed
+
+
 def visible_text(html: str) -> str:
     """The visible text of one page."""
     builder = _Builder()
@@ -195,15 +296,48 @@ def visible_text(html: str) -> str:
     boxes, tables, lists = [_Box()], [], []
     work = [(builder.root, True)]
     pre = 0
+    seen, drawn = [True], [True]  # of the open elements: visibility, and whether text is drawn in them
     while work:
         node, enter = work.pop()
         box = boxes[-1]
         if isinstance(node, str):
-            box.text(node, pre > 0)
+            if seen[-1] and drawn[-1]:
+                box.text(node, pre > 0)
             continue
         tag = node.tag
+        if node.space:
+            if not enter:
+                seen.pop()
+                drawn.pop()
+                if tag in ("text", "mtr"):
+                    box.end()
+                elif tag == "mtd":
+                    box.text(" ", False)
+            elif tag not in UNDRAWN[node.space] and not _HIDDEN.search(node.attrs.get("style") or "") and node.attrs.get("display") != "none":
+                if tag in ("text", "mtr"):
+                    box.end()
+                if "visibility" in node.attrs and "visibility" not in (node.attrs.get("style") or "").lower():
+                    node.attrs["style"] = f"visibility:{node.attrs['visibility']}"
+                seen.append(_visible(node, seen[-1]) and tag != "mphantom")
+                drawn.append(drawn[-1] and tag != "svg" or tag in ("text", "foreignobject"))
+                work.append((node, False))
+                work.extend((child, True) for child in reversed(node.children))
+            continue
         if enter:
-            if tag in UNSEEN or "hidden" in node.attrs or _HIDDEN.search(node.attrs.get("style") or ""):
+            if tag in UNSEEN or _hidden(node):
+                continue
+            if tag == "select":
+                if _visible(node, seen[-1]) and drawn[-1]:
+                    labels, boxed = _shown_options(node)
+                    for label in labels:
+                        if boxed:
+                            box.end()
+                        box.text(f" {label} ", False)
+                    if boxed:
+                        box.end()
+                continue
+            if tag == "br" and not seen[-1]:
+                box.end()
                 continue
             if tag == "br":
                 box.lines.append("".join(box.line).rstrip(" "))
@@ -211,7 +345,11 @@ def visible_text(html: str) -> str:
                 continue
             if tag in BLOCK:
                 box.end(tag in APART and not lists)
-            pre += tag == "pre"
+            seen.append(_visible(node, seen[-1]))
+            drawn.append(drawn[-1])
+            if tag == "textarea" and seen[-1]:
+                box.text(" ", False)
+            pre += tag in ("pre", "textarea")
             if tag == "table":
                 tables.append([])
             elif tag == "tr" and tables:
@@ -224,7 +362,11 @@ def visible_text(html: str) -> str:
             work.append((node, False))
             work.extend((child, True) for child in reversed(node.children))
             continue
-        pre -= tag == "pre"
+        pre -= tag in ("pre", "textarea")
+        shown = seen.pop()
+        drawn.pop()
+        if tag == "textarea" and shown:
+            box.text(" ", False)
         if tag in ("td", "th"):
             lines = boxes.pop().done()
             if tables and tables[-1]:
@@ -235,6 +377,7 @@ def visible_text(html: str) -> str:
             lines = boxes.pop().done()
             kind = lists[-1] if lists else ["ul", 1]
             mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
+            mark = mark if shown else " " * len(mark)
             kind[1] += 1
             boxes[-1].put([(mark if not k else " " * len(mark)) + line if line else line for k, line in enumerate(lines)])
         elif tag == "table":

@@ -45,12 +45,34 @@ def test_visible_text(html, text):
     ("<html><head><title>t</title><h1>x</h1><p>text", "x\n\ntext"),
     ("<head><meta charset=utf-8><style>a{}</style><noscript><img></noscript>\n words<p>more", "words\n\nmore"),
     ("<head><link><script>1</script></html>late", "late"),
+    ("<head><title>on <script> and <b></title><p>x", "x"),
     ("<head></head><body>a<head>b", "ab"),
 ])
 def test_omitted_head_end(html, text):
     assert html_text.visible_text(html).strip("\n") == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("Note<textarea>\nfirst &amp; <b>\n  second</textarea>end", "Note first & <b>\n  second end"),
+    ("<textarea>left open<p>", "left open<p>"),
+    ("in <select><option>one<option selected>two<option>three</select>.", "in two ."),
+    ("<select><option disabled>no<optgroup disabled><option>no</optgroup><optgroup label=g><option>a &lt; b</select>", "a < b"),
+    ("<select><option hidden selected>Choose<option>one</select>", "Choose"),
+    ("<select multiple><optgroup label=g><option>a<option label=l>b<option hidden>c</select>", "g\na\nl"),
+    ("<select><option>one<input>after", "one after"),
+    ("<p>so <math><mi>E</mi><mo>=</mo><semantics><mi>m</mi><annotation>tex</annotation></semantics><mphantom>no</mphantom></math> holds", "so E=m holds"),
+    ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs>no<text>A <tspan>b</tspan></text><text>C</text></svg>", "A b\nC"),
+    ("<svg><foreignObject><p>inner</p></foreignObject><g/><source/><p>outer</p>", "inner\n\nouter"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><p>no</div>x", "yes\n\nx"),
+    ("<div style='display:none'>no<b style='visibility:visible'>no</b></div>x", "x"),
+    ("<p style='visibility:visible!important;visibility:hidden'>a<i style='visibility:collapse'>no", "a"),
+    ("<table><tr><td style='visibility:hidden'>gone<td>b<tr><td>c<td>d</table>", "  | b\nc | d"),
+    ("<ol><li style='visibility:hidden'>no<li>b</ol>", "2. b"),
+])
+def test_all_visible_text(html, text):
+    assert html_text.visible_text(html).strip("\n") == text
+
+
 def test_deep_and_long_pages():
     assert html_text.visible_text("<div>" * 20_000 + "deep") == "deep"
     assert len(html_text.visible_text("<p>word " * 20_000)) > 100_000
