@@ -194,5 +194,27 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean[0] and "Miller" not in clean[0] and clean[10] == rows[3][1]
 
 
+def _shown(df, **rules):
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    return {r["doc_id"]: [texts[r["doc_id"]][int(a):int(b)] for kind, a, b in (s.split(":") for s in r["spans"].split(",") if s) if kind == "term"]
+            for r in pii.personal_rows(df, **rules).collect()}
+
+
+def test_disclosing_terms_apart(spark):
+    far = "the case of the clinic went on about nothing " * 60
+    run = "\u6587" * 600
+    rows = [(0, f"the clinic of doctor Miller wrote to bob@mail.example.com about the case. {far} Then Miller left."),
+            (1, f"{run} ann@mail.example.com about the case"),
+            (2, "Castle of eve@mail.example.com the clinic"), (3, f"the clinic eve@mail.example.com {far} Castle"),
+            (4, "a Castle and the clinic"), (5, "\u0130stanbul joe@mail.example.com the case")]
+    rows += [(10 + k, f"the case of the clinic went on about nothing {k}") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shown = _shown(df, least_support=1)
+    assert shown[0].count("Miller") == 2 and "doctor" in shown[0] and not set(shown[0]) & {"the", "case", "clinic"}
+    assert shown[1] == [run] and "Castle" in shown[2] and "Castle" in shown[3] and shown[4] == []
+    assert shown[5] == ["\u0130stanbul"]
+    assert "Miller" not in {r["doc_id"]: r["text"] for r in pii.sanitise(df, least_support=1).collect()}[0]
+
+
 def test_personal_empty(odd):
     assert pii.personal_rows(odd.limit(0)).count() == 0 and pii.sanitise(odd).count() == odd.count()
