@@ -10,7 +10,7 @@ terms beside an entity reveal it (C-sanitisation, Sanchez and Batet, 2016):
 with df counting distinct texts, so that copies change nothing (df(t, e): t stands within ``REACH``
 words of e).  A term discloses e when PMI(t, e) >= ``DISCLOSURE`` * IC(e), that is when df(t) is at
 most df(t, e) * (N / df(e)) ^ (1 - ``DISCLOSURE``), and the pair is seen in ``LEAST_SUPPORT`` texts at
-least.  Every occurrence of the term, near or far, in each
+least; entities of a single text are judged too.  Every occurrence of the term, near or far, in each
 document that holds e is added with kind ``term``.  ``sanitise`` replaces base values by their kind,
 and disclosing terms by a more general one (their shape class), or removes them when they alone
 identify the entity (they occur nowhere else).
@@ -34,7 +34,7 @@ from carrierbook.llm.common import join_sized, map_rows, pin, stored, text_or_em
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 8
 DISCLOSURE = 0.75
-LEAST_SUPPORT = 2
+LEAST_SUPPORT = 1
 _COPIED_SENT = 200_000  # copied texts whose counts are sent to every task; beyond, a shuffled join
 _FLUSH = 400_000  # distinct terms counted in a task before they are handed on
 

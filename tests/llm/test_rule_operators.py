@@ -216,5 +216,15 @@ def test_disclosing_terms_apart(spark):
     assert "Miller" not in {r["doc_id"]: r["text"] for r in pii.sanitise(df, least_support=1).collect()}[0]
 
 
+def test_entities_of_a_single_text(spark):
+    rows = [(0, "the clinic of doctor Miller wrote to bob@mail.example.com about the case")]
+    rows += [(10 + k, f"the case of the clinic went on about nothing {k}") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shown = _shown(df)
+    assert shown[0] == ["doctor", "Miller", "wrote"]
+    copies = _shown(df.unionByName(df.where("doc_id = 0").withColumn("doc_id", F.lit(1000).cast("long"))))
+    assert copies.pop(1000) == shown[0] and copies == shown
+
+
 def test_personal_empty(odd):
     assert pii.personal_rows(odd.limit(0)).count() == 0 and pii.sanitise(odd).count() == odd.count()
