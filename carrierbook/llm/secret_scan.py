@@ -8,8 +8,11 @@ and a digit) and adds spans of kind ``random``:
 2. three tests ask whether the token can be a uniform random string over it: chi-squared on the
    character counts, a runs test on the upper and lower half of the alphabet, and the lag-1 serial
    correlation; the smallest p-value times three must not fall below ``LEAST_RANDOM_P``;
-3. the chi-squared value also gives a p-value against prose-like text: prose of n characters gives a
-   noncentral chi-squared value whose excess grows with n;
+3. the token is tested against ordinary text of its encoding.  base64: prose of n characters gives a
+   noncentral chi-squared value whose excess grows with n.  The alphabets of hex, base32 and base36 are
+   too small for that; ordinary tokens there are words and numbers, which change between letters
+   and digits seldom (``MIXING`` of the places between two characters at most).  The number of changes
+   gives a binomial p-value; base32 and base36 join it with the chi-squared one (Fisher's method);
 4. false discoveries are controlled over the whole corpus per length band (Benjamini-Hochberg at
    ``ALPHA``), from counts per bin of that p-value, so no ranking passes through one task.
 
@@ -39,6 +42,7 @@ LEAST_ASSIGNED = 8
 ALPHA = 0.01
 LEAST_RANDOM_P = 0.001
 BANDS = (32, 48, 96)     # lengths at which a new band begins
+MIXING = 0.1             # words and numbers of ten characters on average
 _PER_DECADE, _DECADES = 100, 30
 
 # encoding -> (pattern, alphabet, excess of prose: size * sum of squared character shares - 1).
@@ -80,6 +84,18 @@ def _upper(z: str) -> str:
     return f"if({z} >= 0, {_two_sided(z)} / 2, 1 - {_two_sided(z)} / 2)"
 
 
+def _mixing(e: str) -> str:
+    """P(at least ``mixed`` changes in n - 1 places) for a binomial of share ``MIXING``, bounded from above.
+
+    Above the mean the terms of the tail fall faster than a geometric series that begins as they do.
+    """
+    m, k, q = f"({e}.n - 1)", f"{e}.mixed", MIXING
+    first = (f"exp(aggregate(sequence(1, greatest(1, {k})), 0D, (a, i) -> a + ln(({m} - {k} + i) / cast(i as double))) "
+             f"+ {k} * ln({q}D) + ({m} - {k}) * ln(1 - {q}D))")
+    ratio = f"(({m} - {k}) * {q}D / (({k} + 1) * (1 - {q}D)))"
+    return f"if({k} <= {m} * {q}D or {k} = 0, 1D, least(1D, {first} / (1 - {ratio})))"
+
+
 def _battery() -> str:
     """SQL for __tokens: array of (start, end, length, band, random_p, text_p)."""
     encoding, alphabet, excess = "case", "case", "case"
@@ -92,29 +108,33 @@ def _battery() -> str:
     steps = [
         ("s", "__found", "struct(s.start, s.end, translate(rtrim('=', s.body), '-_', '+/') as core)"),
         ("s", None, f"struct(s.start, s.end, {encoding} end as encoding, s.core)"),
-        ("e", None, f"struct(e.start, e.end, {alphabet} end as letters, {excess} end as excess, "
+        ("e", None, f"struct(e.start, e.end, e.encoding, {alphabet} end as letters, {excess} end as excess, "
                     "if(e.encoding = 'base64', e.core, lower(e.core)) as core)"),
-        ("e", None, "struct(e.start, e.end, length(e.core) as n, length(e.letters) as k, e.excess, e.letters, e.core, "
+        ("e", None, "struct(e.start, e.end, e.encoding, length(e.core) as n, length(e.letters) as k, e.excess, e.letters, e.core, "
+                    "length(e.core) - length(regexp_replace(e.core, '[0-9](?=[^0-9])|[^0-9](?=[0-9])', '')) as mixed, "
                     "transform(split(substring(e.core, 1, length(e.core)), '(?!^)(?!$)'), c -> locate(c, e.letters) - 1) as x)"),
-        ("e", None, "struct(e.start, e.end, e.n, e.k, e.excess, e.x, "
+        ("e", None, "struct(e.start, e.end, e.encoding, e.mixed, e.n, e.k, e.excess, e.x, "
                     "aggregate(transform(sequence(0, e.k - 1), i -> size(filter(e.x, v -> v = i))), 0D, (a, c) -> a + c * c) * e.k / e.n - e.n as chi, "
                     "aggregate(e.x, 0D, (a, v) -> a + v) / e.n as mean, size(filter(e.x, v -> v >= e.k / 2)) as high, "
                     "1 + size(filter(sequence(1, e.n - 1), i -> (e.x[i] >= e.k / 2) <> (e.x[i - 1] >= e.k / 2))) as runs)"),
         ("e", None, "struct(e.*, 2D * e.high * (e.n - e.high) / e.n + 1 as runs_mean, "
                     "aggregate(e.x, 0D, (a, v) -> a + (v - e.mean) * (v - e.mean)) as spread, "
                     "aggregate(sequence(1, e.n - 1), 0D, (a, i) -> a + (e.x[i] - e.mean) * (e.x[i - 1] - e.mean)) as lagged)"),
-        ("e", None, "struct(e.start, e.end, e.n, "
+        ("e", None, "struct(e.start, e.end, e.encoding, e.mixed, e.n, "
                     "(pow(greatest(e.chi, 0D) / (e.k - 1), 1D / 3) - (1 - 2D / (9 * (e.k - 1)))) / sqrt(2D / (9 * (e.k - 1))) as z_chi, "
                     "if(e.runs_mean <= 2, -9D, (e.runs - e.runs_mean) / sqrt((e.runs_mean - 1) * (e.runs_mean - 2) / (e.n - 1))) as z_runs, "
                     "if(e.spread = 0, 9D, e.lagged / e.spread * sqrt(e.n)) as z_serial, "
                     "(e.chi - (e.k - 1 + e.excess * e.n)) / sqrt(2D * (e.k - 1 + 2 * e.excess * e.n)) as z_text)"),
+        ("e", None, f"struct(e.start, e.end, e.encoding, e.n, e.z_chi, e.z_runs, e.z_serial, greatest(1e-30D, 1 - {_upper('e.z_text')}) as chi_p, "
+                    f"greatest(1e-30D, {_mixing('e')}) as mixed_p)"),
     ]
     sql = ""
     for name, source, body in steps:
-        sql = f"transform({source or sql}, {name} -> {body.replace('e.*', 'e.start, e.end, e.n, e.k, e.excess, e.x, e.chi, e.mean, e.high, e.runs')})"
+        sql = f"transform({source or sql}, {name} -> {body.replace('e.*', 'e.start, e.end, e.encoding, e.mixed, e.n, e.k, e.excess, e.x, e.chi, e.mean, e.high, e.runs')})"
     last = (f"struct(e.start as start, e.end as end, e.n as n, {band.replace('n <', 'e.n <')} as band, "
             f"least(1D, 3 * least({_upper('e.z_chi')}, {_two_sided('e.z_runs')}, {_two_sided('e.z_serial')})) as random_p, "
-            f"greatest(1e-30D, 1 - {_upper('e.z_text')}) as text_p)")
+            "case e.encoding when 'base64' then e.chi_p when 'hex' then e.mixed_p "
+            "else greatest(1e-30D, least(1D, e.chi_p * e.mixed_p * (1 - ln(e.chi_p * e.mixed_p)))) end as text_p)")
     return f"transform({sql}, e -> {last})"
 
 

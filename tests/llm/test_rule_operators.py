@@ -58,6 +58,33 @@ def test_random_tokens(secret_texts):
     assert spans[7] == spans[9] == ""
 
 
+ENCODED = {("upper hex", 32): "0123456789ABCDEF", ("upper hex", 40): "0123456789ABCDEF", ("upper hex", 64): "0123456789ABCDEF",
+           ("lower hex", 24): "0123456789abcdef", ("base32", 32): "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+           ("base36", 32): "0123456789abcdefghijklmnopqrstuvwxyz"}
+
+
+def test_random_tokens_of_small_alphabets(spark):
+    """Most random tokens are found, and words with numbers are not."""
+    rng = random.Random(5)
+    rows, kind = [], {}
+    for (name, n), letters in ENCODED.items():
+        for _ in range(200):
+            kind[len(rows)] = name, n
+            rows.append("key " + "".join(rng.choice(letters) for _ in range(n)) + " end")
+    words = ["invoice", "carrier", "pallet", "station", "order", "booking", "ledger", "transfer", "customer", "balance"]
+    for k in range(1200):
+        kind[len(rows)] = "words", 0
+        token = "".join(w + (str(rng.randrange(10 ** rng.randrange(1, 7))) if j else "") for j, w in enumerate(rng.sample(words, 3)))
+        rows.append(token.upper() if k % 2 else token)
+    found = secret_scan.secret_rows(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    hits, sums = Counter(), Counter(kind.values())
+    for r in found:
+        hits[kind[r["doc_id"]]] += "random" in r["spans"]
+    share = {k: hits[k] / sums[k] for k in sums}
+    assert share.pop(("words", 0)) <= 0.01, share
+    assert min(share.values()) > 0.75, share
+
+
 def test_redaction(secret_texts, odd):
     df = secret_texts.withColumn("n_chars", F.length("text"))
     done = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
