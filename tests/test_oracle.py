@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB oracle on the smallest driver folder."""
+"""Every registered ledger query against its DuckDB oracle on the smallest driver folder."""
 
 import datetime as dt
 import decimal
@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from carrierbook.plans import catalog
 from tests.conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -42,12 +43,12 @@ def duck():
     return con
 
 
-ORACLE = E.oracle_sql()
+ORACLE = catalog.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.run(spark, SF_SMALL, name)
     rows = df.collect()
     cols = df.columns
     cur = duck.execute(ORACLE[name])
@@ -63,5 +64,5 @@ def test_every_query_runs_and_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["department_id", "department", "ins", "outs", "saldo"]
     assert df.count() == 6
-    for name in set(E.queries()) - set(ORACLE):
-        assert E.queries()[name](spark, SF_SMALL).count() >= 0
+    for name in set(catalog.query_callables()) - set(ORACLE):
+        assert catalog.run(spark, SF_SMALL, name).count() >= 0

@@ -1,17 +1,17 @@
-"""Plan shape of every registered query: no Python evaluation, no nested-loop or
+"""Plan shape of every registered ledger query: no Python evaluation, no nested-loop or
 cartesian joins; aggregates are partial before their shuffle."""
 
 import pytest
 
-import __spark_entry__ as E
+from carrierbook.plans import catalog
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.query_callables()))
 def test_plan_has_no_python_or_nested_loops(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.run(spark, SF_SMALL, name)
     df.write.format("noop").mode("overwrite").save()
     plan = df._jdf.queryExecution().executedPlan().toString()
     for node in FORBIDDEN:
@@ -19,6 +19,6 @@ def test_plan_has_no_python_or_nested_loops(spark, name):
 
 
 def test_stock_aggregates_before_the_shuffle(spark):
-    df = E.queries()["stock_overall"](spark, SF_SMALL)
+    df = catalog.run(spark, SF_SMALL, "stock_overall")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan
