@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierbook.llm import bpe, exact_dedup, gam, html_text, ngram_join, packing, pii, quality, secret_scan, warc
+from carrierbook.llm import bpe, exact_dedup, gam, html_text, ngram_join, packing, pii, quality, secret_scan, toxicity, warc
 from carrierbook.llm.common import pin, table
 
 
@@ -67,6 +67,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_html_text, op4_warc, op5_secrets, op6_quality, op7_classifier,
-                            op8_pii, op9_packing, op10_exact_dedup, pipeline)}
+                            op8_pii, op9_packing, op10_exact_dedup, op11_toxicity, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
