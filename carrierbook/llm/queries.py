@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierbook.llm import bpe, exact_dedup, gam, html_text, ngram_join, packing, pii, quality, secret_scan, toxicity, warc
+from carrierbook.llm import bpe, exact_dedup, gam, html_text, ngram_join, packing, periodic_runs, pii, quality, secret_scan, toxicity, warc
 from carrierbook.llm.common import pin, table
 
 
@@ -72,6 +72,11 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), periodic_runs.planted_period)
+    return found.drop("runs")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_html_text, op4_warc, op5_secrets, op6_quality, op7_classifier,
-                            op8_pii, op9_packing, op10_exact_dedup, op11_toxicity, pipeline)}
+                            op8_pii, op9_packing, op10_exact_dedup, op11_toxicity,
+                            op13_periodic_runs, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """

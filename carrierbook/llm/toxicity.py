@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct character n-grams (2 to 6 characters, lower-cased) of its distinct
+A text's features are the distinct character n-grams (2 to 8 characters, lower-cased) of its distinct
 words, each word with a space on both sides, hashed into ``DIMS`` buckets.  Training:
 
 1. *Counts.*  Per bucket the documents of either class that hold it are counted in tasks and added up.
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from carrierbook.llm.common import map_rows, stored, text_or_empty
 from carrierbook.llm.words import mix
 
-SIZES = (2, 3, 4, 5, 6)
-DIMS = 1 << 20
+SIZES = (2, 3, 4, 5, 6, 7, 8)
+DIMS = 1 << 21
 SAMPLE_MOST = 20_000
 KEEP = 20_000
 SMOOTH = 1.0
 LEAST_DOCS = 3      # documents of the sample that hold a bucket, at least
-PENALTY = 1.0
+PENALTY = 0.3
 STEPS = 200
 CUT = 0.5
 _PIECE = 1 << 18    # characters hashed at a time; longer texts go in overlapping pieces
