@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierbook.llm import bpe, exact_dedup, gam, html_text, ngram_join, packing, periodic_runs, pii, quality, secret_scan, toxicity, warc
+from carrierbook.llm import bpe, exact_dedup, gam, html_text, lexical_search, ngram_join, packing, periodic_runs, pii, quality, secret_scan, toxicity, warc
 from carrierbook.llm.common import pin, table
 
 
@@ -72,6 +72,10 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), periodic_runs.planted_period)
     return found.drop("runs")
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_html_text, op4_warc, op5_secrets, op6_quality, op7_classifier,
                             op8_pii, op9_packing, op10_exact_dedup, op11_toxicity,
-                            op13_periodic_runs, pipeline)}
+                            op12_lexical_search, op13_periodic_runs, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
@@ -109,4 +113,24 @@ ORACLE_SQL: dict[str, str] = {
               FROM d WINDOW w AS (PARTITION BY normal ORDER BY size DESC, doc_id))
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(normal) AS text_sha256 FROM g
     """,
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+        sized AS (SELECT k, doc_id, found, len(found) AS n FROM d WHERE len(found) > 0),
+        whole AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM sized),
+        post AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(found) AS term FROM sized) GROUP BY k, term),
+        weight AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w
+                   FROM post, whole GROUP BY term, big_n),
+        q AS (SELECT row_number() OVER () AS i, item_id,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM benchmark),
+        asked AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(found) AS term FROM q) GROUP BY i, item_id, term),
+        norm AS (SELECT k, doc_id, 75 + (25 * n * big_n) // big_l AS m FROM sized, whole),
+        scored AS (SELECT i, item_id, k, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score
+                   FROM asked JOIN weight USING (term) JOIN post USING (term) JOIN norm USING (k)
+                   WHERE doc_id IS NOT NULL GROUP BY i, item_id, k, doc_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0)
+        SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE r <= 20
+    """,
 }
