@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrierbook.llm.common import map_rows, stored, text_or_empty
-from carrierbook.llm.words import mix
 
 SIZES = (2, 3, 4, 5, 6, 7, 8)
 DIMS = 1 << 21
-SAMPLE_MOST = 20_000
-KEEP = 20_000
+SAMPLE_MOST = 16_000
+KEEP = 8_000
 SMOOTH = 1.0
 LEAST_DOCS = 3      # documents of the sample that hold a bucket, at least
 PENALTY = 0.3
@@ -39,37 +38,38 @@ STEPS = 200
 CUT = 0.5
 _PIECE = 1 << 18    # characters hashed at a time; longer texts go in overlapping pieces
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
+_SHIFT = np.uint64(64 - DIMS.bit_length() + 1)  # the top bits of a product depend on all bits below
+_ENTRIES = 1 << 20  # entries of the training rows that one step of a pass works on
 
 
-def features(text: str) -> np.ndarray:
-    """The sorted distinct buckets of a text's character n-grams."""
+def features(text: str, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The sorted distinct buckets of a text's character n-grams; with ``wanted`` (a flag per bucket), just the flagged ones."""
     distinct = dict.fromkeys(text.lower().split())
     if not distinct:
         return np.zeros(0, dtype=np.int32)
     points = np.frombuffer((" " + " ".join(distinct) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    found = [_buckets(points[at:at + _PIECE + SIZES[-1] - 1], at + _PIECE < len(points)) for at in range(0, len(points), _PIECE)]
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+    found = [part for at in range(0, len(points), _PIECE)
+             for part in _buckets(points[at:at + _PIECE + SIZES[-1] - 1], at + _PIECE < len(points), wanted)]
+    return np.unique(np.concatenate(found))
 
 
-def _buckets(points: np.ndarray, goes_on: bool) -> np.ndarray:
-    """Buckets of the n-grams that start in a piece; those after its last ``_PIECE`` belong to the next one."""
+def _buckets(points: np.ndarray, goes_on: bool, wanted: np.ndarray | None):
+    """Buckets of the n-grams that start in a piece, per size; those after its last ``_PIECE`` belong to the next one."""
     starts = min(len(points), _PIECE) if goes_on else len(points)
-    codes = points.astype(np.uint64) + np.uint64(1)
+    codes = (points.astype(np.uint64) + np.uint64(1)) * _STEP
+    codes ^= codes >> np.uint64(31)
     blank = points == 32
     rolling = codes[:starts]
-    inner = np.zeros(starts, dtype=bool)  # a space inside, which ends a word
-    out = []
+    whole = np.ones(starts, dtype=bool)  # no space inside, which ends a word
     for size in range(2, SIZES[-1] + 1):
-        last = len(points) - size + 1
-        rolling = rolling[:last] * _STEP + codes[size - 1:size - 1 + len(rolling[:last])]
-        if size > 2:
-            inner = inner[:last] | blank[size - 2:size - 2 + len(inner[:last])]
-        else:
-            inner = inner[:last]
+        last = max(len(points) - size + 1, 0)
+        n = min(starts, last)
+        rolling = rolling[:n] * _STEP + codes[size - 1:size - 1 + n]
+        whole = whole[:n] if size == 2 else whole[:n] & ~blank[size - 2:size - 2 + n]
         if size in SIZES:
-            one = rolling[~inner] if size > 2 else rolling[~(blank[:len(rolling)] & blank[1:1 + len(rolling)])]
-            out.append(mix(one + np.uint64(size)) & np.uint64(DIMS - 1))
-    return np.unique(np.concatenate(out)).astype(np.int32)
+            buckets = ((rolling * _SPREAD) >> _SHIFT).astype(np.int32)
+            yield buckets[whole] if wanted is None else buckets[whole & wanted[buckets]]
 
 
 # --- the model ------------------------------------------------------------------------------------
@@ -133,16 +133,25 @@ def fit(rows: list[np.ndarray], y: np.ndarray, buckets: np.ndarray, ratios: np.n
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(float(np.log(share / (1 - share))), np.zeros(0, np.int32), np.zeros(0))
-    line = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    place = np.concatenate(rows) if len(line) else np.zeros(0, np.int64)
-    value = ratios[place]
+    ends = np.cumsum([len(r) for r in rows])
+    place = np.concatenate(rows) if ends[-1] else np.zeros(0, np.int64)
+    # Passes go over the rows in parts of about ``_ENTRIES`` entries.
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(_ENTRIES, ends[-1], _ENTRIES)), [len(rows)]]))
+    begins = np.concatenate([[0], ends])
+    parts = [(lo, hi, begins[lo], begins[hi]) for lo, hi in zip(cuts, cuts[1:])]
+
+    def lines(lo, hi):
+        return np.repeat(np.arange(hi - lo), begins[lo + 1:hi + 1] - begins[lo:hi])
 
     def cost(v):
-        z = v[-1] + np.bincount(line, value * v[place], len(y))
-        p = _sigmoid(z)
+        scaled, z = ratios * v[:-1], np.full(len(y), v[-1])
+        for lo, hi, a, b in parts:
+            z[lo:hi] += np.bincount(lines(lo, hi), scaled[place[a:b]], hi - lo)
         loss = np.sum(np.logaddexp(0, z) - y * z) + PENALTY / 2 * (v[:-1] @ v[:-1])
-        off = p - y
-        return loss, np.append(np.bincount(place, value * off[line], len(ratios)) + PENALTY * v[:-1], off.sum())
+        off, slope = _sigmoid(z) - y, np.zeros(len(ratios))
+        for lo, hi, a, b in parts:
+            slope += np.bincount(place[a:b], off[lo:hi][lines(lo, hi)], len(ratios))
+        return loss, np.append(ratios * slope + PENALTY * v[:-1], off.sum())
 
     start = np.zeros(len(ratios) + 1)
     start[-1] = np.log(y.mean() / (1 - y.mean()))
@@ -235,8 +244,9 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
     def run(slices):
         table = model.dense()
+        wanted = table != 0
         for part in slices:
-            total = np.array([table[features(t)].sum() for t in part.column("text").to_pylist()], dtype=float)
+            total = np.array([table[features(t, wanted)].sum() for t in part.column("text").to_pylist()], dtype=float)
             value = _sigmoid(model.base + total)
             yield {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": value,
                    "predicted": (value >= cut).astype(np.int32)}
