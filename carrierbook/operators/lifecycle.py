@@ -48,7 +48,8 @@ _PATHS = sorted(set(ACTION_PERMISSION.values()) | {"cases.require_employee_code"
 _ROUNDS = 3
 
 
-def _actors(users: DataFrame, roles: DataFrame) -> DataFrame:
+def actor_rights(users: DataFrame, roles: DataFrame) -> DataFrame:
+    """(actor_id, _lock, _p_<permission> ...): what each user may do to cases."""
     perms = access.permission_columns(users, roles, _PATHS)
     return perms.select(F.col("user_id").alias("actor_id"), access.location_lock(perms).alias("_lock"),
                         *[F.coalesce(F.col(p.replace(".", "_")), F.lit(False)).alias("_p_" + p.replace(".", "_"))
@@ -76,7 +77,7 @@ def action_facts(actions: DataFrame, cases: DataFrame, users: DataFrame, roles:
     c = cases.select(F.col("id").alias("case_id"), F.col("location_id").alias("_loc"),
                      F.col("status").alias("_s0"), F.col("employee_code").alias("_code"),
                      F.col("qty_in").alias("_cin"), F.col("qty_out").alias("_cout"))
-    a = a.join(c, "case_id", "left").join(_actors(users, roles), "actor_id", "left")
+    a = a.join(c, "case_id", "left").join(actor_rights(users, roles), "actor_id", "left")
     perm = F.lit(False)
     for act, path in ACTION_PERMISSION.items():
         perm = F.when(F.col("action") == act, F.col("_p_" + path.replace(".", "_"))).otherwise(perm)
@@ -342,73 +343,13 @@ def commit_batch(actions: DataFrame, cases: DataFrame, users: DataFrame, roles:
 
 
 def apply_edits(edits: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """B5 ``edit`` with payloads: a batch of at most one edit per case → (new case rows, rejects).
-
-    Within one batch an edit's checks depend only on the stored case and its
-    payload, so the reference's full rule order applies (a NULL payload field
-    means "not sent"): permission, status 1/2, plate, qty_in, qty_out,
-    non_exchangeable_qty ≥ 0, non_exchangeable_qty only in status 2, and not
-    above max(new in − new out, 0), product, employee code only in status 2,
-    its format, and required by role.  Accepted edits are COALESCE patches;
-    non_exchangeable_qty and employee_code change only in status 2.
+    """B5 ``edit`` with payloads: a batch of edits → (new case rows, rejects).
+
+    A case's edits apply in (ts, action_id) order and its row appears once; each edit is checked against what
+    the ones before it set, by the reference's rules in their order (a NULL payload field means "not
+    sent").  Accepted edits are COALESCE patches; non_exchangeable_qty and employee_code change only in
+    status 2.  ``updated_at`` is the time of the last accepted edit.
     """
-    from carrierbook.functions import rules as R
-    from carrierbook.functions.text import trim_to_null
-    e = edits.withColumn("action", F.lit("edit"))
-    facts = action_facts(e.select("action_id", "case_id", "actor_id", "action", "ts"), cases, users, roles)
-    facts = facts.select("action_id", "_found", "_forbidden", "_perm",
-                         F.col("_need_code").alias("_req_code_missing"))
-    req_code = access.permission_columns(users, roles, ["cases.require_employee_code"]).select(
-        F.col("user_id").alias("actor_id"), F.coalesce(F.col("cases_require_employee_code"), F.lit(False)).alias("_req"))
-    c = cases.select(F.col("id").alias("case_id"), F.col("status").alias("_st"), F.col("qty_in").alias("_in"),
-                     F.col("qty_out").alias("_out"))
-    j = e.join(facts, "action_id", "inner").join(c, "case_id", "left").join(req_code, "actor_id", "left")
-    st = F.col("_st")
-    nxt_in = F.coalesce(F.col("qty_in"), F.col("_in"), F.lit(0))
-    nxt_out = F.coalesce(F.col("qty_out"), F.col("_out"), F.lit(0))
-    soll = F.greatest(nxt_in - nxt_out, F.lit(0))
-    code = R.employee_code_value("employee_code")
-    given = F.col("employee_code").isNotNull()
-    reason = R.first_reason(
-        F.when(~F.col("_found"), F.lit(S.ERR_NOT_FOUND)),
-        F.when(F.col("_forbidden"), F.lit(S.ERR_FORBIDDEN)),
-        F.when(~F.col("_perm"), F.lit(S.ERR_NO_PERMISSION)),
-        F.when(~st.isin(1, 2), F.lit(S.ERR_EDIT_STATUS)),
-        F.when(F.col("license_plate").isNotNull(), R.plate_error("license_plate")),
-        F.when(F.col("qty_in").isNotNull() & (F.col("qty_in") < 0), F.lit(S.ERR_QTY_IN)),
-        F.when(F.col("qty_out").isNotNull() & (F.col("qty_out") < 0), F.lit(S.ERR_QTY_OUT)),
-        F.when(F.col("non_exchangeable_qty").isNotNull() & (F.col("non_exchangeable_qty") < 0), F.lit(S.ERR_NON_EXCH)),
-        F.when((st != 2) & F.col("non_exchangeable_qty").isNotNull(), F.lit(S.ERR_NON_EXCH_STATUS)),
-        F.when((st == 2) & (F.col("non_exchangeable_qty") > soll), F.lit(S.ERR_NON_EXCH_SOLL)),
-        F.when(F.col("product_type").isNotNull(), R.product_error("product_type")),
-        F.when(given & (st != 2), F.lit(S.ERR_EMPLOYEE_CODE_STATUS)),
-        F.when(given, R.employee_code_error("employee_code")),
-        F.when(given & F.coalesce(F.col("_req"), F.lit(False)) & code.isNull(), F.lit(S.ERR_EMPLOYEE_CODE_REQUIRED)))
-    j = j.withColumn("reason", reason)
-    rejects = j.where(F.col("reason").isNotNull()).select("action_id", "case_id", "actor_id", "reason")
-    ok = j.where(F.col("reason").isNull()).select(
-        F.col("case_id").alias("_cid"),
-        F.when(F.coalesce(F.col("department_id"), F.lit(0)) != 0, F.col("department_id")).alias("_p_department_id"),
-        F.when(F.col("license_plate").isNotNull(), R.plate_value("license_plate")).alias("_p_license_plate"),
-        trim_to_null("entrepreneur").alias("_p_entrepreneur"), trim_to_null("note").alias("_p_note"),
-        F.col("qty_in").alias("_p_qty_in"), F.col("qty_out").alias("_p_qty_out"),
-        F.when(F.col("product_type").isNotNull(), R.product_value("product_type")).alias("_p_product_type"),
-        F.col("non_exchangeable_qty").alias("_p_non_exchangeable_qty"),
-        given.alias("_code_given"), code.alias("_p_employee_code"), F.col("ts").alias("_ts"))
-    n = cases.join(ok, cases["id"] == ok["_cid"], "left")
-    in_progress = F.col("status") == 2
-    patched = {
-        "department_id": F.coalesce(F.col("_p_department_id"), F.col("department_id")),
-        "license_plate": F.coalesce(F.col("_p_license_plate"), F.col("license_plate")),
-        "entrepreneur": F.coalesce(F.col("_p_entrepreneur"), F.col("entrepreneur")),
-        "note": F.coalesce(F.col("_p_note"), F.col("note")),
-        "qty_in": F.coalesce(F.col("_p_qty_in"), F.col("qty_in")),
-        "qty_out": F.coalesce(F.col("_p_qty_out"), F.col("qty_out")),
-        "product_type": F.coalesce(F.col("_p_product_type"), F.col("product_type")),
-        "non_exchangeable_qty": F.when(in_progress, F.coalesce(F.col("_p_non_exchangeable_qty"), F.col("non_exchangeable_qty")))
-        .otherwise(F.col("non_exchangeable_qty")),
-        "employee_code": F.when(in_progress & F.coalesce(F.col("_code_given"), F.lit(False)), F.col("_p_employee_code"))
-        .otherwise(F.col("employee_code")),
-    }
-    new = n.select(*[patched.get(c, F.col(c)).alias(c) for c in cases.columns], F.col("_ts").alias("updated_at"))
-    return new, rejects
+    from carrierbook.operators import payload_replay
+    new, rejects = payload_replay.apply_log(edits.withColumn("action", F.lit("edit")), cases, users, roles)
+    return new.drop("applied_action"), rejects.drop("action")

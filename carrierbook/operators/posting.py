@@ -68,6 +68,21 @@ def post_cases(approved: DataFrame, approver_col: str = "approved_by") -> DataFr
     return base.select("*", F.inline("_l")).drop("_l").select("case_id", *LEDGER_LINE_COLUMNS)
 
 
+def ledger_rows(lines: DataFrame, numbered: DataFrame, key: str, number: str, *, first_id: int, first_number: int = 1,
+                created_at: str | Column) -> DataFrame:
+    """Posted or transferred lines as ledger rows: with ``id`` and ``created_at``, ready to be appended.
+
+    ``numbered`` has consecutive numbers (``number``, from ``first_number``) per ``key``, the case or request of the lines.  Each key owns the
+    two ids that its number gives it, so ids need no numbering of their own; a key with one line leaves an id unused, as a
+    database sequence does.  ``created_at`` is a column of ``numbered`` or a value for all lines.
+    """
+    at = F.col(created_at) if isinstance(created_at, str) else created_at
+    own = numbered.select(key, F.col(number).alias("_no"), at.alias("created_at"))
+    rows = lines.join(own, key)
+    line_id = F.lit(first_id) + 2 * (F.col("_no") - F.lit(first_number)) + F.col("line_no") - 1
+    return rows.select(line_id.cast("bigint").alias("id"), *[c for c in LEDGER_LINE_COLUMNS], F.col("created_at").cast("timestamp_ntz"), key)
+
+
 def _actor_table(users: DataFrame, roles: DataFrame, paths: list[str]) -> DataFrame:
     perms = access.permission_columns(users, roles, paths)
     return perms.select(F.col("user_id").alias("actor_id"), access.location_lock(perms).alias("_lock"),

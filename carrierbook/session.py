@@ -84,3 +84,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def worker_imports(spark: SparkSession) -> None:
+    """Let Python workers import this package.
+
+    A cluster gets it as every job's code, by ``--py-files``.  Workers of a local master run on this
+    machine and only need its path.
+    """
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if context.master.startswith("local") and root not in context.environment.get("PYTHONPATH", "").split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, context.environment.get("PYTHONPATH")]))
+
+
+def _file_system(spark: SparkSession, place: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def path_exists(spark: SparkSession, place: str) -> bool:
+    """Whether a file or folder exists, on any store Spark can open; a failing store raises."""
+    store, path = _file_system(spark, place)
+    return store.exists(path)
+
+
+def sub_folders(spark: SparkSession, place: str) -> list[str]:
+    """The names of the folders in a folder; none where it does not exist."""
+    store, path = _file_system(spark, place)
+    if not store.exists(path):
+        return []
+    return [s.getPath().getName() for s in store.listStatus(path) if s.isDirectory()]

@@ -70,6 +70,15 @@ VIEW_SQL: dict[str, str] = {
     "user_requests": "select cast(c_custkey as int) request_id, case when c_custkey%7=0 then concat('x', cast(c_custkey%3 as string)) when c_custkey%7=1 then c_name else concat('new_', cast(c_custkey%500 as string)) end username, cast(c_nationkey+1 as int) location_id, cast(c_custkey%5 as int) role_id, cast(c_custkey%8 as int) fixed_department_id, case c_custkey%6 when 0 then 'bad@mail' when 1 then ' A@B.DE ' else null end email from customer",
     "partner_replacements": "select cast(s_suppkey+1 as int) id, case when s_suppkey%4=0 then ' ' when s_suppkey%4=1 then concat('Supplier#', lpad(cast((s_suppkey+7)%40 as string),9,'0')) else concat(s_name,' GmbH') end name, 'Main street 1' street, cast(null as string) postal_code, n_name city from supplier join nation on n_nationkey=s_nationkey where s_suppkey%3=0",
     "case_edits": "select cast(event_id as int) action_id, cast(user_id%300+1 as int) case_id, case when event_id%3=0 then 1 else cast(event_id%50+1 as int) end actor_id, ts, case when event_id%5=0 then cast(event_id%4+1 as int) end department_id, case event_id%7 when 0 then 'hb 12' when 1 then ' hb12 ' end license_plate, case when event_id%6=0 then ' Supplier#000000002 ' end entrepreneur, case when event_id%4=0 then 'edited' end note, case when event_id%3=0 then cast(event_id%30-2 as int) end qty_in, case when event_id%5=1 then cast(event_id%20 as int) end qty_out, case when event_id%4=1 then cast(event_id%6-1 as int) end non_exchangeable_qty, case event_id%9 when 0 then 'x9' when 1 then 'b' end employee_code, case event_id%8 when 0 then 'H1' when 1 then 'plastic' end product_type from events where event_type='signup'",
+    # A whole action log over the real case ids, with payloads: every third action is on one case (the first announced
+    # one), which is edited for weeks before it is claimed; the others have about five actions each, a few meet no case.
+    "case_log": """select cast(event_id as int) action_id, cast(case when event_id%3=0 then (select min(id) from booking_cases where status=1) when event_id%101=0 then 900000000+event_id else floor(event_id/7)*10+1 end as int) case_id,
+ cast(case when event_id%4<>1 then 1 else event_id%50+1 end as int) actor_id,
+ case when event_id%3=0 then case when day(ts)>=9 and event_id%5=0 then 'claim' when day(ts)>=20 and event_id%4=1 then 'submit' when day(ts)>=27 and event_id%7=2 then 'approve' when day(ts)>=28 and event_id%11=3 then 'set_translogica' else 'edit' end
+ else case event_type when 'view' then 'claim' when 'click' then 'submit' when 'purchase' then 'approve' when 'signup' then 'edit' else case event_id%5 when 0 then 'cancel' when 1 then 'archive' when 2 then 'set_translogica' else 'edit' end end end as action, ts,
+ case when event_id%5=0 then cast(event_id%4+1 as int) end department_id, case event_id%7 when 0 then 'hb 12' when 1 then ' hb12 ' end license_plate, case when event_id%8=3 then ' Supplier#000000002 ' end entrepreneur, case when event_id%4=0 then 'edited' end note,
+ case when event_id%4=2 then cast(event_id%30-2 as int) end qty_in, case when event_id%5=1 then cast(event_id%20 as int) end qty_out, case when event_id%5=2 or event_id%3=0 and event_id%4=1 then cast(event_id%17-1 as int) end non_exchangeable_qty,
+ case event_id%13 when 0 then 'x9' when 1 then 'b' when 2 then '' end employee_code, case event_id%16 when 0 then 'H1' when 1 then 'plastic' end product_type, case when event_id%3<>1 then event_id%2=0 end translogica_transferred from events""",
     # The transfer flag the case views leave out (FIXTURES.md): booked cases with an even id.
     "booking_cases_flagged": "select *, (status=4 and id%2=0) translogica_transferred from booking_cases",
     # Department create requests: the part type as name (one exists already, most repeat), some blank.
@@ -85,7 +94,7 @@ VIEW_NAMES = list(VIEW_SQL)
 def with_prefix(*names: str) -> str:
     """``WITH`` clause defining the named views (and what they depend on) for DuckDB."""
     need = set(names)
-    if "bookings" in need:
+    if need & {"bookings", "case_log", "booking_cases_flagged"}:
         need.add("booking_cases")
     parts = [f"{n} AS ({VIEW_SQL[n]})" for n in VIEW_NAMES if n in need]
     return "WITH " + ",\n".join(parts) + "\n"

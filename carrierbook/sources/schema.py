@@ -149,10 +149,14 @@ CASE_EDITS = _s([("action_id", I), ("case_id", I), ("actor_id", I), ("ts", TS),
                  ("license_plate", S), ("entrepreneur", S), ("note", S), ("qty_in", I), ("qty_out", I),
                  ("non_exchangeable_qty", I), ("employee_code", S), ("product_type", S)])
 
+CASE_LOG = _s([*[(f.name, f.dataType) for f in CASE_ACTIONS.fields], ("department_id", I), ("license_plate", S), ("entrepreneur", S),
+               ("note", S), ("qty_in", I), ("qty_out", I), ("non_exchangeable_qty", I), ("employee_code", S), ("product_type", S),
+               ("translogica_transferred", B)])
+
 SCHEMAS = {
     "locations": LOCATIONS, "departments": DEPARTMENTS, "entrepreneurs": ENTREPRENEURS, "users": USERS,
     "booking_cases": BOOKING_CASES, "bookings": BOOKINGS, "user_notifications": USER_NOTIFICATIONS,
-    "roles": ROLES, "case_actions": CASE_ACTIONS, "login_attempts": LOGIN_ATTEMPTS,
+    "roles": ROLES, "case_actions": CASE_ACTIONS, "case_log": CASE_LOG, "login_attempts": LOGIN_ATTEMPTS,
     "partner_updates": PARTNER_UPDATES, "case_requests": CASE_REQUESTS, "transfer_requests": TRANSFER_REQUESTS, "read_marks": READ_MARKS,
     "theme_updates": THEME_UPDATES, "booking_patches": BOOKING_PATCHES, "user_patches": USER_PATCHES,
     "user_requests": USER_REQUESTS, "partner_replacements": PARTNER_REPLACEMENTS, "case_edits": CASE_EDITS,
