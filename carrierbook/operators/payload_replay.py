@@ -183,7 +183,7 @@ def maps_of(moves) -> list[list[int]]:
 
 # --- facts ----------------------------------------------------------------------------------------
 
-def _facts(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFrame) -> DataFrame:
+def _facts(actions: DataFrame, cases: DataFrame, rights: DataFrame) -> DataFrame:
     """The log with its payload columns, the checks that need no state, the move and the stored state."""
     a = actions
     for name, kind in PAYLOAD.items():
@@ -193,7 +193,7 @@ def _facts(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFr
                      F.coalesce("qty_in", F.lit(0)).alias("_in0"), F.coalesce("qty_out", F.lit(0)).alias("_out0"),
                      (F.coalesce("employee_code", F.lit("")) != "").alias("_code0"))
     a = join_heavy(a, c, "case_id", ["action_id"])
-    a = join_heavy(a, lifecycle.actor_rights(users, roles), "actor_id", ["action_id"])
+    a = a.join(rights, "actor_id", "left")
     perm = F.lit(False)
     for act, path in lifecycle.ACTION_PERMISSION.items():
         perm = F.when(F.col("action") == act, F.col("_p_" + path.replace(".", "_"))).otherwise(perm)
@@ -355,13 +355,16 @@ def _reason() -> Column:
     return F.when(~F.col("_found"), F.lit(S.ERR_NOT_FOUND)).when(F.col("_forbidden"), F.lit(S.ERR_FORBIDDEN)).otherwise(by_action)
 
 
-def replay(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFrame) -> DataFrame:
+def replay(actions: DataFrame, cases: DataFrame, users: DataFrame, roles: DataFrame, rights: DataFrame | None = None) -> DataFrame:
     """Every action's outcome when each case's log is applied in (ts, action_id) order, payloads included.
 
     (action_id, case_id, actor_id, action, ts, start_status, end_status, accepted, reason, start_qty_in, start_qty_out,
     the payload columns as sent, seq).  ``seq`` ascends in a case's order.
+    ``rights``: ``lifecycle.actor_rights`` of the users and roles, where the caller has them already.
     """
-    met = _met(_facts(actions, cases, users, roles)).withColumn("reason", _reason())
+    if rights is None:
+        rights = lifecycle.actor_rights(users, roles)
+    met = _met(_facts(actions, cases, rights)).withColumn("reason", _reason())
     ok = F.col("reason").isNull()
     known = F.col("_st") >= 0
     to = F.create_map(*[F.lit(x) for pair in (("claim", 2), ("submit", 3), ("approve", 4), ("cancel", 0)) for x in pair])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 # A key is heavy when it holds more than 1 / HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE heavy keys.
@@ -17,10 +17,11 @@ def join_heavy(long: DataFrame, keyed: DataFrame, key: str, deal: list[str], how
     The rows of a heavy key are dealt to ``salts`` parts by the hash of their columns ``deal`` (so a retried
     task deals them alike) and its one row is repeated for each; all other rows meet as in a plain join.  ``long`` is read twice, the first time for its key alone.
     """
-    total = long.count()
-    counted = long.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    # Fewer than ``share`` keys can pass, so the list is small whatever the table's size.
-    heavy = [r[0] for r in counted.where(F.col("_n") * share > total).select(key).collect()]
+    seen = Observation()
+    counted = long.select(key).observe(seen, F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    # Fewer than ``share`` keys can pass, so the ``share`` largest decide whatever the table's size.
+    largest = counted.where(F.col(key).isNotNull()).orderBy(F.col("_n").desc()).limit(share).collect()
+    heavy = [r[0] for r in largest if r["_n"] * share > seen.get["n"]]
     if not heavy:
         return long.join(keyed, key, how)
     hot = F.col(key).isin(heavy)

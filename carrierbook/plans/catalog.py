@@ -69,4 +69,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # Importing the query modules fills the registry.
-    from carrierbook.plans import queries_access, queries_core, queries_lifecycle, queries_lists, queries_maintain, queries_misc, queries_notify, queries_posting  # noqa: F401
+    from carrierbook.plans import queries_access, queries_admin, queries_core, queries_lifecycle, queries_lists, queries_live, queries_maintain, queries_misc, queries_notify, queries_posting  # noqa: F401

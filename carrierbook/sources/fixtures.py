@@ -79,6 +79,17 @@ VIEW_SQL: dict[str, str] = {
  case when event_id%5=0 then cast(event_id%4+1 as int) end department_id, case event_id%7 when 0 then 'hb 12' when 1 then ' hb12 ' end license_plate, case when event_id%8=3 then ' Supplier#000000002 ' end entrepreneur, case when event_id%4=0 then 'edited' end note,
  case when event_id%4=2 then cast(event_id%30-2 as int) end qty_in, case when event_id%5=1 then cast(event_id%20 as int) end qty_out, case when event_id%5=2 or event_id%3=0 and event_id%4=1 then cast(event_id%17-1 as int) end non_exchangeable_qty,
  case event_id%13 when 0 then 'x9' when 1 then 'b' when 2 then '' end employee_code, case event_id%16 when 0 then 'H1' when 1 then 'plastic' end product_type, case when event_id%3<>1 then event_id%2=0 end translogica_transferred from events""",
+    # The ledger lines as a feed in two deliveries: one line per (order, line); every fifth comes again in the second.
+    "ledger_feed": """select l.id, k.location_id, k.department_id, l.type, l.quantity, k.product_type, l.created_at, d.delivery from
+ (select cast(l_orderkey*8+l_linenumber as bigint) id, max(l_orderkey) l_orderkey, case when max(l_returnflag)='R' then 'IN' else 'OUT' end as type, cast(max(l_quantity) as int) quantity, min(l_shipdate) created_at from lineitem group by l_orderkey, l_linenumber) l
+ join booking_cases k on k.id=l.l_orderkey+1 join (select 0 delivery union all select 1 delivery) d on (l.id%4<>0 and d.delivery=0) or (l.id%4=0 and d.delivery=1) or (l.id%5=0 and d.delivery=1)""",
+    # Delete requests of every kind, by the admin and by others, some without an id, some for the actor's own row.
+    "delete_requests": """select cast(event_id as int) request_id, cast(case when event_id%3=0 then 1 when event_id%3=1 then event_id%50+1 else user_id%90+1 end as int) actor_id,
+ case event_type when 'view' then 'case' when 'click' then 'user' when 'purchase' then 'location' when 'signup' then case when event_id%2=0 then 'role' else 'department' end else case when event_id%17=0 then 'archive' else 'partner' end end kind,
+ cast(case when event_id%29=0 then 0 when event_id%31=0 then null else case event_type when 'view' then event_id+1 when 'click' then case when event_id%5=0 then (case when event_id%3=0 then 1 when event_id%3=1 then event_id%50+1 else user_id%90+1 end) else event_id%1999+2 end when 'purchase' then event_id%60+1 when 'signup' then event_id%8+1 else event_id%200+1 end end as int) target_id from events""",
+    # Role requests: blank, taken and repeated names; permissions that are no object, unknown or not boolean.
+    "role_requests": """select cast(p_partkey as int) request_id, case p_partkey%6 when 0 then ' ' when 1 then 'Lager' when 2 then concat(' Team ', cast(p_partkey%40 as string), ' ') else concat('Role ', cast(p_partkey as string)) end name,
+ case p_partkey%9 when 0 then '{"cases":{"claim":true,"submit":"true"},"bookings":{"export":null}}' when 1 then '[true]' when 2 then '{"cases":true,"stock":{"view":1,"overall":false}}' when 3 then '{"warehouse":{"open":true},"users":{"manage":true,"hire":false}}' when 4 then cast(null as string) when 5 then 'not json' when 6 then '{}' when 7 then '{"admin":{"full_access":[1]},"roles":{"manage":{"x":true}}}' else '{"cases":{"claim":true},"filters":{"all_locations":false}}' end permissions from part""",
     # The transfer flag the case views leave out (FIXTURES.md): booked cases with an even id.
     "booking_cases_flagged": "select *, (status=4 and id%2=0) translogica_transferred from booking_cases",
     # Department create requests: the part type as name (one exists already, most repeat), some blank.
@@ -94,7 +105,7 @@ VIEW_NAMES = list(VIEW_SQL)
 def with_prefix(*names: str) -> str:
     """``WITH`` clause defining the named views (and what they depend on) for DuckDB."""
     need = set(names)
-    if need & {"bookings", "case_log", "booking_cases_flagged"}:
+    if need & {"bookings", "case_log", "ledger_feed", "booking_cases_flagged"}:
         need.add("booking_cases")
     parts = [f"{n} AS ({VIEW_SQL[n]})" for n in VIEW_NAMES if n in need]
     return "WITH " + ",\n".join(parts) + "\n"

@@ -156,7 +156,11 @@ CASE_LOG = _s([*[(f.name, f.dataType) for f in CASE_ACTIONS.fields], ("departmen
 SCHEMAS = {
     "locations": LOCATIONS, "departments": DEPARTMENTS, "entrepreneurs": ENTREPRENEURS, "users": USERS,
     "booking_cases": BOOKING_CASES, "bookings": BOOKINGS, "user_notifications": USER_NOTIFICATIONS,
-    "roles": ROLES, "case_actions": CASE_ACTIONS, "case_log": CASE_LOG, "login_attempts": LOGIN_ATTEMPTS,
+    "roles": ROLES, "case_actions": CASE_ACTIONS, "case_log": CASE_LOG,
+    "delete_requests": _s([("request_id", I), ("actor_id", I), ("kind", S), ("target_id", I)]),
+    "role_requests": _s([("request_id", I), ("name", S), ("permissions", S)]),
+    "ledger_feed": _s([("id", L), ("location_id", I), ("department_id", I), ("type", S), ("quantity", I), ("product_type", S), ("created_at", TS), ("delivery", I)]),
+    "login_attempts": LOGIN_ATTEMPTS,
     "partner_updates": PARTNER_UPDATES, "case_requests": CASE_REQUESTS, "transfer_requests": TRANSFER_REQUESTS, "read_marks": READ_MARKS,
     "theme_updates": THEME_UPDATES, "booking_patches": BOOKING_PATCHES, "user_patches": USER_PATCHES,
     "user_requests": USER_REQUESTS, "partner_replacements": PARTNER_REPLACEMENTS, "case_edits": CASE_EDITS,

@@ -10,9 +10,8 @@ buckets it touches alone, ``<table>/v=n/bucket=b``:
 * ``lines``     the ledger lines of the bucket's cases approved here (B1), with ids, group ids and times;
 * ``outcomes``  every action judged in the batch;  ``events`` what changed (S5).
 
-The last write of a batch is its row in ``commits``, which names the buckets.  A bucket's current version is
-its largest committed one; a batch that is killed and run again reads the versions before itself, takes the
-same numbers (``NumberAllocator``) and overwrites what it wrote.
+A batch that is killed and run again reads the versions before itself, takes the same numbers
+(``NumberAllocator``) and overwrites what it wrote (``Versions``).
 
 *Late actions.*  An action at or before the last one applied to its case is late: the case goes back to its base
 row and its whole log, the late action in its place, is replayed.  So any order of arrival ends in the same
@@ -29,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carrierbook.functions.receipt_no import receipt_number
-from carrierbook.operators import audience, payload_replay, posting
+from carrierbook.operators import audience, lifecycle, payload_replay, posting
 from carrierbook.operators.numbering import number_rows
-from carrierbook.session import path_exists, reliable_checkpoint, sub_folders
+from carrierbook.session import reliable_checkpoint
 from carrierbook.sources import schema as S
 from carrierbook.streaming import change_log
 from carrierbook.streaming.allocator import NumberAllocator
+from carrierbook.streaming.versions import Versions
 
 CREATE = "create"
 RECEIPTS, LINES = "receipts", "lines"
@@ -56,52 +56,21 @@ class LiveCases:
 
     def __init__(self, spark: SparkSession, folder: str, users: DataFrame, roles: DataFrame, locations: DataFrame, departments: DataFrame,
                  cases: DataFrame, *, notices: DataFrame | None = None, buckets: int = 64, receipt_start: int = 1, line_start: int = 1):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.spark, self.buckets, self.store = spark, buckets, Versions(spark, folder)
         self.users, self.roles, self.locations, self.departments = users, roles, locations, departments
+        self.rights = reliable_checkpoint(lifecycle.actor_rights(users, roles))
         self.case_schema = cases.schema
         self.numbers = NumberAllocator(spark, os.path.join(folder, "numbers-receipts"), receipt_start)
         self.line_ids = NumberAllocator(spark, os.path.join(folder, "numbers-lines"), line_start)
         if self.last_batch() is None:
             dealt = cases.withColumn("bucket", bucket_of(F.col("id"), buckets))
-            self._write("base", -1, dealt)
-            self._write("cases", -1, dealt.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OWN.fields]))
+            self.store.write("base", -1, dealt)
+            self.store.write("cases", -1, dealt.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OWN.fields]))
             given = notices if notices is not None else spark.createDataFrame([], _NOTICE)
-            self._write("notices", -1, given.select(*[F.col(f.name).cast(f.dataType) for f in _NOTICE.fields])
+            self.store.write("notices", -1, given.select(*[F.col(f.name).cast(f.dataType) for f in _NOTICE.fields])
                         .withColumn("bucket", bucket_of(F.col("case_id"), buckets)))
-            self._write("first-notices", -1, self._read("notices", {b: -1 for b in range(buckets)}))
-            self._commit(-1, list(range(buckets)))
-
-    # --- storage ----------------------------------------------------------------------------------
-
-    def _place(self, table: str, batch: int) -> str:
-        return os.path.join(self.folder, table, f"v={batch}")
-
-    def _write(self, table: str, batch: int, df: DataFrame) -> None:
-        """Write a batch's rows (with ``bucket``); overwrites what a killed run left.
-
-        Rows are brought together by bucket, a bucket that is too large for one task (a hot case's log) is split.
-        """
-        df.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(self._place(table, batch))
-
-    def _commit(self, batch: int, touched: list[int]) -> None:
-        self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(
-            os.path.join(self.folder, "commits", f"batch={batch}"))
-
-    def _committed(self) -> list[int]:
-        place = os.path.join(self.folder, "commits")
-        found = sorted(int(n.split("=")[1]) for n in sub_folders(self.spark, place) if n.startswith("batch="))
-        return [b for b in found if path_exists(self.spark, os.path.join(place, f"batch={b}", "_SUCCESS"))]
-
-    def last_batch(self) -> int | None:
-        done = self._committed()
-        return done[-1] if done else None
-
-    def _versions(self, before: int | None = None) -> dict[int, int]:
-        """Per bucket its largest committed batch (below ``before``): one number per bucket."""
-        done = [b for b in self._committed() if before is None or b < before]
-        rows = (self.spark.read.schema("bucket int, batch long").option("basePath", os.path.join(self.folder, "commits"))
-                .parquet(*[os.path.join(self.folder, "commits", f"batch={b}") for b in done]))
-        return {r["bucket"]: r["v"] for r in rows.groupBy("bucket").agg(F.max("batch").alias("v")).collect()}
+            self.store.write("first-notices", -1, self._read("notices", {b: -1 for b in range(buckets)}))
+            self.store.commit(-1, list(range(buckets)))
 
     def _schema(self, table: str) -> T.StructType:
         if table in ("cases", "base"):
@@ -113,62 +82,45 @@ class LiveCases:
         return T.StructType([*S.BOOKINGS.fields, T.StructField("case_id", T.IntegerType()), T.StructField("booking_group_id", T.StringType())])
 
     def _read(self, table: str, versions: dict[int, int]) -> DataFrame:
-        """The rows of the given versions of buckets, with ``bucket``."""
-        root = os.path.join(self.folder, table)
-        dirs = [v for v in sorted(set(versions.values())) if path_exists(self.spark, self._place(table, v))]
-        schema = self._schema(table)
-        if not dirs:
-            return self.spark.createDataFrame([], schema).withColumn("bucket", F.lit(0))
-        full = T.StructType([*schema.fields, T.StructField("v", T.LongType()), T.StructField("bucket", T.IntegerType())])
-        wanted = F.lit(False)
-        for v in dirs:  # a predicate on the folders alone
-            wanted = wanted | ((F.col("v") == v) & F.col("bucket").isin([b for b, at in versions.items() if at == v]))
-        return (self.spark.read.schema(full).option("basePath", root).parquet(*[self._place(table, v) for v in dirs])
-                .where(wanted).drop("v"))
-
-    def _grown(self, table: str, upto: int, touched: list[int]) -> DataFrame:
-        """All rows of a table that only grows (log, base) in the touched buckets, up to a batch, with their batch ``v``."""
-        dirs = [v for v in [b for b in self._committed() if b < upto] + [upto]
-                if path_exists(self.spark, os.path.join(self._place(table, v), "_SUCCESS"))]
-        schema = self._schema(table)
-        full = T.StructType([*schema.fields, T.StructField("v", T.LongType()), T.StructField("bucket", T.IntegerType())])
-        return (self.spark.read.schema(full).option("basePath", os.path.join(self.folder, table))
-                .parquet(*[self._place(table, v) for v in dirs]).where(F.col("bucket").isin(touched)))
+        return self.store.read(table, self._schema(table), versions)
+
+    def last_batch(self) -> int | None:
+        return self.store.last_batch()
 
     # --- views ------------------------------------------------------------------------------------
 
     def cases(self, before: int | None = None) -> DataFrame:
         """The case table after the last committed batch (before batch ``before``)."""
-        return self._read("cases", self._versions(before)).select(*self.case_schema.names)
+        return self._read("cases", self.store.current(before)).select(*self.case_schema.names)
 
     def lines(self) -> DataFrame:
         """The ledger lines of approvals made here, ready to be united with the ledger (B1)."""
-        return self._read("lines", self._versions()).drop("bucket")
+        return self._read("lines", self.store.current()).drop("bucket")
 
     def notices(self, before: int | None = None) -> DataFrame:
         """The live notices by audience (``audience.for_readers`` gives them per reader)."""
-        return self._read("notices", self._versions(before)).drop("bucket")
+        return self._read("notices", self.store.current(before)).drop("bucket")
 
     def events(self, batch: int) -> DataFrame:
         """What changed in a batch."""
-        return self.spark.read.parquet(self._place("events", batch))
+        return self.spark.read.parquet(self.store.place("events", batch))
 
     # --- a batch ----------------------------------------------------------------------------------
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self._write("log", batch_id, self._log_rows(batch))
+        self.store.write("log", batch_id, self._log_rows(batch))
         new = self._read("log", {b: batch_id for b in range(self.buckets)})
         touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # at most one per bucket
-        versions = self._versions(before=batch_id)
+        versions = self.store.current(before=batch_id)
         old = self._read("cases", {b: versions[b] for b in touched if b in versions})
-        self._write("base", batch_id, self._created(new, old))
-        base = self._grown("base", batch_id, touched)
+        self.store.write("base", batch_id, self._created(new, old))
+        base = self.store.grown("base", self._schema("base"), batch_id, touched)
 
         late = reliable_checkpoint(self._late(new, old))
         rewound = late.limit(1).count() > 0
         actions, start = new, old.drop(*_OWN.names)
         if rewound:
-            whole = self._grown("log", batch_id, touched).drop("v")
+            whole = self.store.grown("log", self._schema("log"), batch_id, touched).drop("v")
             actions = (new.join(late, "case_id", "left_anti")
                        .unionByName(whole.join(late, "case_id", "left_semi")))
             ids = late.withColumnRenamed("case_id", "id")
@@ -178,19 +130,19 @@ class LiveCases:
         changed = start.join(actions.select(F.col("case_id").alias("id")).distinct().unionByName(
             late.withColumnRenamed("case_id", "id")).distinct(), "id", "left_semi")
 
-        outcomes = payload_replay.replay(actions, changed.select(*self.case_schema.names), self.users, self.roles)
-        outcomes.write.mode("overwrite").parquet(self._place("outcomes", batch_id))
-        outcomes = self.spark.read.schema(outcomes.schema).parquet(self._place("outcomes", batch_id))
+        outcomes = payload_replay.replay(actions, changed.select(*self.case_schema.names), self.users, self.roles, self.rights)
+        outcomes.write.mode("overwrite").parquet(self.store.place("outcomes", batch_id))
+        outcomes = self.spark.read.schema(outcomes.schema).parquet(self.store.place("outcomes", batch_id))
         rows = self._rows(outcomes, changed, old)
         rows = self._numbered(rows, batch_id)
         untouched = old.join(rows.select("id"), "id", "left_anti")
         after = untouched.select(*rows.columns).unionByName(rows)
-        self._write("cases", batch_id, after)
+        self.store.write("cases", batch_id, after)
         after = self._read("cases", {b: batch_id for b in touched})
 
         notices_before = self._read("notices", {b: versions[b] for b in touched if b in versions})
-        self._write("notices", batch_id, self._notices(notices_before, outcomes, after, late, base, touched))
-        self._write("lines", batch_id, self._lines(after))
+        self.store.write("notices", batch_id, self._notices(notices_before, outcomes, after, late, base, touched))
+        self.store.write("lines", batch_id, self._lines(after))
         now = {b: batch_id for b in touched}
         was = {b: versions[b] for b in touched if b in versions}
         readers = audience.members(self.users)
@@ -198,8 +150,8 @@ class LiveCases:
                   .unionByName(change_log.ledger_events(self._read("lines", was), self._read("lines", now)))
                   .unionByName(change_log.notice_events(
                       *self._notice_differences(self._read("notices", was), self._read("notices", now), readers))))
-        change_log.numbered(events, batch_id).write.mode("overwrite").parquet(self._place("events", batch_id))
-        self._commit(batch_id, touched)
+        change_log.numbered(events, batch_id).write.mode("overwrite").parquet(self.store.place("events", batch_id))
+        self.store.commit(batch_id, touched)
 
     def _log_rows(self, batch: DataFrame) -> DataFrame:
         fields = self._schema("log").fields

@@ -106,11 +106,11 @@ def test_a_killed_batch_gives_the_same_numbers_and_lines(spark, tmp_path):
     live(_batch(spark, log[:3]), 0)
     once = sorted(map(tuple, live.lines().collect()))
 
-    stop = live._commit
-    live._commit = lambda *a: (_ for _ in ()).throw(RuntimeError("killed"))
+    stop = live.store.commit
+    live.store.commit = lambda *a: (_ for _ in ()).throw(RuntimeError("killed"))
     with pytest.raises(RuntimeError):
         live(_batch(spark, log[3:]), 1)
-    live._commit = stop
+    live.store.commit = stop
     assert sorted(map(tuple, live.lines().collect())) == once and live.last_batch() == 0
     again = _live(spark, tmp_path / "a", [_case(i) for i in (1, 2, 3)], receipt_start=40, line_start=100)
     again(_batch(spark, log[3:]), 1)
