@@ -30,6 +30,25 @@ _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#]*)\Z")
 _LOADED: dict[str, "Vocabulary"] = {}
 
 
+class _Parts(dict):
+    """Ids by part; a part that is looked up for the first time is encoded.  The older half goes when it is full."""
+
+    def __init__(self, vocab: "Vocabulary", most: int):
+        self.vocab, self.most, self.older = vocab, most, {}
+
+    def __missing__(self, part):
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.vocab.encode_part(part.decode() if isinstance(part, bytes) else part)
+            if len(part) > LONG_PART:
+                return ids
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+
 class Vocabulary:
     def __init__(self, path: str, memo_parts: int = MEMO_PARTS):
         self.memo_parts = memo_parts
@@ -44,8 +63,7 @@ class Vocabulary:
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self._letters = {b: chr(b) for b in letters}
         self._letters |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self._letters)}
-        self.memo: dict = {}
-        self._older: dict = {}
+        self.memo = _Parts(self, memo_parts)
         self._words: dict[str, bytes] = {}
         self._octets = None
 
@@ -68,33 +86,16 @@ class Vocabulary:
             space, word = "", word.lower()
         return self._word(space + word) + (self._word(marks) if marks else b"")
 
-    def _learn(self, parts: set) -> None:
-        """Make sure that ``memo`` has all of ``parts``."""
-        if len(self.memo) + len(parts) > self.memo_parts // 2:
-            self._older, self.memo = self.memo, {}
-        hard = []
-        for part in parts - self.memo.keys():
-            ids = self._older.get(part)
-            if ids is None:
-                text = part.decode() if isinstance(part, bytes) else part
-                ids = self._plain(text)
-                if ids is None:
-                    hard.append((part, text))
-                    continue
-            self.memo[part] = ids
-        for at in range(0, len(hard), 4096):
-            some = hard[at:at + 4096]
-            for (part, _), found in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
-                self.memo[part] = np.array(found.ids, dtype="<u4").tobytes()
+    def encode_part(self, text: str) -> bytes:
+        """The ids of one part between safe places."""
+        ids = self._plain(text)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return ids
 
     def join(self, many: list[list]) -> list[bytes]:
         """The ids (little-endian, 4 bytes each) of texts given as lists of parts."""
-        parts = set().union(*many) if many else set()
-        self._learn(parts)
-        out = [b"".join(map(self.memo.__getitem__, one)) for one in many]
-        for part in [p for p in parts if len(p) > LONG_PART]:
-            self.memo.pop(part, None)
-        return out
+        return [b"".join(map(self.memo.__getitem__, one)) for one in many]
 
     def octets(self) -> list[bytes]:
         """The bytes of each id of a byte vocabulary."""
