@@ -31,7 +31,7 @@ from carrierbook.llm.tokens import SEGMENT, byte_ids, vocabulary
 
 CHUNK_MASK = 0x3FF       # one cut in 1024 characters on average ...
 CHUNK_LEAST, CHUNK_MOST = 256, 8192  # ... but chunks have so many characters
-MEMO_PARTS = 300_000     # parts whose ids a worker remembers; it decodes as well, and shares its memory with the texts
+MEMO_PARTS = 600_000     # parts whose ids a worker remembers; it decodes as well, and shares its memory with the texts
 TEXTS_AT_ONCE = 64       # texts that a worker takes apart at a time
 
 
