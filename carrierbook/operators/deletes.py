@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from carrierbook.functions import rules as R
 from carrierbook.operators import access
+from carrierbook.session import reliable_checkpoint
 from carrierbook.sources import schema as S
 
 CASE, USER, ROLE, LOCATION, DEPARTMENT, PARTNER = KINDS = ("case", "user", "role", "location", "department", "partner")
@@ -93,9 +94,10 @@ def judge(requests: DataFrame, users: DataFrame, roles: DataFrame, bookings: Dat
 
 def effects(granted: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """(table, column, effect, n): how many rows the granted requests delete or change, per table and reference."""
+    granted = reliable_checkpoint(granted.select("kind", "target_id").distinct())  # met by every table below
     out = None
     for kind, parts in EFFECTS.items():
-        gone = granted.where(F.col("kind") == kind).select("target_id").distinct()
+        gone = granted.where(F.col("kind") == kind).select("target_id")
         for table, column, effect in parts:
             hit = tables[table].select(F.col(column).alias("target_id")).join(gone, "target_id", "left_semi")
             one = hit.agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table"), F.lit(column).alias("column"), F.lit(effect).alias("effect"), "n")
@@ -105,9 +107,10 @@ def effects(granted: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
 def apply(granted: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables after the granted requests."""
+    granted = reliable_checkpoint(granted.select("kind", "target_id").distinct())
     out = dict(tables)
     for kind, parts in EFFECTS.items():
-        gone = granted.where(F.col("kind") == kind).select(F.col("target_id").alias("_gone")).distinct()
+        gone = granted.where(F.col("kind") == kind).select(F.col("target_id").alias("_gone"))
         for table, column, effect in parts:
             df = out[table]
             if effect == "delete":
