@@ -13,14 +13,21 @@ a list box all its options and group labels on lines of their own.  Formulas giv
 annotations, each ``text`` of a drawing is a line of its own; what a drawing only defines or
 describes (``defs``, ``symbol``, ``title``, ``desc``, ...) is left out, ``use`` repeats no text.
 
-No element is too deep and no text too long: both passes work with stacks of their own.  A null
-page is empty and has an empty text.
+A closed ``details`` shows its summary alone and a ``dialog`` only when it is open; buttons made by ``input`` show their
+value.  Cells that span rows keep their column free in the rows below (``colspan`` counts up to ``MOST_SPAN``).  The
+page's own style sheets are not read, so what only a class hides is shown.
+
+No element is too deep and no text too long: both passes work with stacks of their own, in time that grows with the page.
+The text stays in proportion too: a table whose aligned form would be more than ``MOST_PADDING`` times its cells' text
+is given without padding and free columns, and lists are indented up to ``MOST_INDENTED`` levels.
+A null page is empty and has an empty text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from html import unescape
 from html.parser import HTMLParser
 
@@ -55,7 +62,10 @@ ENDS = {
     # A select is not closed by its end tag alone.
     "input": ({"select"}, BLOCK), "textarea": ({"select"}, BLOCK),
 }
-_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+MOST_SPAN = 100
+MOST_PADDING = 4
+MOST_INDENTED = 16
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse|inherit|unset)\s*(!\s*important)?\s*(?=;|$)", re.I)
 # Elements whose content is text without tags, where the parser does not know them by itself.
 _RAW_TEXT = frozenset() if hasattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS") else frozenset(("textarea", "title"))
@@ -78,34 +88,48 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("#root")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # of the open elements by tag, in ascending order
         self.begun = False  # the head or the body was opened, so that no further head is
 
+    def _push(self, node):
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, at):
+        """Close the open elements from place ``at`` on."""
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+    def _last(self, tags):
+        """The place of the lowest open element of ``tags``; 0 (the root) for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def _end(self, names, fence):
-        """Close the lowest run of open elements down to the outermost of ``names`` below ``fence``."""
-        ended = False
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in fence:
-                break
-            if self.open[at].tag in names:
-                del self.open[at:]
-                ended = True
-                if len(names) == 1:
-                    break
-        return ended
+        """Close the lowest run of open elements down to the outermost of ``names`` below ``fence``; of a single name the lowest one."""
+        border = self._last(fence)
+        found = []
+        for name in names:
+            at = self.places.get(name) or [0]
+            place = at[-1] if len(names) == 1 else at[min(bisect_right(at, border), len(at) - 1)]
+            if place > border:
+                found.append(place)
+        if found:
+            self._cut(min(found))
+        return bool(found)
 
     def _leave_head(self):
         if self.open[-1].tag == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_starttag(self, tag, attrs):
         if self.open[-1].space and (tag in BREAKOUT or tag == "font" and not {"color", "face", "size"}.isdisjoint(dict(attrs))):
             while self.open[-1].inner_space():
-                self.open.pop()
+                self._cut(len(self.open) - 1)
         space = tag if tag in ("svg", "math") else self.open[-1].inner_space()
         if space:
             self._leave_head()
             self.open[-1].children.append(node := _Node(tag, attrs, space))
-            self.open.append(node)
+            self._push(node)
             return
         if tag == "head":
             if self.begun:
@@ -124,26 +148,24 @@ class _Builder(HTMLParser):
         node = _Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
         if tag in _RAW_TEXT:
             self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.open[-1].tag == tag and (tag not in VOID or self.open[-1].space) and not self.cdata_elem:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":
             self._leave_head()
             self.open[-1].children.append(_Node("br"))
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
-                return
-            if self.open[at].tag == "table" and tag not in ("html", "body"):
-                return  # an end tag does not reach out of its table
+        at = self._last([tag])
+        # An end tag does not reach out of its table.
+        if at and (at >= self._last(["table"]) or tag in ("html", "body")):
+            self._cut(at)
 
     def close(self):
         super().close()
@@ -208,27 +230,59 @@ class _Box:
         return self.lines
 
 
-def _span(node) -> int:
-    found = node.attrs.get("colspan") or "1"
-    return min(int(found), 100) if found.isascii() and found.isdigit() and int(found) else 1
+def _number(node, name: str) -> int:
+    found = node.attrs.get(name) or "1"
+    return min(int(found), MOST_SPAN) if found.isascii() and found.isdigit() and len(found) < 7 and int(found) else 1
+
+
+def _placed(rows):
+    """Rows of (lines, span): with an empty cell for every column that a cell above still spans."""
+    held: dict[int, int] = {}  # column -> rows that are still spanned
+    out = []
+    for row in rows:
+        new, at, fresh = [], 0, {}
+        for lines, span, deep in row:
+            while held.get(at):
+                new.append(([], 1))
+                at += 1
+            new.append((lines, span))
+            if deep > 1:
+                fresh |= {at + k: deep - 1 for k in range(span)}
+            at += span
+        new += [([], 1)] * sum(1 for c in held if c >= at)
+        held = {c: n - 1 for c, n in held.items() if n > 1} | fresh
+        out.append(new)
+    return out
 
 
 def _aligned(rows) -> list[str]:
-    """Rows of cells (lines, span) with every column padded to its widest cell."""
+    """Lines of rows of cells (lines, column span, row span), every column padded to its widest cell."""
+    text = sum(max(map(len, lines), default=0) * len(lines) + 3 for row in rows for lines, _, _ in row)
+    flat = [[(lines, span) for lines, span, _ in row] for row in rows]
+    extra = sum(span * (min(deep, len(rows) - k) - 1) for k, row in enumerate(rows) for _, span, deep in row)
+    if extra and 3 * extra <= MOST_PADDING * text:
+        flat = _placed(rows)
     width: list[int] = []
-    for row in rows:
+    for row in flat:
         at = 0
         for lines, span in row:
             width += [0] * (at + span - len(width))
             if span == 1:
                 width[at] = max(width[at], max(map(len, lines), default=0))
             at += span
+    before = [0]
+    for w in width:
+        before.append(before[-1] + w + 3)
+    high = [max((len(lines) for lines, _ in row), default=0) for row in flat]
+    # What the padded rows would take at most: each up to the start of its last cell.
+    padded = sum(h * before[sum(span for _, span in row[:-1])] for h, row in zip(high, flat) if row)
+    pad = padded <= MOST_PADDING * text
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
+    for h, row in zip(high, flat):
+        for k in range(h):
             parts, at = [], 0
             for lines, span in row:
-                room = sum(width[at:at + span]) + 3 * (span - 1)
+                room = before[at + span] - before[at] - 3 if pad else 0
                 parts.append((lines[k] if k < len(lines) else "").ljust(room))
                 at += span
             out.append(" | ".join(parts).rstrip())
@@ -242,8 +296,21 @@ def _visible(node, inherited: bool) -> bool:
     return value in ("visible", "initial") if value not in ("inherit", "unset") else inherited
 
 
+def _undisplayed(node) -> bool:
+    """Whether the last of the weightiest ``display`` declarations is ``none``."""
+    found = _DISPLAY.findall(node.attrs.get("style") or "")
+    return ([v for v, weight in found if weight] or [v for v, _ in found] or [""])[-1].lower() == "none"
+
+
 def _hidden(node) -> bool:
-    return "hidden" in node.attrs or bool(_HIDDEN.search(node.attrs.get("style") or ""))
+    return "hidden" in node.attrs or _undisplayed(node) or node.tag == "dialog" and "open" not in node.attrs
+
+
+def _shown_children(node) -> list:
+    """The children that are shown: of a closed ``details`` its first summary alone."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return [c for c in node.children if not isinstance(c, str) and c.tag == "summary"][:1]
+    return node.children
 
 
 def _words(node) -> str:
@@ -313,7 +380,7 @@ def visible_text(html: str) -> str:
                     box.end()
                 elif tag == "mtd":
                     box.text(" ", False)
-            elif tag not in UNDRAWN[node.space] and not _HIDDEN.search(node.attrs.get("style") or "") and node.attrs.get("display") != "none":
+            elif tag not in UNDRAWN[node.space] and not _undisplayed(node) and node.attrs.get("display") != "none":
                 if tag in ("text", "mtr"):
                     box.end()
                 if "visibility" in node.attrs and "visibility" not in (node.attrs.get("style") or "").lower():
@@ -336,6 +403,10 @@ def visible_text(html: str) -> str:
                     if boxed:
                         box.end()
                 continue
+            if tag == "input":
+                if (node.attrs.get("type") or "").lower() in ("submit", "button", "reset") and _visible(node, seen[-1]) and drawn[-1]:
+                    box.text(f" {node.attrs.get('value') or ''} ", False)
+                continue
             if tag == "br" and not seen[-1]:
                 box.end()
                 continue
@@ -360,7 +431,7 @@ def visible_text(html: str) -> str:
                 start = node.attrs.get("start") or "1"
                 lists.append([tag, int(start) if start.isascii() and start.isdigit() else 1])
             work.append((node, False))
-            work.extend((child, True) for child in reversed(node.children))
+            work.extend((child, True) for child in reversed(_shown_children(node)))
             continue
         pre -= tag in ("pre", "textarea")
         shown = seen.pop()
@@ -370,7 +441,7 @@ def visible_text(html: str) -> str:
         if tag in ("td", "th"):
             lines = boxes.pop().done()
             if tables and tables[-1]:
-                tables[-1][-1].append((lines, _span(node)))
+                tables[-1][-1].append((lines, _number(node, "colspan"), _number(node, "rowspan")))
             else:
                 boxes[-1].put(lines)
         elif tag == "li":
@@ -379,7 +450,10 @@ def visible_text(html: str) -> str:
             mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
             mark = mark if shown else " " * len(mark)
             kind[1] += 1
-            boxes[-1].put([(mark if not k else " " * len(mark)) + line if line else line for k, line in enumerate(lines)])
+            if len(lists) > MOST_INDENTED:
+                boxes[-1].put([mark + lines[0], *lines[1:]] if lines else [])
+            else:
+                boxes[-1].put([(mark if not k else " " * len(mark)) + line if line else line for k, line in enumerate(lines)])
         elif tag == "table":
             boxes[-1].put(_aligned(tables.pop()))
         elif tag in ("ul", "ol", "menu"):

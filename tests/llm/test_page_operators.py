@@ -142,3 +142,34 @@ def test_warc_broken_archives():
                    record.replace(b"WARC-Date", b"X-Date"), record.replace(b"WARC-Type: ", b"WARC-Type ")):
         with pytest.raises(warc.WarcError):
             warc.parse(broken)
+
+
+# --- op 3: hard pages -----------------------------------------------------------------------------
+
+HARD_PAGES = {
+    "end tags without a start": "<b>" * 20_000 + "</i>" * 20_000 + "x",
+    "end tags out of a table": "<i><table><td>" + "<b>" * 20_000 + "</i>" * 20_000 + "x",
+    "blocks in deep elements": "<b>" * 20_000 + "<div>x" * 20_000,
+    "one long cell": "<table><tr><td>" + "y" * 100_000 + "<td>z" + "<tr><td>a<td>b" * 2_000,
+    "deep lists": "<ul><li>x" * 4_000,
+    "wide and deep spans": "<table><tr>" + "<td colspan=100 rowspan=99>a" * 300 + "<tr><td>b" * 2_000,
+}
+
+
+@pytest.mark.parametrize("name", HARD_PAGES)
+def test_hard_pages_take_linear_time_and_space(name):
+    import time
+
+    page = HARD_PAGES[name]
+    begin = time.process_time()
+    text = html_text.visible_text(page)
+    assert time.process_time() - begin < 2 and len(text) < 10 * len(page)
+
+
+def test_row_spans_details_dialogs_and_display():
+    shown = html_text.visible_text
+    assert shown("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>") == "A | B\n  | C\nD | E"
+    assert shown("<details><summary>S</summary>body</details><details open><summary>T</summary>more</details>") == "S\nT\nmore"
+    assert shown("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+    assert shown("<p style='display:none;display:block'>yes<p style='display:block;display:none'>no") == "yes"
+    assert shown("<input type=submit value=Go><input value=no>").strip() == "Go"
