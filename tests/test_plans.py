@@ -9,7 +9,11 @@ from tests.conftest import SF_SMALL
 FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.query_callables()))
+# Queries that play a stream give a scan of the tables it wrote; their plans are the batches' own.
+PLAYED = {"live_cases", "live_lines", "live_notices", "live_stock_exact", "case_change_log"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.query_callables()) - PLAYED))
 def test_plan_has_no_python_or_nested_loops(spark, name):
     df = catalog.run(spark, SF_SMALL, name)
     df.write.format("noop").mode("overwrite").save()
