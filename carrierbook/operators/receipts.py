@@ -147,6 +147,25 @@ def receipt_documents(headers: DataFrame, lines: DataFrame, part_size: int = 100
 
 # --- receipt documents ------------------------------------------------------
 
+def document_rows(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """D1 as rows: every line of every receipt in its ``position`` with the receipt's header; the shape is the same at any size.
+
+    Sorted by (receipt_no, position) this is the document; ``documents`` nests it for the receipts that are read.
+    """
+    return headers.join(lines.select("receipt_no", "position", "type", "quantity"), "receipt_no", "left")
+
+
+def documents(headers: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """D1 for the receipts of ``wanted`` (receipt_no): one row each with its ``lines`` in order.
+
+    Only the wanted receipts' lines are gathered; a receipt's own lines are one row, as its reader gets them.
+    """
+    some = wanted.select("receipt_no").distinct()
+    nested = (lines.join(some, "receipt_no", "left_semi").groupBy("receipt_no")
+              .agg(F.array_sort(F.collect_list(F.struct("position", "type", "quantity"))).alias("lines")))
+    return headers.join(some, "receipt_no", "left_semi").join(nested, "receipt_no", "left")
+
+
 def ledger_receipts(bookings: DataFrame, booking_cases: DataFrame, users: DataFrame, locations: DataFrame,
                     departments: DataFrame, entrepreneurs: DataFrame) -> DataFrame:
     """Every receipt document header at once (one row per non-NULL receipt number).

@@ -8,9 +8,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from carrierbook.operators import audience, balance, posting
+from carrierbook.operators import audience, balance, posting, receipts
 from carrierbook.operators.numbering import number_rows
-from carrierbook.plans.catalog import register
+from carrierbook.plans import queries_lists  # noqa: F401  (its oracles are used below)
+from carrierbook.plans.catalog import ORACLE, register
 from carrierbook.plans.queries_lifecycle import _CASE_ROWS, _log_sql
 from carrierbook.plans.queries_posting import _NUMBERED, _QIN, _gid, _transfer_sql
 from carrierbook.session import scratch_path
@@ -220,3 +221,27 @@ def live_stock_exact(t):
     for k in (0, 1):
         stock(t.ledger_feed.where(F.col("delivery") == k).drop("delivery"), k)
     return stock.current()
+
+
+# --- receipt documents ------------------------------------------------------------------------------
+
+_HEADS, _LINES = f"heads_ AS ({ORACLE['ledger_receipts']})", f"lines_ AS ({ORACLE['receipt_lines']})"
+
+
+@register("receipt_document_rows", f"WITH {_HEADS}, {_LINES} SELECT h.*, l.position, l.type, l.quantity FROM heads_ h LEFT JOIN lines_ l ON l.receipt_no=h.receipt_no")
+def receipt_document_rows(t):
+    """Every receipt document with its lines in order, as rows."""
+    heads = receipts.ledger_receipts(t.bookings, t.booking_cases, t.users, t.locations, t.departments, t.entrepreneurs)
+    return receipts.document_rows(heads, receipts.receipt_lines(t.bookings))
+
+
+@register("receipt_documents_read", f"""WITH {_HEADS}, {_LINES} SELECT h.receipt_no, h.location, h.department, h.line_count,
+ string_agg(l.type || ':' || l.quantity, ',' ORDER BY l.position) AS lines_text FROM heads_ h LEFT JOIN lines_ l ON l.receipt_no=h.receipt_no
+ WHERE h.receipt_no LIKE '%7' GROUP BY ALL""")
+def receipt_documents_read(t):
+    """D1 nested for its readers: the documents of some receipts, lines as text."""
+    heads = receipts.ledger_receipts(t.bookings, t.booking_cases, t.users, t.locations, t.departments, t.entrepreneurs)
+    wanted = t.bookings.where("receipt_no like '%7'").select("receipt_no")
+    found = receipts.documents(heads, receipts.receipt_lines(t.bookings), wanted)
+    text = F.array_join(F.transform("lines", lambda x: F.concat(x["type"], F.lit(":"), x["quantity"].cast("string"))), ",")
+    return found.select("receipt_no", "location", "department", "line_count", text.alias("lines_text"))
