@@ -133,14 +133,16 @@ def masked_patch(table: DataFrame, patches: DataFrame, *, key: str = "id", colum
 
 def user_patch(users: DataFrame, patches: DataFrame, roles: DataFrame, departments: DataFrame
                ) -> tuple[DataFrame, DataFrame]:
-    """W4 for users: present columns only; role must exist (and not be cleared), department
+    """W4 for users: present columns only; role must exist (and not be cleared), an e-mail address must be
+    valid (a blank one clears it; where the patches have the column), department
     must exist when set; an empty change set is rejected.  → (users, rejects)."""
     has = lambda c: F.array_contains(F.split(F.coalesce(F.col("present"), F.lit("")), ","), F.lit(c))
     r = roles.select(F.col("id").alias("_rid"))
     d = departments.select(F.col("id").alias("_did"))
     p = (patches.join(r, patches["role_id"] == r["_rid"], "left")
          .join(d, patches["fixed_department_id"] == d["_did"], "left"))
-    cols = ["location_id", "is_active", "role_id", "fixed_department_id"]
+    mail = "email" in patches.columns
+    cols = ["location_id", "is_active", "role_id", *(["email"] if mail else []), "fixed_department_id"]
     any_present = F.lit(False)
     for c in cols:
         any_present = any_present | has(c)
@@ -148,6 +150,7 @@ def user_patch(users: DataFrame, patches: DataFrame, roles: DataFrame, departmen
         F.when(has("is_active") & F.col("is_active").isNull(), F.lit("invalid is_active")),
         F.when(has("role_id") & (F.coalesce(F.col("role_id"), F.lit(0)) == 0), F.lit(S.ERR_ROLE_REQUIRED)),
         F.when(has("role_id") & F.col("_rid").isNull(), F.lit(S.ERR_ROLE_MISSING)),
+        F.when(has("email"), R.email_error("email")) if mail else None,
         F.when(has("fixed_department_id") & (F.coalesce(F.col("fixed_department_id"), F.lit(0)) != 0)
                & F.col("_did").isNull(), F.lit(S.ERR_DEPARTMENT_MISSING)),
         F.when(~any_present, F.lit("no changes")))
@@ -155,6 +158,8 @@ def user_patch(users: DataFrame, patches: DataFrame, roles: DataFrame, departmen
     rejects = p.where(F.col("reason").isNotNull()).select("id", "reason")
     ok = p.where(F.col("reason").isNull()).withColumn(
         "fixed_department_id", F.when(F.col("fixed_department_id") != 0, F.col("fixed_department_id")))
+    if mail:
+        ok = ok.withColumn("email", R.email_value("email"))
     return masked_patch(users, ok, columns=cols), rejects
 
 

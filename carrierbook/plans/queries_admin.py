@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carrierbook.operators import deletes, role_admin
+from carrierbook.operators import deletes, maintain, role_admin
 from carrierbook.plans.catalog import register
 from carrierbook.plans.queries_access import PERM_CTES
 from carrierbook.sources import schema as S
@@ -134,3 +134,33 @@ UNION ALL SELECT id, grp || '.' || leaf, CASE WHEN grp || '.' || leaf NOT IN (SE
 def permission_audit(t):
     """Q7: what the permission check does not know or cannot read in the requested roles' permissions."""
     return role_admin.permission_violations(t.role_requests.withColumnRenamed("request_id", "id"))
+
+
+_MAIL = with_prefix("users", "user_requests") + """,
+c AS (SELECT CAST(request_id + 1 AS INTEGER) AS id, location_id, nullif(trim(email),'') AS mail,
+  CASE request_id%3 WHEN 0 THEN ['email'] WHEN 1 THEN ['email', 'location_id'] ELSE [] END AS m FROM user_requests),
+j AS (SELECT *, CASE WHEN len(m)=0 THEN 'no changes' WHEN mail IS NOT NULL AND NOT regexp_full_match(mail, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')
+  THEN 'E-Mail-Adresse ungültig' END AS reason FROM c)
+"""
+
+
+def _mailed(t):
+    users = t.users.withColumn("email", F.concat(F.lit("u"), F.col("id"), F.lit("@carrier.example")))
+    patches = t.user_requests.select(
+        (F.col("request_id") + 1).alias("id"), F.when(F.col("request_id") % 3 == 0, "email").when(F.col("request_id") % 3 == 1, "email,location_id")
+        .otherwise("").alias("present"), "location_id", F.lit(None).cast("boolean").alias("is_active"), "role_id", "fixed_department_id", "email")
+    return maintain.user_patch(users, patches, t.roles, t.departments)
+
+
+@register("user_patch_email", _MAIL + """SELECT u.id, CASE WHEN list_contains(j.m, 'location_id') THEN j.location_id ELSE u.location_id END AS location_id,
+ CASE WHEN j.id IS NOT NULL THEN lower(j.mail) ELSE 'u' || u.id || '@carrier.example' END AS email
+FROM users u LEFT JOIN (SELECT * FROM j WHERE reason IS NULL) j ON j.id=u.id""")
+def user_patch_email(t):
+    """Users after patches of their e-mail address, a blank one clears it."""
+    return _mailed(t)[0].select("id", "location_id", "email")
+
+
+@register("user_patch_email_rejects", _MAIL + "SELECT id, reason FROM j WHERE reason IS NOT NULL")
+def user_patch_email_rejects(t):
+    """Patches refused for an invalid address or without a change."""
+    return _mailed(t)[1]
