@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrierbook.llm.common import map_rows, pin, stored, text_or_empty
-from carrierbook.llm.components import components
+from carrierbook.llm.components import components, merged
 from carrierbook.llm.words import mix, window_hashes, word_hashes
 
 WIDTH = 5
@@ -268,13 +268,15 @@ def _verify(slices, width, threshold):
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) of the class pairs whose sets link.  Only the texts of these pairs are read on and shuffled."""
+    """(a, b) of the class pairs whose sets link, pinned.  Only the texts of these pairs are read on and shuffled."""
     pairs = stored(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
     texts = _class_texts(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
     second = texts.select(F.col("cid").alias("b"), F.col("packed").alias("packed_b"))
     first = texts.select(F.col("cid").alias("a"), F.col("packed").alias("packed_a"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "packed_a", "packed_b")
-    return map_rows(both, lambda s: _verify(s, width, threshold), "a long, b long, linked boolean").where("linked").select("a", "b")
+    return pin(map_rows(both, lambda s: _verify(s, width, threshold), "a long, b long, linked boolean").where("linked").select("a", "b"))
 
 
 def _could_link(threshold: int, n1: str = "n1", n2: str = "n2", p1: str = "p1", p2: str = "p2") -> str:
@@ -306,8 +308,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, threshold: int =
                .agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least_id")))
     groups = classes.groupBy("group_key", "n").agg(F.min("cid").alias("gid"))
     classes = stored(classes.join(groups, ["group_key", "n"]).select("set1", "set2", "n", "cid", "gid", "least_id"))
-    links = class_links(docs, rows, classes, width, threshold)
-    parts = components(links)
+    parts = class_components(docs, rows, classes, width, threshold)
     named = (classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left")
              .withColumn("component", F.coalesce("component", "cid")))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -335,8 +336,8 @@ def _squeeze(slices):
         yield {"cid": rows.column("cid"), "packed": [pack.compress(b" ".join(t.encode().lower().split())) for t in rows.column("text").to_pylist()]}
 
 
-def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links (a, b) between classes whose components are those of all links."""
+def class_components(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(node, component) of the classes that link to another one."""
     member = classes.select("cid", "gid", "n")
     row_group = (rows.where("n > 0").select("rid", "set1", "set2", "n").join(classes, ["set1", "set2", "n"]).select("rid", "gid", "n"))
     met = prefix_index(rows).join(row_group, "rid").select("token", "gid", "n").distinct()
@@ -371,7 +372,7 @@ def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int
                   .where(f"100 * least(n, lo_n) >= {threshold} * greatest(n, lo_n)").select("lo", "gid"))
     expanded = with_pivot.join(wanted.select("gid", "cid"), "gid").select("lo", "cid")
     inside = wanted.where("cid <> gid").select(F.col("gid").alias("lo"), "cid")
-    links = pin(compare(ordered(expanded.unionByName(inside), "lo", "cid")))
+    labels = components(compare(ordered(expanded.unionByName(inside), "lo", "cid")))
 
     # What is left: members of one bucket (a shingle, or a group: bit 61) in different components.
     # The pivot has been compared with every other member, so it leaves its bucket; most buckets end there.
@@ -379,12 +380,15 @@ def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int
                  .unionByName(wanted.where("cid <> gid").select(F.expr("gid | (1L << 61)").alias("key"), "cid")))
     rule = _could_link(threshold, "l.n", "r.n", "l.parity", "r.parity")
     for attempt in range(PIVOT_ROUNDS + 1):
-        labels = components(links).withColumnRenamed("node", "cid")
-        marked = (open_rows.select("key", "cid").join(labels, "cid", "left")
+        marked = (open_rows.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
                   .select("key", "cid", F.coalesce("component", "cid").alias("comp")))
-        split = (marked.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"))
-                 .where("c1 < c2").select("key", "m"))
-        open_rows = stored(marked.join(split, "key").join(lean, "cid"))
+        split = stored(marked.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"))
+                       .where("c1 < c2").select("key", "m"))
+        buckets = split.count()
+        if not buckets:
+            return labels
+        # Few buckets stay open as a rule; sent to the rows, they need not be dealt by bucket.
+        open_rows = stored(marked.join(F.broadcast(split) if buckets <= HEADS_SENT else split, "key").join(lean, "cid"))
         large = open_rows.where(F.col("m") > 2 * PIVOTS)
         last = attempt == PIVOT_ROUNDS or large.isEmpty()
         # Pairs across components, in their bucket; sizes and parity maps are tested inside the join.
@@ -393,9 +397,10 @@ def class_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, width: int
         once = "l.cid < r.cid" if last else "l.cid <> r.cid"
         pairs = left.alias("l").join(open_rows.alias("r"), F.expr(f"l.key = r.key and l.comp <> r.comp and {once} and {rule}"))
         found = verify(ordered(pairs.select(F.col("l.cid").alias("x"), F.col("r.cid").alias("y")), "x", "y"), docs, rows, width, threshold)
-        links = pin(links.unionByName(found))
+        if not found.isEmpty():
+            labels = merged(labels, found)
         if last:
-            return links
+            return labels
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
