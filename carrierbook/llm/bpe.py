@@ -138,7 +138,7 @@ def _assembled(slices, path, with_ids):
         ids = [b"".join(x if isinstance(x, bytes) else coded[x] for x in plan) for plan in plans]
         out = {"doc_id": rows.column("doc_id"), "n_tokens": [len(b) // 4 for b in ids],
                "ids_sha256": [hashlib.sha256(b).hexdigest() for b in ids],
-               "decoded_sha256": [hashlib.sha256(vocab.decode(b).encode()).hexdigest() for b in ids]}
+               "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in vocab.decode(ids)]}
         if with_ids:
             out["ids"] = ids
         yield out
@@ -178,6 +178,8 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def texts(slices):
         for one in slices:
             vocab = vocabulary(path, MEMO_PARTS)
-            yield {"doc_id": one.column("doc_id"), "text": [None if b is None else vocab.decode(b) for b in one.column("ids").to_pylist()]}
+            given = one.column("ids").to_pylist()
+            found = vocab.decode([b or b"" for b in given])
+            yield {"doc_id": one.column("doc_id"), "text": [None if b is None else t for b, t in zip(given, found)]}
 
     return map_rows(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ids).alias("ids")), texts, "doc_id long, text string")

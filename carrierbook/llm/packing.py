@@ -32,6 +32,7 @@ WINDOW = 4096
 END_ID = 2
 TRIPLE_LENGTHS = 48
 STEPS = 60
+TEXTS_AT_ONCE = 2048  # texts whose parts a worker looks up together
 
 
 # --- pieces -------------------------------------------------------------------------------------
@@ -41,7 +42,7 @@ def _pieces(slices, path, window, end_id, with_ids):
     for rows in slices:
         out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []))}
         vocab = vocabulary(path)
-        for doc_id, ids in zip(rows.column("doc_id").to_pylist(), word_ids(vocab, rows.column("text").to_pylist())):
+        for doc_id, ids in zip(rows.column("doc_id").to_pylist(), word_ids(vocab, rows.column("text"))):
             ids += end
             total = len(ids) // 4
             for start in range(0, total, window):
@@ -60,7 +61,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (and its ids, 4 bytes each)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
-    return map_rows(source, lambda s: _pieces(s, path, window, end_id, with_ids), schema)
+    return map_rows(source, lambda s: _pieces(s, path, window, end_id, with_ids), schema, TEXTS_AT_ONCE)
 
 
 # --- the plan -----------------------------------------------------------------------------------

@@ -14,8 +14,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 SEGMENT = re.compile(f"{_SPACE}*{_OTHER}+|{_SPACE}+")
@@ -27,6 +31,26 @@ LONG_PART = 200        # characters above which a part is not remembered
 # them; their letters are in Latin-1, which NFC leaves alone and which lower-case one by one.
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#]*)\Z")
 
+
+
+def _four(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
+def _runs(values: pa.Array, bounds: np.ndarray) -> list[bytes]:
+    """The bytes of an array of octets, joined from bound to bound."""
+    offsets = np.frombuffer(values.buffers()[1], dtype="<i8")[bounds].tolist()
+    data = memoryview(values.buffers()[2] or b"")
+    return [bytes(data[lo:hi]) for lo, hi in zip(offsets, offsets[1:])]
+
+
+# The place between such a letter and such a mark is a split in the word vocabulary's patterns, whatever is around it.
+_LETTER_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:*$%&#])"
+
 _LOADED: dict[str, "Vocabulary"] = {}
 
 
@@ -74,10 +98,12 @@ class Vocabulary:
             if len(self._words) >= self.memo_parts // 2:
                 self._words.clear()
             letters = word if word.isascii() and word[0] != " " else "".join(map(self._letters.__getitem__, word.encode()))
-            ids = self._words[word] = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+            ids = self._words[word] = _four([t.id for t in self.model.tokenize(letters)])
         return ids
 
     def _plain(self, part: str) -> bytes | None:
+        if part.isascii() and part.isalpha():
+            return self._word(part.lower() if self.lowers else part)
         found = _PLAIN.match(part)
         if not found:
             return None
@@ -90,26 +116,28 @@ class Vocabulary:
         """The ids of one part between safe places."""
         ids = self._plain(text)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = _four(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return ids
 
     def join(self, many: list[list]) -> list[bytes]:
         """The ids (little-endian, 4 bytes each) of texts given as lists of parts."""
         return [b"".join(map(self.memo.__getitem__, one)) for one in many]
 
-    def octets(self) -> list[bytes]:
+    def octets(self) -> pa.Array:
         """The bytes of each id of a byte vocabulary."""
         if self._octets is None:
             back = {c: b for b, c in self._letters.items()}
             count = self.tokenizer.get_vocab_size(with_added_tokens=True)
             tokens = [self.tokenizer.id_to_token(i) or "" for i in range(count)]
-            self._octets = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in tokens]
+            self._octets = pa.array([bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in tokens],
+                                    type=pa.large_binary())
         return self._octets
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids of a byte vocabulary, special tokens included."""
-        table = self.octets()
-        return b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+    def decode(self, many: list[bytes]) -> list[str]:
+        """The texts of ids of a byte vocabulary, special tokens included."""
+        bounds = np.cumsum([0, *(len(ids) // 4 for ids in many)])
+        found = self.octets().take(pa.array(np.frombuffer(b"".join(many), dtype="<u4")))
+        return [b.decode("utf-8", "replace") for b in _runs(found, bounds)]
 
 
 def vocabulary(path: str, memo_parts: int = MEMO_PARTS) -> Vocabulary:
@@ -119,9 +147,13 @@ def vocabulary(path: str, memo_parts: int = MEMO_PARTS) -> Vocabulary:
     return _LOADED[path]
 
 
-def word_ids(vocab: Vocabulary, texts: list[str]) -> list[bytes]:
-    """Ids of whole texts under a vocabulary that drops white space."""
-    return vocab.join([t.encode().split() for t in texts])
+def word_ids(vocab: Vocabulary, texts: pa.Array) -> list[bytes]:
+    """Ids of whole texts under a vocabulary that drops white space.  A part is looked up once for all of them."""
+    apart = pc.replace_substring_regex(texts, pattern=_LETTER_MARK, replacement=r"\1 \2")
+    parts = pc.ascii_split_whitespace(apart)  # a text that begins or ends with white space has empty parts there
+    known = parts.flatten().dictionary_encode()
+    ids = pa.array([vocab.memo[p] if p else b"" for p in known.dictionary.to_numpy(zero_copy_only=False).tolist()], type=pa.large_binary())
+    return _runs(ids.take(known.indices), parts.offsets.to_numpy())
 
 
 def byte_ids(vocab: Vocabulary, texts: list[str]) -> list[bytes]:
