@@ -6,12 +6,15 @@ parts between two safe places are exactly the text's ids there:
 * a word vocabulary drops white space: every run of ASCII white space is a safe place;
 * a byte vocabulary keeps it: the place before white space that follows a non-space is safe.
 
+Both rest on how the file's normaliser and splits work, so a file with others is refused.
+
 White space here is Unicode's White_Space, as in the tokenizers' patterns (Python's ``\\s`` also
 takes U+001C to U+001F, which the patterns take as symbols).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -51,6 +54,14 @@ def _runs(values: pa.Array, bounds: np.ndarray) -> list[bytes]:
 # The place between such a letter and such a mark is a split in the word vocabulary's patterns, whatever is around it.
 _LETTER_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:*$%&#])"
 
+# Normaliser and splits of the word vocabulary and of the byte vocabulary.
+_WORD_FORM = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+_BYTE_FORM = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+
 _LOADED: dict[str, "Vocabulary"] = {}
 
 
@@ -83,7 +94,10 @@ class Vocabulary:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.lowers = self.tokenizer.normalizer is not None  # the word vocabulary; it drops white space too
+        form = tuple(part and json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        if form not in (_WORD_FORM, _BYTE_FORM):
+            raise ValueError(f"{path}: texts cannot be taken apart under this normaliser and these splits: {form}")
+        self.lowers = form == _WORD_FORM  # it drops white space too
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self._letters = {b: chr(b) for b in letters}
         self._letters |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self._letters)}

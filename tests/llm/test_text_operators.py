@@ -1,16 +1,18 @@
 """Encoding, packing, exact and near copies, each against a brute-force version."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from carrierbook.llm import bpe, exact_dedup, ngram_join, packing
+from carrierbook.llm import bpe, exact_dedup, ngram_join, packing, tokens
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -184,3 +186,24 @@ def test_empty_tables(odd):
     assert ngram_join.similarity_components(empty).count() == 0
     assert exact_dedup.membership(empty).count() == 0 and exact_dedup.deduplicate(empty).count() == 0
     assert packing.pack(empty, WORDS).count() == 0
+
+
+def test_foreign_vocabulary_is_refused(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(BYTES)
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError, match="splits"):
+        tokens.Vocabulary(str(tmp_path / "other.json"))
+
+
+def test_word_ids_of_odd_texts():
+    vocab = tokens.Vocabulary(WORDS)
+    rng = random.Random(5)
+    pieces = ["it's", "a.b,c", "Ωσ.", "ΑΣ,", "é.", "e\u0301.", "ß!", "İ.", "<|endoftext|>", "<|ENDOFTEXT|>", "x<|endoftext|>.", " ", "\x85", "\x1c",
+              "\u3000", "\n", "12.5%", "don't.'s", "ﬁ,", "日本.", "I'LL;", "#a#b", "\x0b"]
+    texts = ["", " \t\n", *("".join(rng.choice(pieces) + rng.choice(["", " ", "  "]) for _ in range(rng.randrange(1, 30))) for _ in range(800))]
+    found = tokens.word_ids(vocab, pa.array(texts))
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == vocab.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
