@@ -43,7 +43,9 @@ ALPHA = 0.01
 LEAST_RANDOM_P = 0.001
 BANDS = (32, 48, 96)     # lengths at which a new band begins
 MIXING = 0.1             # words and numbers of ten characters on average
+BLOCK = 64               # matches of a text that are put together at a time
 _PER_DECADE, _DECADES = 100, 30
+_NO_SPANS = "cast(array() as array<struct<start:int,end:int,kind:int,body:string>>)"
 
 # encoding -> (pattern, alphabet, excess of prose: size * sum of squared character shares - 1).
 ENCODINGS = {
@@ -54,6 +56,22 @@ ENCODINGS = {
 }
 
 
+def _blocked(items: str, first: str, carry: str, step: str, join: str, around: str = "FOLD") -> str:
+    """SQL that folds an array in blocks of ``BLOCK`` items, so that no result grows item by item over all of them.
+
+    ``carry`` is what an item x adds to a running value (joined by ``join``: + or greatest), ``step`` maps
+    (acc.at, acc.out, x) to the next struct(at, out), out beginning as ``first`` in each block.  Gives the
+    blocks' values of out; ``around`` wraps a block's FOLD.
+    """
+    cut = f"if(size({items}) = 0, array(), transform(sequence(0, (size({items}) - 1) div {BLOCK}), b -> slice({items}, b * {BLOCK} + 1, {BLOCK})))"
+    add = (lambda a, c: f"{a} + {c}") if join == "+" else (lambda a, c: f"greatest({a}, {c})")
+    whole = f"transform({cut}, k -> aggregate(k, 0, (a, x) -> {add('a', carry)}))"
+    before = (f"aggregate({whole}, struct(0 as at, cast(array() as array<int>) as out), "
+              f"(a, w) -> struct({add('a.at', 'w')} as at, concat(a.out, array(a.at)) as out), a -> a.out)")
+    fold = f"aggregate(k, struct(before as at, {first} as out), (acc, x) -> {step}, acc -> acc.out)"
+    return f"zip_with({cut}, {before}, (k, before) -> {around.replace('FOLD', fold)})"
+
+
 def _spans(pattern: str, kind: int, hint=None):
     """array<struct<start, end, kind, body>> of a pattern's matches, in code points.
 
@@ -61,15 +79,13 @@ def _spans(pattern: str, kind: int, hint=None):
     """
     text = F.col("__text")
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    found = F.expr(
-        f"aggregate(zip_with(regexp_extract_all(__text, '{quoted}', 0), split(__text, '{quoted}', -1), "
-        f"(m, p) -> struct(m as m, p as p)), "
-        f"struct(0 as at, cast(array() as array<struct<start:int,end:int,kind:int,body:string>>) as out), "
-        f"(acc, x) -> if(x.m is null, acc, struct(acc.at + length(x.p) + length(x.m) as at, "
-        f"concat(acc.out, array(struct(acc.at + length(x.p) as start, acc.at + length(x.p) + length(x.m) as end, "
-        f"{kind} as kind, x.m as body))) as out)), acc -> acc.out)")
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,body:string>>)")
-    return F.when(F.rlike(text, F.lit(hint or pattern)), found).otherwise(none)
+    pieces = (f"filter(zip_with(regexp_extract_all(__text, '{quoted}', 0), split(__text, '{quoted}', -1), "
+              "(m, p) -> struct(m as m, length(p) as gap, length(m) as n)), x -> x.m is not null)")
+    step = (f"struct(acc.at + x.gap + x.n as at, concat(acc.out, array(struct(acc.at + x.gap as start, acc.at + x.gap + x.n as end, "
+            f"{kind} as kind, x.m as body))) as out)")
+    # transform over one item names the pieces, which would else be worked out wherever they are used.
+    found = F.expr(f"transform(array({pieces}), pieces -> flatten({_blocked('pieces', _NO_SPANS, 'x.gap + x.n', step, '+')}))[0]")
+    return F.when(F.rlike(text, F.lit(hint or pattern)), found).otherwise(F.expr(_NO_SPANS))
 
 
 def _two_sided(z: str) -> str:
@@ -149,8 +165,7 @@ def _found(docs: DataFrame, carry: list[str]) -> DataFrame:
     base = F.array_sort(F.transform(F.concat(
         F.filter(_spans(ASSIGN, 0, ASSIGN_HINT), lambda s: F.length(F.regexp_extract(s.body, ASSIGN, 2)) >= LEAST_ASSIGNED),
         _spans(ACCESS, 1), _spans(HEX, 2)), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"))))
-    tokens = F.when(F.rlike("__text", F.lit("[0-9]")), _spans(TOKEN, 3)).otherwise(
-        F.expr("cast(array() as array<struct<start:int,end:int,kind:int,body:string>>)"))
+    tokens = F.when(F.rlike("__text", F.lit("[0-9]")), _spans(TOKEN, 3)).otherwise(F.expr(_NO_SPANS))
     return (texts.withColumn("__base", base).withColumn("__found", tokens)
             .withColumn("__found", F.expr(
                 "filter(__found, t -> rlike(t.body, '[0-9]') and rlike(t.body, '[A-Za-z]') and length(rtrim('=', t.body)) >= 20 "
@@ -204,9 +219,13 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", alpha: float = ALPHA) -> Dat
     cut = _cuts(pin(_found(docs, []).where("__tokens is not null")), alpha)
     found = _discoveries(_found(docs, names), cut)
     spans = "array_sort(concat(__base, __random))"
-    out = (f"aggregate({spans}, struct(0 as at, '' as out), (a, s) -> if(s.end <= a.at, a, struct(s.end as at, "
-           f"concat(a.out, if(s.start < a.at, '', concat(substring(text, a.at + 1, s.start - a.at), '{mask}'))) as out)), "
-           "a -> concat(a.out, substring(text, a.at + 1, length(text))))")
+    # A block begins where the spans before it end; its text up to its last span is cut out once.
+    step = ("struct(greatest(acc.at, x.end) as at, if(x.start < acc.at, acc.out, concat(acc.out, "
+            f"substring(part, acc.at - before + 1, x.start - acc.at), '{mask}')) as out)")
+    around = "transform(array(substring(text, before + 1, greatest(0, element_at(k, -1).start - before))), part -> FOLD)[0]"
+    masked = _blocked("spans", "''", "x.end", step, "greatest", around)
+    out = (f"transform(array({spans}), spans -> concat(array_join({masked}, ''), "
+           "substring(text, array_max(transform(spans, x -> x.end)) + 1, length(text))))[0]")
     done = found.withColumn("text", F.when((F.size("__base") + F.size("__random")) > 0, F.expr(out)).otherwise(F.col("text")))
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.when((F.size("__base") + F.size("__random")) > 0,

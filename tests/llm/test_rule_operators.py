@@ -255,3 +255,18 @@ def test_entities_of_a_single_text(spark):
 
 def test_personal_empty(odd):
     assert pii.personal_rows(odd.limit(0)).count() == 0 and pii.sanitise(odd).count() == odd.count()
+
+
+def test_secrets_of_a_text_with_thousands(spark):
+    """Places and masks of many matches, over many blocks, in time that does not grow with their square."""
+    rng = random.Random(9)
+    text = "é" + "".join(f"{rng.choice(['a b ', '', 'ü, '])} {rng.randbytes(16 + k % 3).hex()}" + (" token=abcdefgh!" * (k % 7 == 0)) for k in range(8_000)) + " end"
+    df = spark.createDataFrame([(1, text, len(text)), (2, "token = 'abcdef0123456789abcdef0123456789abcdef'!", 5)], "doc_id long, text string, n_chars long")
+    found = {r["doc_id"]: r for r in secret_scan.secret_rows(df).collect()}
+    wanted = [("assign", m.start(), m.end()) for m in re.finditer("token=abcdefgh", text)]
+    wanted += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{32,}", text)]
+    base = [s for s in found[1]["spans"].split(",") if not s.startswith("random")]
+    assert base == [f"{k}:{a}:{b}" for k, a, b in sorted(wanted, key=lambda w: w[1])]
+    masked = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
+    assert masked[1]["text"] == re.sub("token=abcdefgh|[0-9a-f]{32,}", "[SECRET]", text) and masked[1]["n_chars"] == len(masked[1]["text"])
+    assert masked[2]["text"] == "[SECRET]'!"
