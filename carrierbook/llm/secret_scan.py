@@ -168,8 +168,9 @@ def _found(docs: DataFrame, carry: list[str]) -> DataFrame:
     tokens = F.when(F.rlike("__text", F.lit("[0-9]")), _spans(TOKEN, 3)).otherwise(F.expr(_NO_SPANS))
     return (texts.withColumn("__base", base).withColumn("__found", tokens)
             .withColumn("__found", F.expr(
-                "filter(__found, t -> rlike(t.body, '[0-9]') and rlike(t.body, '[A-Za-z]') and length(rtrim('=', t.body)) >= 20 "
-                "and not exists(__base, b -> b.start < t.end and t.start < b.end))"))
+                # The spans are named, or the optimiser would work them out anew for every token.
+                "transform(array(__base), base -> filter(__found, t -> rlike(t.body, '[0-9]') and rlike(t.body, '[A-Za-z]') and length(rtrim('=', t.body)) >= 20 "
+                "and not exists(base, b -> b.start < t.end and t.start < b.end)))[0]"))
             .withColumn("__tokens", F.when(F.size("__found") > 0, F.expr(_battery())))
             .drop("__text", "__found"))
 
