@@ -32,7 +32,7 @@ WINDOW = 4096
 END_ID = 2
 TRIPLE_LENGTHS = 48
 STEPS = 60
-TEXTS_AT_ONCE = 2048  # texts whose parts a worker looks up together
+TEXTS_AT_ONCE = 512  # texts whose parts a worker looks up together
 
 
 # --- pieces -------------------------------------------------------------------------------------

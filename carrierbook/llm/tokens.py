@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 _SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 SEGMENT = re.compile(f"{_SPACE}*{_OTHER}+|{_SPACE}+")
 
-MEMO_PARTS = 900_000   # parts remembered by one worker; the older half goes when it is full
+MEMO_PARTS = 500_000   # parts remembered by one worker; the older half goes when it is full
 LONG_PART = 200        # characters above which a part is not remembered
 
 # Parts that the vocabulary's patterns split into one word and one run of marks, whatever is around
