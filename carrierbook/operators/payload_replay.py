@@ -24,6 +24,8 @@ blank is the empty text); null quantities count as 0 in checks.
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,7 +195,8 @@ def _facts(actions: DataFrame, cases: DataFrame, rights: DataFrame) -> DataFrame
                      F.coalesce("qty_in", F.lit(0)).alias("_in0"), F.coalesce("qty_out", F.lit(0)).alias("_out0"),
                      (F.coalesce("employee_code", F.lit("")) != "").alias("_code0"))
     a = join_heavy(a, c, "case_id", ["action_id"])
-    a = a.join(rights, "actor_id", "left")
+    # One clerk or service account may send most of a log.
+    a = join_heavy(a, rights, "actor_id", ["action_id"], seen_in=actions)
     perm = F.lit(False)
     for act, path in lifecycle.ACTION_PERMISSION.items():
         perm = F.when(F.col("action") == act, F.col("_p_" + path.replace(".", "_"))).otherwise(perm)
@@ -237,29 +240,19 @@ def _rows(batch: pa.RecordBatch, names: list[str]):
 
 
 def _part_maps(batches):
-    """The maps of each case's rows in one partition (rows of a case follow each other)."""
-    held, key = [], None
-
-    def close():
-        (case_id, part), stored = key
-        found = maps_of(held)
+    """The maps of each case's rows in one partition (rows of a case follow each other, none are held)."""
+    rows = (row for batch in batches for row in _rows(batch, ["case_id", "_part", *_STORED, *_MOVE]))
+    for (case_id, part), own in itertools.groupby(rows, lambda row: row[:2]):
+        first = next(own)
+        stored = first[2:6]
+        found = maps_of(row[6:] for row in itertools.chain([first], own))
         n = len(found)
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [pa.array([case_id] * n, pa.int32()), pa.array([part] * n, pa.int64()), pa.array(range(n), pa.int32()),
              pa.array(found, pa.list_(pa.int64())), *(pa.array([v] * n, t) for v, t in
                                                       zip(stored, (pa.int32(), pa.int32(), pa.int32(), pa.bool_())))],
             names=["case_id", "_part", "_nr", "_map", *_STORED])
 
-    for batch in batches:
-        for case_id, part, *rest in _rows(batch, ["case_id", "_part", *_STORED, *_MOVE]):
-            if key is None or key[0] != (case_id, part):
-                if key is not None:
-                    yield close()
-                held, key = [], ((case_id, part), rest[:4])
-            held.append(tuple(rest[4:]))
-    if key is not None:
-        yield close()
-
 
 def _chain(batches):
     """The state before each partition's rows of a case, from its maps in order."""

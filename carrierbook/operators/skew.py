@@ -11,14 +11,15 @@ SALTS = 64
 
 
 def join_heavy(long: DataFrame, keyed: DataFrame, key: str, deal: list[str], how: str = "left",
-               share: int = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
+               share: int = HEAVY_SHARE, salts: int = SALTS, seen_in: DataFrame | None = None) -> DataFrame:
     """``long.join(keyed, key, how)`` for a ``keyed`` table with one row per key.
 
     The rows of a heavy key are dealt to ``salts`` parts by the hash of their columns ``deal`` (so a retried
     task deals them alike) and its one row is repeated for each; all other rows meet as in a plain join.  ``long`` is read twice, the first time for its key alone.
+    ``seen_in``: the table to count the keys in, where ``long`` was already joined to others.
     """
     seen = Observation()
-    counted = long.select(key).observe(seen, F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counted = (long if seen_in is None else seen_in).select(key).observe(seen, F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     # Fewer than ``share`` keys can pass, so the ``share`` largest decide whatever the table's size.
     largest = counted.where(F.col(key).isNotNull()).orderBy(F.col("_n").desc()).limit(share).collect()
     heavy = [r[0] for r in largest if r["_n"] * share > seen.get["n"]]
