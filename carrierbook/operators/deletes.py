@@ -55,10 +55,10 @@ _RIGHTS = ["cases.delete", "masterdata.entrepreneurs_manage", "admin.full_access
 def _used(requests: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
     """``requests`` with the flag ``name``: the target id stands in ``table.column``.
 
-    Only ids that are asked for meet the table, so a fact table is reduced to them inside its scan's tasks.
+    The column's distinct ids are found inside the scan's tasks, so no row of a fact table is shuffled to a hot id.
     """
     asked = requests.select(F.col("target_id").alias(column)).distinct()
-    held = table.select(column).join(asked, column, "left_semi").distinct().select(F.col(column).alias("target_id"), F.lit(True).alias(name))
+    held = table.select(column).distinct().join(asked, column, "left_semi").select(F.col(column).alias("target_id"), F.lit(True).alias(name))
     return requests.join(held, "target_id", "left")
 
 
@@ -99,8 +99,9 @@ def effects(granted: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     for kind, parts in EFFECTS.items():
         gone = granted.where(F.col("kind") == kind).select("target_id")
         for table, column, effect in parts:
-            hit = tables[table].select(F.col(column).alias("target_id")).join(gone, "target_id", "left_semi")
-            one = hit.agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table"), F.lit(column).alias("column"), F.lit(effect).alias("effect"), "n")
+            # Counted per id before the shuffle: a hot user's or department's lines are one row per task.
+            held = tables[table].groupBy(F.col(column).alias("target_id")).agg(F.count(F.lit(1)).alias("n"))
+            one = held.join(gone, "target_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(table).alias("table"), F.lit(column).alias("column"), F.lit(effect).alias("effect"), "n")
             out = one if out is None else out.unionByName(one)
     return out
 

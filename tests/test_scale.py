@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from carrierbook.operators import audience, notify, payload_replay
+from carrierbook.operators import audience, deletes, notify, payload_replay
 from carrierbook.plans import catalog
 from carrierbook.session import QUERY_CONF
 from tests.conftest import SF_SMALL
@@ -65,3 +65,19 @@ def test_the_actions_of_one_actor_are_dealt_to_many_parts(spark):
 def test_queries_bound_what_is_broadcast_and_read_by_a_task(spark):
     catalog.run(spark, SF_SMALL, "list_locations")
     assert {k: spark.conf.get(k) for k in QUERY_CONF} == QUERY_CONF
+
+
+def test_lines_of_a_deleted_user_are_counted_before_they_are_shuffled(spark):
+    granted = spark.createDataFrame([("user", 1), ("user", 1), ("user", 9), ("role", 2)], "kind string, target_id int")
+    many = spark.createDataFrame([(k, 1 if k % 4 else None) for k in range(400)], "id int, user_id int")
+    blank = {c: F.lit(None).cast("int") for c in ("location_id", "department_id", "created_by", "claimed_by", "submitted_by", "approved_by",
+                                                  "case_id", "fixed_department_id")}
+    wide = many.withColumns(blank)
+    roles = spark.sql("select 1 id union all select 2")
+    tables = {n: wide for n in ("booking_cases", "user_notifications", "users", "bookings")} | {n: roles for n in deletes.KINDS}
+    got = deletes.effects(granted, tables | {n: roles for n in ("roles", "locations", "departments", "entrepreneurs")})
+    assert {tuple(r) for r in got.where("n > 0").collect()} == {
+        ("users", "id", "delete", 2), ("user_notifications", "user_id", "delete", 300), ("bookings", "user_id", "set null", 300),
+        ("roles", "id", "delete", 1)} and got.count() == sum(map(len, deletes.EFFECTS.values()))
+    got.write.format("noop").mode("overwrite").save()
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
