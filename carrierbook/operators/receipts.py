@@ -12,6 +12,7 @@ from carrierbook.functions.receipt_no import receipt_number
 from carrierbook.functions.rules import product_or_default
 from carrierbook.operators.balance import signed_sums
 from carrierbook.operators.filters import (all_of, contains_if_given, date_from, date_to, location_scope)
+from carrierbook.operators.skew import join_dimension
 from carrierbook.sources import schema as S
 
 
@@ -20,6 +21,12 @@ def user_name(users: DataFrame, id_col: str, name_col: str) -> DataFrame:
     return users.select(F.col("id").alias(id_col), F.col("username").alias(name_col))
 
 
+def partner_address(entrepreneurs: DataFrame) -> DataFrame:
+    """The partners by name with their address under the receipts' names."""
+    return entrepreneurs.select(F.col("name").alias("entrepreneur"), F.col("street").alias("entrepreneur_street"),
+                                F.col("postal_code").alias("entrepreneur_postal_code"), F.col("city").alias("entrepreneur_city"))
+
+
 def placeholder(c: str, text: str = S.DELETED_USER) -> Column:
     return F.coalesce(F.col(c), F.lit(text))
 
@@ -226,13 +233,10 @@ def case_receipts(booking_cases: DataFrame, users: DataFrame, locations: DataFra
     c = booking_cases.select(
         "id", "created_at", "license_plate", "entrepreneur", "note", "qty_in", "qty_out", "non_exchangeable_qty",
         "employee_code", "product_type", "status", "receipt_no", "location_id", "department_id", "created_by")
-    c = (c.join(locations.select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id", "inner")
-          .join(departments.select(F.col("id").alias("_did"), F.col("name").alias("_dname")),
-                F.col("department_id") == F.col("_did"), "left")
-          .join(user_name(users, "created_by", "_uc"), "created_by", "left")
-          .join(entrepreneurs.select(F.col("name").alias("entrepreneur"), F.col("street").alias("entrepreneur_street"),
-                                     F.col("postal_code").alias("entrepreneur_postal_code"),
-                                     F.col("city").alias("entrepreneur_city")), "entrepreneur", "left"))
+    c = c.join(locations.select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id", "inner")
+    for keyed, key in ((departments.select(F.col("id").alias("department_id"), F.col("name").alias("_dname")), "department_id"),
+                       (user_name(users, "created_by", "_uc"), "created_by"), (partner_address(entrepreneurs), "entrepreneur")):
+        c = join_dimension(c, keyed, key, ["id", "created_at"], seen_in=booking_cases)
     qin = F.coalesce(F.col("qty_in"), F.lit(0))
     qout = F.coalesce(F.col("qty_out"), F.lit(0))
     nonx = F.coalesce(F.col("non_exchangeable_qty"), F.lit(0))
