@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carrierbook.operators.filters import all_of, equals_if_given, key_lookup, location_scope, search_cases
+from carrierbook.operators.skew import heavy_keys, is_small, join_dimension, join_heavy, join_salted
 from carrierbook.sources import schema as S
 
 CASE_USER_ROLES = (("created_by", "created_by_name"), ("claimed_by", "claimed_by_name"),
@@ -31,7 +32,7 @@ def _user_names_once(cases: DataFrame, users: DataFrame) -> DataFrame:
     ids = cases.select(F.col("id").alias("_cid"), F.explode(F.array(*[
         F.struct(F.lit(name).alias("r"), F.col(id_col).alias("uid")) for id_col, name in CASE_USER_ROLES])).alias("x"))
     ids = ids.select("_cid", "x.r", "x.uid").where(F.col("uid").isNotNull())
-    named = ids.join(users.select(F.col("id").alias("uid"), "username"), "uid", "inner")
+    named = join_heavy(ids, users.select(F.col("id").alias("uid"), "username"), "uid", ["_cid", "r"], "inner")
     wide = named.groupBy("_cid").pivot("r", roles).agg(F.first("username"))
     return wide.select("_cid", *[F.col(n).alias(f"_{n}") for n in roles])
 
@@ -40,15 +41,15 @@ def enrich_cases(cases: DataFrame, departments: DataFrame, locations: DataFrame,
                  large_users: bool = False) -> DataFrame:
     """Department (left, placeholder), location (inner), and four user names (left, placeholder).
 
-    Spark picks broadcast hash joins for dimensions under the broadcast
-    threshold (checked on the plan's size estimate and again by AQE on the
-    real size), else sort-merge joins.  With ``large_users`` the four names
-    come from one unpivoted lookup (:func:`_user_names_once`), so a users
-    table above the threshold costs one shuffle of the case rows, not four.
-    A never-set user id shows the placeholder, as in the reference.
+    Departments and users counted to be small are broadcast; the cases meet
+    larger ones with their heavy keys (a few clerks, no clerk yet) salted.  With
+    ``large_users`` the four names come from one unpivoted lookup
+    (:func:`_user_names_once`), so a large users table costs one shuffle of the
+    case rows, not four.  A never-set user id shows the placeholder, as in the
+    reference.
     """
-    out = (cases.join(departments.select(F.col("id").alias("_did"), F.col("name").alias("_dname")),
-                      F.col("department_id") == F.col("_did"), "left")
+    out = (join_dimension(cases, departments.select(F.col("id").alias("department_id"), F.col("name").alias("_dname")),
+                          "department_id", ["id", "created_at"])
            .join(locations.select(F.col("id").alias("_lid"), F.col("name").alias("location")),
                  F.col("location_id") == F.col("_lid"), "inner"))
     if large_users:
@@ -56,9 +57,12 @@ def enrich_cases(cases: DataFrame, departments: DataFrame, locations: DataFrame,
         out = out.join(names, F.col("id") == F.col("_cid"), "left")
     else:
         names = users.select("id", "username")
+        small = is_small(names)
+        heavy = {} if small else heavy_keys(cases, [id_col for id_col, _ in CASE_USER_ROLES])
         for id_col, name_col in CASE_USER_ROLES:
-            u = names.select(F.col("id").alias(f"_{id_col}"), F.col("username").alias(f"_{name_col}"))
-            out = out.join(u, F.col(id_col) == F.col(f"_{id_col}"), "left")
+            u = names.select(F.col("id").alias(id_col), F.col("username").alias(f"_{name_col}"))
+            out = (out.join(F.broadcast(u), id_col, "left") if small
+                   else join_salted(out, u, id_col, heavy[id_col], ["id", "created_at"]))
     return out.select(
         *cases.columns,
         F.coalesce(F.col("_dname"), F.lit(S.DELETED_DEPARTMENT)).alias("department"),

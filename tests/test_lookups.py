@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from carrierbook.operators import receipts, skew
+from carrierbook.operators import cases, receipts, skew
 from carrierbook.session import QUERY_CONF
 
 
@@ -47,6 +47,20 @@ def test_case_receipts_are_not_gathered_by_department_or_partner(spark):
         assert r["entrepreneur_street"] == (None if k % 7 == 0 else f"street {k % 3}") and r["location"] == ("one", "two")[k % 2]
 
 
+def test_cases_of_few_clerks_are_dealt_before_they_meet_the_users(spark):
+    bound(spark)
+    departments, locations, users, _ = dimensions(spark)
+    for large in (False, True):
+        got = cases.enrich_cases(all_cases(spark, 900), departments, locations, users, large_users=large)
+        assert "hashpartitioning(department_id" not in plan(got) and "_salt" in plan(got)
+        rows = {r["id"]: r for r in got.collect()}
+        assert len(rows) == got.count() == 900
+        for k, r in rows.items():
+            assert r["department"] == ("(gelöschte Abteilung)" if k % 9 == 0 else f"d{k % 4 + 1}") and r["created_by_name"] == f"user {k}"
+            assert r["claimed_by_name"] == ("(gelöscht)" if k % 3 == 0 else f"user {k % 2 + 5}") and r["approved_by_name"] == "user 8"
+            assert r["submitted_by_name"] == "(gelöscht)"
+
+
 def test_rows_without_a_key_are_dealt_as_heavy_ones(spark):
     long = spark.range(1000).selectExpr("id", "cast(if(id < 600, null, id) as int) k", "cast(if(id < 500, 3, id) as int) j")
     keyed = spark.createDataFrame([(3, "a"), (3, "b"), (700, "c"), (None, "d")], "k int, v string")
