@@ -12,7 +12,7 @@ from carrierbook.functions.receipt_no import receipt_number
 from carrierbook.functions.rules import product_or_default
 from carrierbook.operators.balance import signed_sums
 from carrierbook.operators.filters import (all_of, contains_if_given, date_from, date_to, location_scope)
-from carrierbook.operators.skew import join_dimension
+from carrierbook.operators.skew import join_dimension, join_salted
 from carrierbook.sources import schema as S
 
 
@@ -120,18 +120,31 @@ def page_after(df: DataFrame, key: str, last_key, limit=20) -> DataFrame:
     return page(base, [F.col(key).desc()], lim, 0)
 
 
-def receipt_lines(bookings: DataFrame) -> DataFrame:
+# Lines are counted in LINE_BUCKETS buckets of receipts; a bucket of more than CROWDED lines may hold a receipt of very many.
+LINE_BUCKETS = 1 << 16
+CROWDED = 200_000
+
+
+def receipt_lines(bookings: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """The lines of every receipt with their position on it.
 
     Order: ``COALESCE(line_no, 999999)``, then id (type and quantity break
-    exact ties).  Positions come from range-partitioned numbering, so a
-    receipt number carried by very many lines is still spread over tasks.
+    exact ties).  Receipts are dealt by number and their lines ranked there;
+    in buckets of receipts with more than ``crowded`` lines the positions come
+    from range-partitioned numbering, so a receipt number carried by very many
+    lines is still spread over tasks.
     """
     from carrierbook.operators.numbering import number_rows
+    order = ["_ord", "id", "type", "quantity"]
+    bucket = F.pmod(F.hash("receipt_no"), F.lit(LINE_BUCKETS))
     b = bookings.where(F.col("receipt_no").isNotNull()).select(
         "receipt_no", "id", "line_no", "type", "quantity",
         F.coalesce(F.col("line_no"), F.lit(S.RECEIPT_LINE_NO_DEFAULT)).alias("_ord"))
-    out = number_rows(b, ["_ord", "id", "type", "quantity"], group=["receipt_no"], out="position")
+    full = [r[0] for r in b.groupBy(bucket.alias("_b")).count().where(F.col("count") > crowded).select("_b").collect()]
+    few = b.where(~bucket.isin(full)) if full else b
+    out = few.withColumn("position", F.row_number().over(Window.partitionBy("receipt_no").orderBy(*order)).cast("bigint"))
+    if full:
+        out = out.unionByName(number_rows(b.where(bucket.isin(full)), order, group=["receipt_no"], out="position"))
     return out.select("receipt_no", "position", "id", "line_no", "type", "quantity")
 
 
@@ -194,17 +207,18 @@ def ledger_receipts(bookings: DataFrame, booking_cases: DataFrame, users: DataFr
                      product_or_default("product_type").alias("product_type"))
     per = b.groupBy("receipt_no").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("_n_lines"), *signed_sums())
     per = per.select("receipt_no", "f.*", "_n_lines", "_ins", "_outs")
-    per = (per.join(user_name(users, "user_id", "_u"), "user_id", "left")
-              .join(locations.select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id", "left")
-              .join(departments.select(F.col("id").alias("department_id"), F.col("name").alias("_dname")), "department_id", "left")
-              .join(entrepreneurs.select(F.col("name").alias("entrepreneur"), F.col("street").alias("entrepreneur_street"),
-                                         F.col("postal_code").alias("entrepreneur_postal_code"),
-                                         F.col("city").alias("entrepreneur_city")), "entrepreneur", "left"))
     cases = booking_cases.where(F.col("receipt_no").isNotNull()).groupBy("receipt_no").agg(
         F.min(F.struct("created_by", "employee_code", "non_exchangeable_qty")).alias("c"),
         F.count(F.lit(1)).alias("_n_cases"))
-    cases = cases.join(user_name(users, "_cb", "_uc"), F.col("c.created_by") == F.col("_cb"), "left")
-    out = per.join(cases, "receipt_no", "left")
+    # Both sides still lie by receipt number here; the lookups by other keys follow.
+    out = per.join(cases, "receipt_no", "left").withColumn("_cb", F.col("c.created_by"))
+    out = (out.join(user_name(users, "user_id", "_u"), "user_id", "left")
+              .join(locations.select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id", "left"))
+    out = join_dimension(out, departments.select(F.col("id").alias("department_id"), F.col("name").alias("_dname")), "department_id",
+                         ["receipt_no"])
+    out = out.join(partner_address(entrepreneurs), "entrepreneur", "left")
+    # Receipts without a case have no creator: they are dealt to many parts.
+    out = join_salted(out, user_name(users, "_cb", "_uc"), "_cb", [None], ["receipt_no"])
     mult = F.greatest(F.coalesce(F.col("_n_cases"), F.lit(1)), F.lit(1)).cast("bigint")
     has_case = F.col("_n_cases").isNotNull()
     return out.select(

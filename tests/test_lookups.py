@@ -80,3 +80,22 @@ def test_rows_without_a_key_are_dealt_as_heavy_ones(spark):
 def test_a_table_is_small_by_what_it_holds(spark):
     assert skew.is_small(spark.range(400_000).selectExpr("id % 5 id").distinct()) and skew.is_small(spark.range(0))
     assert not skew.is_small(spark.range(100_000))
+
+
+def test_lines_are_ranked_alike_in_crowded_and_other_receipts(spark):
+    lines = spark.range(600).selectExpr("id", "if(id % 11 = 0, null, concat('R', id % 5)) receipt_no", "cast(if(id % 4 = 0, null, 9 - id % 3) as int) line_no",
+                                        "if(id % 2 = 0, 'IN', 'OUT') type", "cast(id % 6 as int) quantity")
+    lines = lines.unionByName(spark.range(7).selectExpr("1000 - id id", "'one' receipt_no", "cast(null as int) line_no", "'IN' type", "1 quantity"))
+    plain = receipts.receipt_lines(lines)
+    assert "RangePartition" not in plan(plain) and "Scan ExistingRDD" not in plan(plain)
+    rows = sorted(tuple(r) for r in plain.select("receipt_no", "position", "id", "type", "quantity").collect())
+    want, by = [], {}
+    for r in lines.where("receipt_no is not null").collect():
+        by.setdefault(r["receipt_no"], []).append((999999 if r["line_no"] is None else r["line_no"], r["id"], r["type"], r["quantity"]))
+    for k, found in by.items():
+        want += [(k, n, i, t, q) for n, (_, i, t, q) in enumerate(sorted(found), 1)]
+    assert rows == sorted(want)
+    # Receipts of more than 50 lines are numbered by ranges, the small one is not.
+    mixed = receipts.receipt_lines(lines, crowded=50)
+    assert sorted(tuple(r) for r in mixed.select("receipt_no", "position", "id", "type", "quantity").collect()) == rows
+    assert mixed.dtypes == plain.dtypes
