@@ -66,3 +66,16 @@ def join_dimension(long: DataFrame, keyed: DataFrame, key: str, deal: list[str],
     if is_small(keyed):
         return long.join(F.broadcast(keyed), key, how)
     return join_heavy(long, keyed, key, deal, how, seen_in=seen_in)
+
+
+def meet_spread(rows: DataFrame, members: DataFrame, keys: list[str], deal: list[str], parts: int = SALTS) -> DataFrame:
+    """``rows.join(members, keys)`` where a few keys hold everything: every row of a key meets every member of it.
+
+    The output is rows times members per key whatever the join; a key's rows are dealt to ``parts`` parts by the hash of their columns
+    ``deal``, with the key's members in each.  The number of partitions is given: sized by their bytes, the few
+    rows would be merged into a few tasks that write most of the output.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*deal), F.lit(parts)).cast("int"))
+    each = members.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.repartition(n, *keys, "_part").join(each.repartition(n, *keys, "_part").hint("shuffle_hash"), [*keys, "_part"]).drop("_part")
