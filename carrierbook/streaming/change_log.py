@@ -8,7 +8,7 @@ new receipt's number included).  Each channel's events carry a number that count
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carrierbook.operators.numbering import number_rows
@@ -78,7 +78,16 @@ def notice_events(before: DataFrame, after: DataFrame) -> DataFrame:
             .unionByName(gone.select(*_event(to, NOTIFICATIONS_DELETED, user_id=F.col("user_id")))))
 
 
+_ORDER = ["event", "case_id", "department_id", "receipt_no", "user_id", "location_id"]
+
+
 def numbered(events: DataFrame, batch: int = 0) -> DataFrame:
     """The events of a batch with ``batch`` and ``n``, their place in their channel from 1."""
-    order = ["event", "case_id", "department_id", "receipt_no", "user_id", "location_id"]
-    return number_rows(events, [F.col(c).asc_nulls_first() for c in order], group=["channel"], out="n").withColumn("batch", F.lit(batch).cast("long"))
+    return number_rows(events, [F.col(c).asc_nulls_first() for c in _ORDER], group=["channel"], out="n").withColumn("batch", F.lit(batch).cast("long"))
+
+
+def numbered_by_reader(events: DataFrame, batch: int = 0) -> DataFrame:
+    """:func:`numbered` for readers' channels, as a plan: a channel holds what one reader is told in a batch, no more than the notices of
+    the reader's audiences, and a filter on the reader goes below the numbering."""
+    own = Window.partitionBy("channel", "user_id").orderBy(*[F.col(c).asc_nulls_first() for c in _ORDER])
+    return events.withColumns({"n": F.row_number().over(own).cast("long"), "batch": F.lit(batch).cast("long")})

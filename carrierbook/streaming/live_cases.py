@@ -8,7 +8,9 @@ buckets it touches alone, ``<table>/v=n/bucket=b``:
 * ``cases``     the bucket's cases after the batch, with the last action applied to each;
 * ``notices``   the live notices of the bucket's cases, by audience (T2);
 * ``lines``     the ledger lines of the bucket's cases approved here (B1), with ids, group ids and times;
-* ``outcomes``  every action judged in the batch;  ``events`` what changed (S5).
+* ``outcomes``  every action judged in the batch;  ``events`` what changed (S5) at cases and in the ledger, numbered;
+* ``notice-changes``  the notices that came and went, by audience, and ``readers`` who read them then.  What each reader is
+  told follows from both: notices times readers, written out by ``LiveCases.events`` for who reads them.
 
 A batch that is killed and run again reads the versions before itself, takes the same numbers
 (``NumberAllocator``) and overwrites what it wrote (``Versions``).
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from carrierbook.functions.receipt_no import receipt_number
 from carrierbook.operators import audience, lifecycle, payload_replay, posting
 from carrierbook.operators.numbering import number_rows
-from carrierbook.session import reliable_checkpoint
+from carrierbook.session import path_exists, reliable_checkpoint
 from carrierbook.sources import schema as S
 from carrierbook.streaming import change_log
 from carrierbook.streaming.allocator import NumberAllocator
@@ -45,6 +47,9 @@ _NOTICE = T.StructType([T.StructField("case_id", T.IntegerType()), T.StructField
                         T.StructField("audience", T.StringType()), T.StructField("audience_id", T.IntegerType()),
                         T.StructField("except_user", T.IntegerType()), T.StructField("message", T.StringType()),
                         T.StructField("created_at", T.TimestampNTZType())])
+_CHANGE = T.StructType([*[f for f in _NOTICE.fields if f.name not in ("message", "created_at")], T.StructField("came", T.BooleanType())])
+_MEMBER = T.StructType([T.StructField("audience", T.StringType()), T.StructField("audience_id", T.IntegerType()),
+                        T.StructField("user_id", T.IntegerType())])
 
 
 def bucket_of(case_id, buckets: int):
@@ -102,8 +107,20 @@ class LiveCases:
         return self._read("notices", self.store.current(before)).drop("bucket")
 
     def events(self, batch: int) -> DataFrame:
-        """What changed in a batch."""
-        return self.spark.read.parquet(self.store.place("events", batch))
+        """What changed in a batch (S5): one row per event and channel, numbered in its channel.
+
+        The readers' events are written out here, when they are read; where only other channels are wanted (``user_id is
+        null``) Spark drops them from the plan.
+        """
+        kept = self.spark.read.parquet(self.store.place("events", batch))
+        if not path_exists(self.spark, self.store.place("notice-changes", batch)):  # written before changes were kept by audience
+            return kept
+        changed = self.spark.read.schema(_CHANGE).parquet(self.store.place("notice-changes", batch))
+        readers = self.spark.read.schema(_MEMBER).parquet(self.store.place("readers", batch)).where(F.col("user_id").isNotNull())
+        told = change_log.notice_events(*self._told(changed, readers)).where(F.col("user_id").isNotNull())
+        # A column that cannot be null, as the filter above has it, so that "user_id is null" is known to be false here.
+        told = told.withColumn("user_id", F.coalesce("user_id", F.lit(0)))
+        return kept.unionByName(change_log.numbered_by_reader(told, batch))
 
     # --- a batch ----------------------------------------------------------------------------------
 
@@ -118,22 +135,25 @@ class LiveCases:
 
         late = reliable_checkpoint(self._late(new, old))
         rewound = late.limit(1).count() > 0
-        actions, start = new, old.drop(*_OWN.names)
+        actions = new
         if rewound:
             whole = self.store.grown("log", self._schema("log"), batch_id, touched).drop("v")
             actions = (new.join(late, "case_id", "left_anti")
                        .unionByName(whole.join(late, "case_id", "left_semi")))
-            ids = late.withColumnRenamed("case_id", "id")
-            start = (old.drop(*_OWN.names).join(ids, "id", "left_anti").select(*self.case_schema.names, "bucket")
-                     .unionByName(base.join(ids, "id", "left_semi").select(*self.case_schema.names, "bucket")))
         actions = actions.where(F.col("action") != CREATE).dropDuplicates(["action_id"])
-        changed = start.join(actions.select(F.col("case_id").alias("id")).distinct().unionByName(
-            late.withColumnRenamed("case_id", "id")).distinct(), "id", "left_semi")
+        # The whole case table meets the batch's ids once; all that follows reads its cases alone.
+        ids = actions.select(F.col("case_id").alias("id")).distinct().unionByName(late.withColumnRenamed("case_id", "id")).distinct()
+        mine = reliable_checkpoint(old.join(ids, "id", "left_semi"))
+        changed = mine.select(*self.case_schema.names, "bucket")
+        if rewound:
+            again = late.withColumnRenamed("case_id", "id")
+            changed = reliable_checkpoint(changed.join(again, "id", "left_anti").unionByName(
+                base.join(again, "id", "left_semi").select(*self.case_schema.names, "bucket")))
 
         outcomes = payload_replay.replay(actions, changed.select(*self.case_schema.names), self.users, self.roles, self.rights)
         outcomes.write.mode("overwrite").parquet(self.store.place("outcomes", batch_id))
         outcomes = self.spark.read.schema(outcomes.schema).parquet(self.store.place("outcomes", batch_id))
-        rows = self._rows(outcomes, changed, old)
+        rows = self._rows(outcomes, changed, mine)
         rows = self._numbered(rows, batch_id)
         untouched = old.join(rows.select("id"), "id", "left_anti")
         after = untouched.select(*rows.columns).unionByName(rows)
@@ -145,11 +165,17 @@ class LiveCases:
         self.store.write("lines", batch_id, self._lines(after))
         now = {b: batch_id for b in touched}
         was = {b: versions[b] for b in touched if b in versions}
-        readers = audience.members(self.users)
-        events = (change_log.case_events(old.select(*self.case_schema.names), after.select(*self.case_schema.names))
+        told = self._notice_differences(self._read("notices", was), self._read("notices", now))
+        told.write.mode("overwrite").parquet(self.store.place("notice-changes", batch_id))
+        told = self.spark.read.schema(_CHANGE).parquet(self.store.place("notice-changes", batch_id))
+        readers = audience.members(self.users).distinct()
+        readers.write.mode("overwrite").parquet(self.store.place("readers", batch_id))
+        # Users without an id have no channel: their events are numbered with the others that have none.
+        nameless = readers.where(F.col("user_id").isNull())
+        alike = self._indistinct(old, untouched).select(*self.case_schema.names)
+        events = (change_log.case_events(mine.select(*self.case_schema.names).unionByName(alike), rows.select(*self.case_schema.names).unionByName(alike))
                   .unionByName(change_log.ledger_events(self._read("lines", was), self._read("lines", now)))
-                  .unionByName(change_log.notice_events(
-                      *self._notice_differences(self._read("notices", was), self._read("notices", now), readers))))
+                  .unionByName(change_log.notice_events(*self._told(told, nameless))))
         change_log.numbered(events, batch_id).write.mode("overwrite").parquet(self.store.place("events", batch_id))
         self.store.commit(batch_id, touched)
 
@@ -253,9 +279,17 @@ class LiveCases:
         return live.withColumn("bucket", bucket_of(F.col("case_id"), self.buckets))
 
     @staticmethod
-    def _notice_differences(was: DataFrame, now: DataFrame, readers: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Both tables per reader, without the notices that are the same in both."""
-        keys = ["case_id", "title", "audience", "audience_id", "except_user"]
+    def _indistinct(old: DataFrame, untouched: DataFrame) -> DataFrame:
+        """The untouched cases that no id tells apart: the comparison by id sees these as changed. Other untouched ones need none."""
+        ids = old.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col("id").isNull()).select(F.col("id").alias("_id"))
+        if not ids.limit(1).count():
+            return untouched.where(F.lit(False))
+        return untouched.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+
+    @staticmethod
+    def _notice_differences(was: DataFrame, now: DataFrame) -> DataFrame:
+        """The notices, by audience, that are in one of both tables alone; ``came``: in the newer one."""
+        keys = [f.name for f in _CHANGE.fields if f.name != "came"]
         a, b = was.select(*keys), now.select(*keys)
 
         def without(x, y):
@@ -265,7 +299,12 @@ class LiveCases:
                 rule = rule & k
             return x.join(y, rule, "left_anti")
 
-        return audience.for_readers(without(a, b), readers), audience.for_readers(without(b, a), readers)
+        return without(a, b).withColumn("came", F.lit(False)).unionByName(without(b, a).withColumn("came", F.lit(True)))
+
+    @staticmethod
+    def _told(changed: DataFrame, readers: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Per reader the notices that went and that came."""
+        return tuple(audience.for_readers(changed.where(F.col("came") == came).drop("came"), readers, once=True) for came in (False, True))
 
     def start(self, actions_stream: DataFrame, checkpoint: str):
         return (actions_stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)

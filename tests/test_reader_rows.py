@@ -1,10 +1,12 @@
-"""Readers' rows: made distinct before they are written out."""
+"""Readers' rows: made distinct before they are written out, and written out for who reads them, not in every batch."""
 
 import random
 
 from pyspark.sql import functions as F
 
 from carrierbook.operators import audience
+from carrierbook.streaming.live_cases import LiveCases
+from tests.test_live_cases import _batch, _case, _live, _steps
 
 
 def test_each_notice_of_a_reader_once_equals_the_distinct_rows(spark):
@@ -36,3 +38,28 @@ def test_a_department_notice_is_written_out_by_many_tasks_and_not_compared(spark
     # The rows written out meet no aggregate: the plan's top is the union of its parts, the first of them a plain join.
     top = got._jdf.queryExecution().optimizedPlan()
     assert top.nodeName() == "Union" and top.children().apply(0).nodeName() != "Aggregate"
+
+
+def test_a_batch_keeps_notices_by_audience_and_events_give_the_readers_rows(spark, tmp_path):
+    n = 4
+    log = _steps(*[(i, a, {}) for i in range(1, n + 1) for a in ("claim", "submit")])
+    live = _live(spark, tmp_path, [_case(i) for i in range(1, n + 1)])
+    live(_batch(spark, log), 0)
+    kept = spark.read.parquet(live.store.place("events", 0))
+    assert kept.where("user_id is not null").count() == 0
+    assert spark.read.parquet(live.store.place("notice-changes", 0)).count() == n
+    events = live.events(0)
+    assert events.columns == kept.columns
+    rows = events.where("user_id is not null").collect()
+    # Readers 10 and 11 are of department 2; each is told of every case, numbered from 1 in the order of the cases.
+    assert sorted((r["channel"], r["event"], r["case_id"], r["n"], r["batch"]) for r in rows) == sorted(
+        (f"user:{u}", "notificationCreated", i, i, 0) for u in (10, 11) for i in range(1, n + 1))
+    other = events.where("user_id is null")
+    assert "Join" not in other._jdf.queryExecution().optimizedPlan().toString() and other.count() == kept.count() == n
+
+
+def test_untouched_cases_are_compared_only_where_an_id_repeats_or_is_null(spark):
+    cases = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (3, "e")], "id int, note string")
+    found = LiveCases._indistinct(cases, cases.where("id is null or id <> 1"))
+    assert sorted((r["note"] for r in found.collect())) == ["b", "c", "d"]
+    assert LiveCases._indistinct(cases.where("id in (1, 3)"), cases.where("id = 3")).count() == 0
