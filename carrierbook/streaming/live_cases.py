@@ -168,14 +168,14 @@ class LiveCases:
         told = self._notice_differences(self._read("notices", was), self._read("notices", now))
         told.write.mode("overwrite").parquet(self.store.place("notice-changes", batch_id))
         told = self.spark.read.schema(_CHANGE).parquet(self.store.place("notice-changes", batch_id))
-        readers = audience.members(self.users).distinct()
-        readers.write.mode("overwrite").parquet(self.store.place("readers", batch_id))
-        # Users without an id have no channel: their events are numbered with the others that have none.
-        nameless = readers.where(F.col("user_id").isNull())
+        audience.members(self.users).distinct().write.mode("overwrite").parquet(self.store.place("readers", batch_id))
         alike = self._indistinct(old, untouched).select(*self.case_schema.names)
         events = (change_log.case_events(mine.select(*self.case_schema.names).unionByName(alike), rows.select(*self.case_schema.names).unionByName(alike))
-                  .unionByName(change_log.ledger_events(self._read("lines", was), self._read("lines", now)))
-                  .unionByName(change_log.notice_events(*self._told(told, nameless))))
+                  .unionByName(change_log.ledger_events(self._read("lines", was), self._read("lines", now))))
+        # Users without an id have no channel: their events are numbered with the others that have none.
+        nameless = self.spark.read.schema(_MEMBER).parquet(self.store.place("readers", batch_id)).where(F.col("user_id").isNull())
+        if nameless.limit(1).count():
+            events = events.unionByName(change_log.notice_events(*self._told(told, nameless)))
         change_log.numbered(events, batch_id).write.mode("overwrite").parquet(self.store.place("events", batch_id))
         self.store.commit(batch_id, touched)
 
